@@ -19,6 +19,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(_read(spark, sf_dir, "documents"))
+
+
+def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

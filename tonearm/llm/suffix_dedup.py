@@ -27,8 +27,8 @@ from . import common as C
 
 LENGTH = 200
 GRAM = 64
-#: An anchor with more distinct surroundings than this is settled string by string, in any number of tasks.
-GROUP_LIMIT = 20_000
+#: An anchor that occurs more often than this is settled string by string, in any number of tasks.
+GROUP_LIMIT = 10_000
 
 
 def _owned(block: C.Block, length: int, gram: int):
@@ -155,16 +155,23 @@ def expand_intervals(group: np.ndarray, data: np.ndarray, off: np.ndarray, lo: n
 
 
 def _expand(length: int, block: int = 12_000):
-    """Rows come sorted by anchor; each call of expand_intervals takes whole anchors."""
-    schema = pa.schema([("cid", pa.binary()), ("mask", pa.binary())])
+    """Rows come sorted by anchor; each call of expand_intervals takes whole anchors, and equal surroundings once."""
+    schema = pa.schema([("_k", pa.int64()), ("p", pa.int64()), ("mask", pa.binary())])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        data, off = C.text_buffers(rows.column("ctx"))
-        get = lambda c, t: rows.column(c).to_numpy().astype(t)
-        marks = expand_intervals(get("h", np.int64).view(np.uint64), data, off, get("lo", np.int64), get("hi", np.int64), get("n", np.int64), length)
-        some = np.flatnonzero(marks.any(1))
-        bits = np.packbits(marks[some], axis=1)
-        return pa.RecordBatch.from_arrays([rows.column("cid").combine_chunks().take(pa.array(some)), pa.array([x.tobytes() for x in bits], pa.binary())], schema=schema)
+        h = rows.column("h").to_numpy()
+        cid = C.text_buffers(rows.column("cid"))[0].reshape(-1, 16).copy().view(np.uint64)
+        order = np.lexsort((cid[:, 1], cid[:, 0], h))
+        first = C.run_starts(h[order], cid[order, 0], cid[order, 1])
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        chosen = rows.take(pa.array(order[first])).combine_chunks()
+        data, off = C.text_buffers(chosen.column("ctx"))
+        get = lambda c: chosen.column(c).to_numpy().astype(np.int64)
+        marks = expand_intervals(get("h").view(np.uint64), data, off, get("lo"), get("hi"), np.bincount(which), length)
+        bits = [x.tobytes() for x in np.packbits(marks, axis=1)]
+        some = np.flatnonzero(marks.any(1)[which])
+        return pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(some)) for c in ("_k", "p")] + [pa.array([bits[i] for i in which[some].tolist()], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -263,19 +270,19 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = C.keyed(docs, id_col, text_col)
     texts = rows.select("_k", "_t").where(F.octet_length("_t") >= length)
     anchors = texts.mapInArrow(_anchors(length, gram), "h long, _k long, p long")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = anchors.join(twice, "h", "left_semi").groupBy("_k").agg(F.collect_list("p").alias("at"))
-    found = rows.join(wanted, "_k").select("_k", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
-    distinct = found.groupBy("cid", "h", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    hot = sizes.where(F.col("m") > group_limit).select("h")
-    few = sizes.where((F.col("m") <= group_limit)).select("h")
-    masks = distinct.join(few, "h", "left_semi").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "cid binary, mask binary")
-    strings = distinct.join(hot, "h", "left_semi").mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
+    counted = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def surroundings(which: str) -> DataFrame:
+        wanted = anchors.join(counted.where(which).select("h"), "h", "left_semi").groupBy("_k").agg(F.collect_set("p").alias("at"))
+        return rows.join(wanted, "_k").select("_k", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
+
+    masks = surroundings(f"n <= {group_limit}").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
+    hot = surroundings(f"n > {group_limit}")
+    distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
     again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
     rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
-    places = found.select("cid", "_k", "p").join(masks.unionByName(rest), "cid")
-    each = places.select("_k", "p", "mask").distinct().groupBy("_k").agg(F.collect_list(F.struct("p", "mask")).alias("found"))
+    each = masks.unionByName(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask")).groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found"))
     out = rows.join(each, "_k", "left").select(F.col("_id").cast("long").alias("_id"), "_t", "found")
     kinds = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_text
     return out.mapInArrow(_cut(length, with_text), kinds).withColumnRenamed("_id", id_col)
