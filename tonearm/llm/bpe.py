@@ -124,15 +124,20 @@ class Prefixes:
         return out[::-1]
 
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, tuple[Bpe, dict[str, tuple[str, int]], dict[bytes, bytes]]] = {}
 
 
-def load(path: str) -> Bpe:
-    """A rank file: base64 of the bytes, a space, the rank."""
+def loaded(path: str) -> tuple[Bpe, dict[str, tuple[str, int]], dict[bytes, bytes]]:
+    """The vocabulary of a rank file (base64 of the bytes, a space, the rank), the pieces encoded so far, and the tokens by decimal id; they stay in a reused worker."""
     if path not in _LOADED:
         with open(path, "rb") as f:
-            _LOADED[path] = (Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}), {})
-    return _LOADED[path][0]
+            bpe = Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        _LOADED[path] = (bpe, {}, {b"%d" % i: t for i, t in bpe.tokens.items()})
+    return _LOADED[path]
+
+
+def load(path: str) -> Bpe:
+    return loaded(path)[0]
 
 
 def _run(path: str, pattern: str, with_ids: bool):
@@ -142,9 +147,8 @@ def _run(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        bpe, split = load(path), regex.compile(pattern)
-        cache: dict[str, tuple[str, int]] = _LOADED[path][1]  # stays in a reused worker
-        table = {str(i).encode(): t for i, t in bpe.tokens.items()}
+        split = regex.compile(pattern)
+        bpe, cache, table = loaded(path)
         for batch in batches:
             out = []
             for key, text in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), strict=True):
