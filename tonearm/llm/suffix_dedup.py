@@ -28,7 +28,7 @@ from . import common as C
 LENGTH = 200
 GRAM = 64
 #: An anchor that occurs more often than this is settled string by string, in any number of tasks.
-GROUP_LIMIT = 10_000
+GROUP_LIMIT = 40_000
 
 
 def _owned(block: C.Block, length: int, gram: int):
@@ -116,8 +116,9 @@ def expand_intervals(group: np.ndarray, data: np.ndarray, off: np.ndarray, lo: n
     right[:, :8] = group.astype(">u8").view(np.uint8).reshape(m, 8)
     sizes = (off[1:] - anchor).astype(np.int32)
     span = np.arange(length, dtype=np.int32)
-    inside = span < sizes[:, None]
-    right[:, 8:][inside] = data[(anchor[:, None] + span)[inside]]
+    for a in range(0, m, 4096):
+        inside = span < sizes[a : a + 4096, None]
+        right[a : a + 4096, 8:][inside] = data[(anchor[a : a + 4096, None] + span)[inside]]
     order = np.argsort(right.view(f"S{8 + length}").ravel(), kind="stable")
     lcp = np.zeros(m, np.int32)
     for a in range(1, m, 4096):
@@ -159,13 +160,11 @@ def _expand(length: int, block: int = 12_000):
     schema = pa.schema([("_k", pa.int64()), ("p", pa.int64()), ("mask", pa.binary())])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        h = rows.column("h").to_numpy()
-        cid = C.text_buffers(rows.column("cid"))[0].reshape(-1, 16).copy().view(np.uint64)
-        order = np.lexsort((cid[:, 1], cid[:, 0], h))
-        first = C.run_starts(h[order], cid[order, 0], cid[order, 1])
-        which = np.empty(len(h), np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-        chosen = rows.take(pa.array(order[first])).combine_chunks()
+        names: dict[tuple[int, int, bytes], int] = {}
+        same = zip(*(rows.column(c).to_pylist() for c in ("h", "lo", "ctx")), strict=True)
+        which = np.array([names.setdefault(x, len(names)) for x in same], np.int64)
+        first = np.unique(which, return_index=True)[1]
+        chosen = rows.take(pa.array(first)).combine_chunks()
         data, off = C.text_buffers(chosen.column("ctx"))
         get = lambda c: chosen.column(c).to_numpy().astype(np.int64)
         marks = expand_intervals(get("h").view(np.uint64), data, off, get("lo"), get("hi"), np.bincount(which), length)
@@ -274,9 +273,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def surroundings(which: str) -> DataFrame:
         wanted = anchors.join(counted.where(which).select("h"), "h", "left_semi").groupBy("_k").agg(F.collect_set("p").alias("at"))
-        return rows.join(wanted, "_k").select("_k", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
+        return rows.join(wanted, "_k").select("_k", "_id", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
 
-    masks = surroundings(f"n <= {group_limit}").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
+    masks = surroundings(f"n <= {group_limit}").drop("cid").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
     hot = surroundings(f"n > {group_limit}")
     distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
