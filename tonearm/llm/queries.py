@@ -34,6 +34,19 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn import remove_repeated
+
+    out = remove_repeated(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
