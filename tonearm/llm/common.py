@@ -7,6 +7,7 @@ depend on the length of a text or on the number of rows.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +47,12 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tonearm-checkpoints")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(*columns: Column) -> Column:
     """64-bit key of a row; nulls and equal rows have defined keys."""
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])

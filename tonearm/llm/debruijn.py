@@ -27,7 +27,7 @@ from . import common as C
 SIZE = 13
 GRAM = 4
 #: A bucket with more paths than this is settled edge by edge, in any number of tasks.
-GROUP_LIMIT = 10_000
+GROUP_LIMIT = 40_000
 LAST = 2**63 - 1
 
 PATH = "h long, _k long, _o long, s long, edges binary"
@@ -208,26 +208,17 @@ def _cut(size: int, with_text: bool):
 
 def compacted(runs: DataFrame) -> DataFrame:
     """Paths joined end to start: runs of one text whose places and source places both follow each other become one."""
-    same = ["dk", "sk", "delta"]
-    r = runs.withColumn("delta", F.col("start") - F.col("source")).withColumn("end", F.col("start") + F.col("n"))
-    heads = r.join(r.select(*same, F.col("end").alias("start")), [*same, "start"], "left_anti")
-    tails = r.join(r.select(*same, F.col("start").alias("end")), [*same, "end"], "left_anti")
-    nth = lambda c: F.row_number().over(Window.partitionBy(*same).orderBy(c))
-    joined = heads.select(*same, "start", nth("start").alias("i")).join(tails.select(*same, "end", nth("end").alias("i")), [*same, "i"])
-    return joined.select("dk", "start", (F.col("end") - F.col("start")).alias("n"), "sk", (F.col("start") - F.col("delta")).alias("source"))
+    delta = F.col("start") - F.col("source")
+    r = runs.select(F.xxhash64("dk", "sk", delta).alias("g"), "start", (F.col("start") + F.col("n")).alias("end"), "dk", "sk", "source")
+    heads = r.join(r.select("g", F.col("end").alias("start")), ["g", "start"], "left_anti").distinct()
+    tails = r.select("g", "end").join(r.select("g", F.col("start").alias("end")), ["g", "end"], "left_anti").distinct()
+    nth = lambda c: F.row_number().over(Window.partitionBy("g").orderBy(c)).alias("i")
+    joined = heads.select("g", "start", "dk", "sk", "source", nth("start")).join(tails.select("g", "end", nth("end")), ["g", "i"])
+    return joined.select("dk", "start", (F.col("end") - F.col("start")).alias("n"), "sk", "source")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, group_limit: int = GROUP_LIMIT, with_text: bool = False) -> DataFrame:
-    """Remove each word covered by a window of ``size`` words that also starts in a document with a smaller id.
-
-    Returns a row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (the kept words joined by one space), spans
-    (first word, end, ...) and, if ``with_text``, the kept words.  A null text has no words; rows with the same id do not
-    count against each other; a null id comes after all others, and such rows do not count against each other; an empty
-    table gives an empty result; other columns are ignored.
-    """
-    C.prepare(docs.sparkSession)
-    C.shared_dir(docs.sparkSession)
-    rows = C.keyed(docs, id_col, text_col)
+def _runs(rows: DataFrame, size: int, gram: int, group_limit: int) -> DataFrame:
+    """(dk, start, n, sk, source): compact paths of each bucket that repeat an earlier document."""
     order = F.coalesce(F.col("_id").cast("long"), F.lit(LAST)).alias("_o")
     least = rows.select("_k", "_t").mapInArrow(_minimisers(size, gram), "h long, _k long")
     counted = least.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -240,7 +231,24 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = paths(f"c > {group_limit}").mapInArrow(_edges(), "edge long, _k long, _o long, word long")
     source = edges.groupBy("edge").agg(F.min(F.struct("_o", "_k", "word")).alias("first"))
     hot = edges.join(source, "edge").where("first._o < _o").select(F.col("_k").alias("dk"), F.col("word").alias("start"), F.lit(1).cast("long").alias("n"), F.col("first._k").alias("sk"), F.col("first.word").alias("source"))
-    spans = compacted(cold.unionByName(hot).distinct().checkpoint()).checkpoint()
+    return cold.unionByName(hot)
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, group_limit: int = GROUP_LIMIT, with_text: bool = False) -> DataFrame:
+    """Remove each word covered by a window of ``size`` words that also starts in a document with a smaller id.
+
+    Returns a row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (the kept words joined by one space), spans
+    (first word, end, ...) and, if ``with_text``, the kept words.  A null text has no words; rows with the same id do not
+    count against each other; a null id comes after all others, and such rows do not count against each other; an empty
+    table gives an empty result; other columns are ignored.
+    """
+    C.prepare(docs.sparkSession)
+    C.shared_dir(docs.sparkSession)
+    rows = C.keyed(docs, id_col, text_col)
+    runs = _runs(rows, size, gram, group_limit).checkpoint()
+    C.release(docs.sparkSession)
+    spans = compacted(runs).checkpoint()
+    C.release(docs.sparkSession)
     ends = spans.select(F.col("dk").alias("k"), F.col("start").alias("at"), "n").unionByName(spans.select(F.col("sk").alias("k"), F.col("source").alias("at"), "n"))
     asked = ends.groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("at", "n")).alias("asked"))
     seen = rows.join(asked, "_k").select("_k", "_id", "_t", "asked").mapInArrow(_digests(size), "k long, at long, n long, digest binary").distinct()
