@@ -29,8 +29,15 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._valid: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        # tokens by their bytes from the last to the first; a node's own token is under -1
+        self.endings: dict = {}
+        for token, number in ranks.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[-1] = number
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges in order of rank, for short pieces: the definition that pairs are tested by."""
@@ -54,12 +61,13 @@ class Bpe:
         return found
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a, b is the encoding of their joined bytes."""
-        found = self._valid.get((a, b))
+        """Whether merges lead to b, and a, b is the encoding of their joined bytes."""
+        key = a << 32 | b
+        found = self._valid.get(key)
         if found is None:
-            if len(self._valid) > 2_000_000:
+            if len(self._valid) > 1_000_000:
                 self._valid.clear()
-            found = self._valid[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self._valid[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b] and self.reachable(b)
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -78,23 +86,26 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Exact: prefixes that are there stay as they are."""
         bpe, last = self.bpe, self.last
-        ranks, tokens = bpe.ranks, bpe.tokens
+        endings, valid = bpe.endings, bpe._valid
         data = self.data = self.data + more
         for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - bpe.longest), end):
-                token = ranks.get(data[start:end])
+            node, start = endings, end
+            while start:
+                start -= 1
+                node = node.get(data[start])
+                if node is None:
+                    raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+                token = node.get(-1)
                 if token is None:
                     continue
                 if start == 0:
-                    if end == 1 or bpe.reachable(token):
-                        break
-                    continue
-                if bpe.compatible(last[start], token) and bpe.reachable(token):
+                    if end > 1 and not bpe.reachable(token):
+                        raise ValueError("a prefix has no encoding")
+                    break
+                fits = valid.get(last[start] << 32 | token)
+                if fits or (fits is None and bpe.compatible(last[start], token)):
                     break
-            else:
-                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
             last.append(token)
-        assert len(tokens) >= 1
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Re-encode near an edit: prefixes before it are kept, and those after it until they agree again with the old ones."""
