@@ -74,3 +74,14 @@ def test_long_chain_and_empty(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "u long, v long")
     assert {tuple(x) for x in K.components(edges).collect()} == {(i, 0) for i in range(n + 1)} | {(100, 100), (101, 100)}
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
+    got = M.keep_one(docs)
+    assert got.columns == docs.columns
+    want = {(d, t) for (d, t), (_, _, _, kept) in zip(sorted(rows, key=lambda x: str(x[0])), sorted(brute(rows, 4, 80), key=lambda x: str(x[0]))) if kept and d is not None}
+    have = {(x.doc_id, x.text) for x in got.collect()}
+    assert {d for d, _ in have if d is not None} == {d for d, _ in want}
+    assert got.count() == len(have)

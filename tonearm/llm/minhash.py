@@ -233,13 +233,8 @@ def _set_rows(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept (it is its own component's id).
-
-    Two rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word shingles; a text with fewer
-    words is one shingle, and one without words (or null) has none and is linked with nothing.  A row per row; repeated rows are
-    linked; a null id counts as after all others; an empty table gives an empty result; other columns are ignored.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(_k, _id, n, component, component_id) of every row; component is null for a row without shingles."""
     spark = docs.sparkSession
     C.prepare(spark)
     C.shared_dir(spark)
@@ -266,7 +261,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links).withColumnsRenamed({"node": "c"})
     named = classes.select("s1", "s2", "n", "c", "least").join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(names, "component").select("s1", "s2", "n", "component_id")
-    out = all_rows.select("_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left")
+    labels = named.join(names, "component").select("s1", "s2", "n", "component", "component_id")
+    return all_rows.select("_k", "_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select("_k", "_id", "n", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept (it is its own component's id).
+
+    Two rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word shingles; a text with fewer
+    words is one shingle, and one without words (or null) has none and is linked with nothing.  A row per row; repeated rows are
+    linked; a null id counts as after all others; an empty table gives an empty result; other columns are ignored.
+    """
+    out = _labelled(docs, id_col, text_col, shingle, percent)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component (that with the smallest id) and every row without words once."""
+    rows = _labelled(docs, id_col, text_col, shingle, percent)
+    first = rows.groupBy(F.coalesce("component", "_k").alias("component")).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_k")).alias("x"))
+    chosen = first.select(F.col("x._k").alias("__row_key"))
+    named = docs.withColumn("__row_key", C.row_key(docs[id_col], docs[text_col]))
+    return named.join(chosen, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
