@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -53,6 +55,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` written as a table in the shared checkpoint folder and read back; the table goes with the context."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    path = f"{sc.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(*columns: Column) -> Column:
     """64-bit key of a row; nulls and equal rows have defined keys."""
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])

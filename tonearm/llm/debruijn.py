@@ -245,9 +245,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     C.prepare(docs.sparkSession)
     C.shared_dir(docs.sparkSession)
     rows = C.keyed(docs, id_col, text_col)
-    runs = _runs(rows, size, gram, group_limit).checkpoint()
-    C.release(docs.sparkSession)
-    spans = compacted(runs).checkpoint()
+    with C.stored(_runs(rows, size, gram, group_limit)) as runs:
+        C.release(docs.sparkSession)
+        spans = compacted(runs).checkpoint()
     C.release(docs.sparkSession)
     ends = spans.select(F.col("dk").alias("k"), F.col("start").alias("at"), "n").unionByName(spans.select(F.col("sk").alias("k"), F.col("source").alias("at"), "n"))
     asked = ends.groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("at", "n")).alias("asked"))
