@@ -31,6 +31,18 @@ def test_pieces_as_the_library(library):
         assert [t for p in regex.findall(P.PATTERN, text) for t in bpe.encode_piece(p.encode())] == library.encode_ordinary(text)
 
 
+def test_pairs_fit_as_the_merges_say():
+    bpe, r = B.load(PATH), random.Random(8)
+    ids = sorted(bpe.tokens)
+    for _ in range(30_000):
+        a, b = r.choice(ids), r.choice(ids)
+        if not bpe.reachable(a):
+            continue
+        assert bpe.compatible(a, b) == (bpe.merged(bpe.tokens[a] + bpe.tokens[b]) == [a, b])
+    for t in r.sample(ids, 3000):
+        assert bpe.reachable(t) == (bpe.merged(bpe.tokens[t]) == [t])
+
+
 def test_appends_and_edits():
     bpe, r = B.load(PATH), random.Random(2)
     for text in words(60, 3):

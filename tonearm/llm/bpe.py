@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CACHE_PIECES = 300_000
+KEPT_PAIRS = 300_000
 
 
 class Bpe:
@@ -29,15 +30,27 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._valid: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
-        # tokens by their bytes from the last to the first; a node's own token is under -1
-        self.endings: dict = {}
+        self._parts: dict[int, tuple[int, int] | None] = {}
+        self.pairs = 0
+        # tokens by their bytes from the last to the first: byte -> [token or -1, which tokens it fits behind, next bytes]
+        self.endings: dict[int, list] = {}
         for token, number in ranks.items():
-            node = self.endings
+            branch, node = self.endings, None
             for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = number
+                node = branch.setdefault(byte, [-1, None, {}])
+                branch = node[2]
+            node[:2] = number, {}
+
+    def forget(self, most: int) -> None:
+        """Drop the pairs that were tested, if they are many."""
+        if self.pairs > most:
+            todo = list(self.endings.values())
+            while todo:
+                _, fits, branch = todo.pop()
+                if fits:
+                    fits.clear()
+                todo.extend(branch.values())
+            self.pairs = 0
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges in order of rank, for short pieces: the definition that pairs are tested by."""
@@ -53,22 +66,48 @@ class Bpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one, or None: a single byte, or not made by merges."""
+        if token not in self._parts:
+            data, found = self.tokens[token], None
+            # the last merge joins two tokens at the only place where both sides encode to themselves and fit
+            pieces = [data[i : i + 1] for i in range(len(data))]
+            while len(pieces) > 2:
+                joins = [(r, i) for i in range(len(pieces) - 1) if (r := self.ranks.get(pieces[i] + pieces[i + 1])) is not None]
+                if not joins:
+                    break
+                _, i = min(joins)
+                pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            if len(pieces) == 2:
+                found = (self.ranks[pieces[0]], self.ranks[pieces[1]])
+            self._parts[token] = found
+        return self._parts[token]
+
     def reachable(self, token: int) -> bool:
         """Whether merges lead to this token."""
-        found = self._whole.get(token)
-        if found is None:
-            found = self._whole[token] = self.merged(self.tokens[token]) == [token]
-        return found
+        return len(self.tokens[token]) == 1 or self.parts(token) is not None
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merges lead to b, and a, b is the encoding of their joined bytes."""
-        key = a << 32 | b
-        found = self._valid.get(key)
-        if found is None:
-            if len(self._valid) > 1_000_000:
-                self._valid.clear()
-            found = self._valid[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b] and self.reachable(b)
-        return found
+        """Whether merges lead to b, and a, b is the encoding of their joined bytes.
+
+        Undoes the newer merge next to the boundary, again and again: the pair is broken if at some point the two tokens at
+        the boundary would have been joined before the merge that was undone last.
+        """
+        return self.reachable(b) and self._boundary_holds(a, b)
+
+    def _boundary_holds(self, a: int, b: int) -> bool:
+        ranks, tokens, before = self.ranks, self.tokens, 1 << 62
+        while True:
+            joined = ranks.get(tokens[a] + tokens[b])
+            if joined is not None and joined < before:
+                return False
+            left, right = self.parts(a), self.parts(b)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and a > b):
+                before, a = a, left[1]
+            else:  # a join of equal age further left comes first
+                before, b = b + 1, right[0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """One match of the split pattern; a piece that is a token is that token."""
@@ -86,24 +125,24 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Exact: prefixes that are there stay as they are."""
         bpe, last = self.bpe, self.last
-        endings, valid = bpe.endings, bpe._valid
+        endings = bpe.endings
         data = self.data = self.data + more
         for end in range(len(last), len(data) + 1):
-            node, start = endings, end
-            while start:
+            branch, start = endings, end
+            while True:
                 start -= 1
-                node = node.get(data[start])
-                if node is None:
-                    raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
-                token = node.get(-1)
-                if token is None:
+                token, fits, branch = branch[data[start]]
+                if token < 0:
                     continue
-                if start == 0:
+                if not start:
                     if end > 1 and not bpe.reachable(token):
                         raise ValueError("a prefix has no encoding")
                     break
-                fits = valid.get(last[start] << 32 | token)
-                if fits or (fits is None and bpe.compatible(last[start], token)):
+                good = fits.get(last[start])
+                if good is None:
+                    good = fits[last[start]] = bpe.compatible(last[start], token)
+                    bpe.pairs += 1
+                if good:
                     break
             last.append(token)
 
@@ -135,11 +174,11 @@ class Prefixes:
         return out[::-1]
 
 
-_LOADED: dict[str, tuple[Bpe, dict[str, tuple[str, int]], dict[bytes, bytes]]] = {}
+_LOADED: dict[str, tuple[Bpe, dict[str, str], dict[bytes, bytes]]] = {}
 
 
-def loaded(path: str) -> tuple[Bpe, dict[str, tuple[str, int]], dict[bytes, bytes]]:
-    """The vocabulary of a rank file (base64 of the bytes, a space, the rank), the pieces encoded so far, and the tokens by decimal id; they stay in a reused worker."""
+def loaded(path: str) -> tuple[Bpe, dict[str, str], dict[bytes, bytes]]:
+    """The vocabulary of a rank file (base64 of the bytes, a space, the rank), the pieces encoded so far, and the tokens by decimal id."""
     if path not in _LOADED:
         with open(path, "rb") as f:
             bpe = Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
@@ -165,31 +204,27 @@ def _run(path: str, pattern: str, with_ids: bool):
             for key, text in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 ids, decoded, count, first = hashlib.sha256(), hashlib.sha256(), 0, True
                 every: list[int] = []
-                part: list[str] = []
-                size = 0
                 for found in _pieces(split, text):
-                    for piece in found:
-                        got = cache.get(piece)
-                        if got is None:
-                            if len(cache) >= CACHE_PIECES:
-                                cache.clear()
-                            tokens = bpe.encode_piece(piece.encode())
-                            got = (",".join(map(str, tokens)), len(tokens))
-                            if len(piece) <= 64:
-                                cache[piece] = got
-                        part.append(got[0])
-                        size += got[1]
-                    if part:
-                        row = ",".join(part).encode()
-                        ids.update(row if first else b"," + row)
-                        numbers = row.split(b",")
-                        decoded.update(b"".join([table[x] for x in numbers]))
-                        if with_ids:
-                            every.extend(map(int, numbers))
-                        first, count, size, part = False, count + size, 0, []
+                    if not found:
+                        continue
+                    fresh = [p for p in set(found) if p not in cache]
+                    if fresh and len(cache) + len(fresh) > CACHE_PIECES:
+                        cache.clear()
+                        fresh = list(set(found))
+                    for piece in fresh:
+                        cache[piece] = ",".join(map(str, bpe.encode_piece(piece.encode())))
+                    row = ",".join([cache[p] for p in found]).encode()
+                    ids.update(row if first else b"," + row)
+                    numbers = row.split(b",")
+                    decoded.update(b"".join([table[x] for x in numbers]))
+                    if with_ids:
+                        every.extend(map(int, numbers))
+                    first, count = False, count + len(numbers)
                 out.append([key, count, ids.hexdigest(), decoded.hexdigest()] + [every] * with_ids)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        cache.clear()  # a reused worker keeps the vocabulary and the fitting pairs only
+        bpe.forget(KEPT_PAIRS)
 
     return run
 
