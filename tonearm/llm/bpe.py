@@ -186,11 +186,15 @@ def loaded(path: str) -> tuple[Bpe, dict[str, str], dict[bytes, bytes]]:
     return _LOADED[path]
 
 
+def unload(path: str) -> None:
+    _LOADED.pop(path, None)
+
+
 def load(path: str) -> Bpe:
     return loaded(path)[0]
 
 
-def _run(path: str, pattern: str, with_ids: bool):
+def _run(path: str, pattern: str, with_ids: bool, forget: bool = False):
     fields = [("_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
@@ -225,6 +229,10 @@ def _run(path: str, pattern: str, with_ids: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         cache.clear()  # a reused worker keeps the vocabulary and the fitting pairs only
         bpe.forget(KEPT_PAIRS)
+        if forget:
+            unload(path)
+            del bpe, cache, table
+            C.trim()
 
     return run
 
@@ -243,13 +251,14 @@ def _pieces(split, text: str, limit: int = 1 << 16) -> Iterator[list[str]]:
     yield held
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Token counts, the digest of the ids joined by commas, and the digest of the bytes that the ids decode to.
 
     ``path`` is a rank file that every executor can open.  A row per row; a null text is empty and has no tokens; an empty
-    table gives an empty result; other columns are ignored; ``with_ids`` adds the ids.  No shuffle.
+    table gives an empty result; other columns are ignored; ``with_ids`` adds the ids;
+    ``forget`` drops the vocabulary from a worker after each task, for workers that also run other operators.  No shuffle.
     """
     C.prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_t"))
     kinds = "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_run(path, pattern, with_ids), kinds).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(_run(path, pattern, with_ids, forget), kinds).withColumnRenamed("_id", id_col)

@@ -7,11 +7,12 @@ depend on the length of a text or on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -49,6 +50,14 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tonearm-checkpoints")
 
 
+def trim() -> None:
+    """Give free memory of a reused Python worker back, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than when the driver happens to collect garbage."""
     gc.collect()

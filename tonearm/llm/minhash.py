@@ -156,6 +156,8 @@ def _grouped(settle: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], bl
                     size = sum(x.nbytes for x in held)
         if held:
             yield emit(pa.Table.from_batches(held).combine_chunks())
+        held = []
+        C.trim()
 
     return run
 
@@ -248,7 +250,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     shared = shared.select("band", F.when(F.col("m") > 2 * BLOCK_ROWS, F.ceil(F.col("m") / BLOCK_ROWS)).otherwise(1).cast("int").alias("blocks"))
     buckets = bands.join(shared, "band").groupBy("c").agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
     members = classes.select("c", "n", "sig").join(buckets, "c").mapInArrow(_bucket_rows, "g long, c long, n long, sig binary")
-    maybe = members.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_signature(percent), 16 << 20), "u long, v long")
+    maybe = members.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_signature(percent), 8 << 20), "u long, v long")
 
     groups = components(maybe).withColumnsRenamed({"node": "c"}).join(classes.select("c", "n"), "c")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
@@ -256,7 +258,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     sizes = sizes.select("component", F.when(most > 2, most).otherwise(1).cast("int").alias("blocks"))
     asked = groups.join(sizes, "component").select(F.col("c").alias("_k"), "component", "blocks")
     texts = rows.select("_k", "_t").join(asked, "_k").mapInArrow(_set_rows(shingle), "g long, c long, shingles binary")
-    links = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_sets(percent), 32 << 20), "u long, v long")
+    links = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_sets(percent), 8 << 20), "u long, v long")
 
     found = components(links).withColumnsRenamed({"node": "c"})
     named = classes.select("s1", "s2", "n", "c", "least").join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
