@@ -38,7 +38,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, the ids, and digests of the ids and of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=True, forget=True)
 
 
 STAGES = [
