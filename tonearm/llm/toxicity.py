@@ -27,7 +27,7 @@ from . import common as C
 #: At most so many labelled texts are read to fit (half of each label at most); beyond that those with the smallest hashes of their ids.
 TRAIN_ROWS = 8000
 LEXICON = 4096
-LEAST_ODDS = 2.0
+LEAST_ODDS = 1.8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -173,21 +173,22 @@ def _whole_texts(column: pa.Array):
 
 def _text_counts(texts: list[str], wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """In how many of the texts each form occurs."""
-    parts = []
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _, data, off in _whole_texts(pa.array(texts, pa.string())):
         starts, ends, sums, _, woff = words(data, off)
         owner = np.searchsorted(woff, np.arange(len(starts)), "right") - 1
+        found = [keys]
         for some, hashes in forms(starts, ends, sums):
             if wanted is not None:
                 keep = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
                 some, hashes = some[keep], hashes[keep]
             order = np.lexsort((hashes, owner[some]))
-            once = order[C.run_starts(owner[some][order], hashes[order])]
-            parts.append(np.unique(hashes[once], return_counts=True))
-    keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    names, at = np.unique(keys, return_inverse=True)
-    return {"keys": names, "counts": np.bincount(at, counts, len(names))}
+            found.append(hashes[order[C.run_starts(owner[some][order], hashes[order])]])
+        every = np.concatenate(found)
+        names, at = np.unique(every, return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, np.ones(len(every) - len(keys), np.int64)]), len(names)).astype(np.int64)
+        keys = names
+    return {"keys": keys, "counts": counts}
 
 
 def lexicon(good: list[str], bad: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = F.broadcast(by_hash(0).unionByName(by_hash(1)))  # at most `rows` ids
     mine = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_t")).join(sample, "_id")
     got = sorted((r["_y"], r["_t"]) for r in mine.limit(rows).toLocalIterator())
-    return fit([t for _, t in got], [y for y, _ in got])
+    grammar = fit([t for _, t in got], [y for y, _ in got])
+    del got
+    C.trim()
+    return grammar
 
 
 def _score(grammar: Grammar):
