@@ -79,7 +79,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised."""
-    return F.transform(a, lambda x: x / (norm(a) + 1e-12))
+    return F.zip_with(a, F.array_repeat(norm(a) + 1e-12, F.size(a)), lambda x, n: x / n)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -107,10 +107,11 @@ class Library:
     @cached_property
     def fingerprint(self) -> DataFrame:
         """(content_id, fp): 32 bits in a bigint for each run of three words."""
-        word = lambda i: F.md5(F.concat_ws(" ", F.slice("words", i + 1, 3)).cast("binary"))
-        item = lambda i: F.conv(F.substring(word(i), 1, 8), 16, 10).cast("long")
-        fp = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), item))
-        return self.words.select("content_id", fp.alias("fp")).where("fp is not null")
+        n = F.greatest(F.size("words") - 2, F.lit(0))
+        # the words are zipped with their successors first: inside a lambda the whole list would be made again for each item
+        runs = F.arrays_zip(*[F.slice("words", i, n).alias(f"w{i}") for i in (1, 2, 3)])
+        item = lambda x: F.conv(F.substring(F.md5(F.concat_ws(" ", x["w1"], x["w2"], x["w3"]).cast("binary")), 1, 8), 16, 10).cast("long")
+        return self.words.select("content_id", F.transform(runs, item).alias("fp")).where(F.size("fp") > 0)
 
     @cached_property
     def lookup(self) -> DataFrame:
