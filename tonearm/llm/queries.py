@@ -82,4 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {"op3_suffix_dedup": sql.SUFFIX_DEDUP, "op7_de_bruijn": sql.DE_BRUIJN, "op9_minhash": sql.MINHASH}
