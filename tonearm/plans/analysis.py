@@ -11,7 +11,7 @@ from tonearm.operators import similarity as D
 from tonearm.plans.registry import query
 
 col = F.col
-one = F.lit(1)
+one = "*"  # for F.count; a Column would need a session at import
 
 
 @query("agg_count_filter", "SELECT count(*) AS files, count(*) FILTER (present) AS here, count(*) FILTER (bitrate IS NULL) AS no_rate, count(*) FILTER (tag_genre = 'en' AND present) AS english FROM track")
