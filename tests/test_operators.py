@@ -148,7 +148,7 @@ def test_spectral_finds_blocks():
         a[s, s] = 1.0
     labels = K.spectral_labels(a, 3)
     assert len(set(labels[:20])) == len(set(labels[20:45])) == len(set(labels[45:])) == 1 and len(set(labels)) == 3
-    assert (K.spectral_labels(a, 3) == labels).all()
+    assert (K.spectral_labels(a, 3) == labels).all() and K.eigengap(a) == 3
 
 
 def test_walk():

@@ -203,6 +203,34 @@ def spectral_labels(affinity: np.ndarray, k: int) -> np.ndarray:
     return np.argmax(np.abs(v @ (a @ b)), axis=1)
 
 
+def eigengap(affinity: np.ndarray, most: int = 15) -> int:
+    """How many clusters the largest gap between neighbouring eigenvalues of the normalised Laplacian suggests (2 at least)."""
+    scale = 1 / np.sqrt(np.maximum(affinity.sum(1), 1e-12))
+    values = np.linalg.eigvalsh(np.eye(len(affinity)) - affinity * scale[:, None] * scale[None, :])[: most + 1]
+    return int(np.argmax(np.diff(values)[1:])) + 2
+
+
+def _dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted nodes, symmetric affinity) from rows of links, and rows without a weight for the nodes."""
+    ids = np.sort(part.loc[part["w"].isna(), "i"].to_numpy())
+    links = part[part["w"].notna()]
+    a = np.zeros((len(ids), len(ids)))
+    a[np.searchsorted(ids, links["i"]), np.searchsorted(ids, links["j"])] = links["w"]
+    return ids, np.maximum(a, a.T)
+
+
+def _graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = nodes.select(F.col("content_id").alias("i"), F.col("content_id").alias("j"), F.lit(None).cast("double").alias("w"))
+    return edges.select("i", "j", "w").unionByName(rows).groupBy(F.lit(0).alias("g"))
+
+
+def suggested_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row (k) by ``eigengap``, under the same bound on nodes as ``spectral``."""
+    if nodes.limit(SPECTRAL_NODES + 1).count() > SPECTRAL_NODES:
+        raise ValueError(f"more than {SPECTRAL_NODES} contents")
+    return _graph(edges, nodes).applyInPandas(lambda part: pd.DataFrame({"k": [eigengap(_dense(part)[1])]}), "k int")
+
+
 def spectral(edges: DataFrame, nodes: DataFrame, k: int = CLUSTERS) -> DataFrame:
     """(content_id, cluster_id): one task over a graph of at most ``SPECTRAL_NODES`` nodes; ValueError beyond."""
     count = nodes.limit(SPECTRAL_NODES + 1).count()
@@ -212,15 +240,10 @@ def spectral(edges: DataFrame, nodes: DataFrame, k: int = CLUSTERS) -> DataFrame
         return nodes.select("content_id", F.lit(0).alias("cluster_id"))
 
     def task(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(part.loc[part["w"].isna(), "i"].to_numpy())
-        links = part[part["w"].notna()]
-        a = np.zeros((len(ids), len(ids)))
-        x, y = np.searchsorted(ids, links["i"]), np.searchsorted(ids, links["j"])
-        a[x, y] = links["w"]
-        return pd.DataFrame({"content_id": ids, "cluster_id": spectral_labels(np.maximum(a, a.T), min(k, len(ids)))})
-
-    rows = edges.select("i", "j", "w").unionByName(nodes.select(F.col("content_id").alias("i"), F.col("content_id").alias("j"), F.lit(None).cast("double").alias("w")))
-    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(task, "content_id long, cluster_id int")
+        ids, a = _dense(part)
+        return pd.DataFrame({"content_id": ids, "cluster_id": spectral_labels(a, min(k, len(ids)))})
+
+    return _graph(edges, nodes).applyInPandas(task, "content_id long, cluster_id int")
 
 
 def merged_small(labels: DataFrame, centroids: DataFrame, share: float = 0.02) -> DataFrame:

@@ -153,6 +153,13 @@ def _(lib):
     return lib.spark.createDataFrame(scores, "k int, silhouette double").select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("ev_eigengap")
+def _(lib):
+    rows = part(lib)
+    near = D.nearest(rows, 10)
+    return K.suggested_clusters(D.affinity(near, 10), rows.select("content_id"))
+
+
 @query("ev_merge_small")
 def _(lib):
     rows = with_vectors(lib).withColumn("cluster_id", F.when(col("content_id") % 97 == 0, 50).otherwise(col("cluster_id")))
