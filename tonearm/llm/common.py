@@ -79,6 +79,12 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files give fewer splits than there are cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_key(*columns: Column) -> Column:
     """64-bit key of a row; nulls and equal rows have defined keys."""
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])
