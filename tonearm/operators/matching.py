@@ -49,7 +49,8 @@ DEFAULT = MatchConfig()
 
 def items(fingerprints: DataFrame) -> DataFrame:
     """(content_id, pos, item)."""
-    return fingerprints.select("content_id", F.posexplode("fp").alias("pos", "item"))
+    # outer, as an inner one makes Spark infer a filter on the array's size, which computes the array once more
+    return fingerprints.select("content_id", F.posexplode_outer("fp").alias("pos", "item")).where("pos is not null")
 
 
 def key(item: Column, bits: int) -> Column:

@@ -23,6 +23,12 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files give fewer splits than there are cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Library:
     """Lazily defined tables under one directory; only the columns that a query uses are read."""
 
@@ -101,7 +107,7 @@ class Library:
     def words(self) -> DataFrame:
         """(content_id, words): white space separates."""
         plain = F.translate("text", "\n\t\r", "   ")
-        docs = self.table("documents").select(F.col("doc_id").alias("id"), F.filter(F.split(plain, " "), lambda x: x != "").alias("words"))
+        docs = spread(self.table("documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.filter(F.split(plain, " "), lambda x: x != "").alias("words"))
         return docs.join(self.content.select("id"), "id", "left_semi").select(F.col("id").alias("content_id"), "words")
 
     @cached_property
@@ -111,7 +117,7 @@ class Library:
         # the words are zipped with their successors first: inside a lambda the whole list would be made again for each item
         runs = F.arrays_zip(*[F.slice("words", i, n).alias(f"w{i}") for i in (1, 2, 3)])
         item = lambda x: F.conv(F.substring(F.md5(F.concat_ws(" ", x["w1"], x["w2"], x["w3"]).cast("binary")), 1, 8), 16, 10).cast("long")
-        return self.words.select("content_id", F.transform(runs, item).alias("fp")).where(F.size("fp") > 0)
+        return self.words.where(F.size("words") >= 3).select("content_id", F.transform(runs, item).alias("fp"))
 
     @cached_property
     def lookup(self) -> DataFrame:
