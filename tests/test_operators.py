@@ -190,3 +190,27 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     write([("/b", 5, 0), ("/c", 1, 3), ("/a", 9, 4)])
     run()
     assert {tuple(x) for x in spark.read.parquet(table).collect()} == {("/a", 9, 4), ("/b", 1, 1), ("/c", 1, 3)}
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    """430 contents, and the vectors of all of them."""
+    d, r = tmp_path_factory.mktemp("library"), np.random.default_rng(8)
+    x = r.standard_normal((430, 6)).round(3)
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return str(d), x
+
+
+def test_queries_without_sql_read_all_vectors(spark, library):
+    from tonearm.plans import registry
+
+    path, x = library
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = (1 - u @ u.T).round(9)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    want = {i: min((round(0.7 * d[i, j] - 0.3 * d[near[i, 0], j], 9), j) for j in near[i, 1:])[1] for i in range(430)}
+    run = lambda name: registry.queries()[name](spark, path)
+    assert {r.i: r.chosen for r in run("ev_playlist_mmr").collect()} == want
+    assert run("sim_build_embedding").select("track_id").distinct().count() == 430
+    assert {r.content_id for r in run("cls_spectral").collect()} == set(range(430))

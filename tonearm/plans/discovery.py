@@ -14,7 +14,7 @@ from tonearm.plans.relational import members
 
 col = F.col
 one = "*"  # for F.count; a Column would need a session at import
-PART = 400  # a library's worth of vectors for the all-pairs checks
+PART = 400  # as in the SQL view pairwise: the queries without SQL read all vectors
 
 
 def part(lib):
@@ -138,7 +138,7 @@ def _(lib):
 
 
 def index(lib, k: int = 100):
-    return D.embedding_index(part(lib), k)
+    return D.embedding_index(lib.embedding, k)
 
 
 @query("sim_build_embedding")
@@ -294,7 +294,7 @@ def _(lib):
 
 
 def spectral(lib, k: int = K.CLUSTERS):
-    rows = part(lib)
+    rows = lib.embedding
     near = D.embedding_index(rows, 10).select(col("track_id").alias("i"), col("neighbor_id").alias("j"), col("combined_score").alias("d"), "place")
     return K.spectral(D.affinity(near, 10), rows.select("content_id"), k)
 

@@ -155,7 +155,7 @@ def _(lib):
 
 @query("ev_eigengap")
 def _(lib):
-    rows = part(lib)
+    rows = lib.embedding
     near = D.nearest(rows, 10)
     return K.suggested_clusters(D.affinity(near, 10), rows.select("content_id"))
 
@@ -175,10 +175,11 @@ def _(lib):
 @query("ev_playlist_mmr")
 def _(lib):
     """A step of maximal marginal relevance: of each track's ten nearest, the one that is close to it and far from its nearest."""
-    near = D.nearest(part(lib), 10).select("i", "j", "d", "place")
+    near = D.nearest(lib.embedding, 10).select("i", "j", "d", "place")
     first = near.where("place = 1").select("i", col("j").alias("first"))
-    far = D.nearest(part(lib), PART).select(col("i").alias("first"), "j", col("d").alias("d2"))
-    rows = near.where("place > 1").join(first, "i").join(far, ["first", "j"])
+    vector = lambda c, name: lib.embedding.select(col("content_id").alias(c), col("vector").alias(name))
+    rows = near.where("place > 1").join(first, "i").join(vector("first", "a"), "first").join(vector("j", "b"), "j")
+    rows = rows.withColumn("d2", F.round(S.cosine_distance(col("a"), col("b")), 9))
     return rows.groupBy("i").agg(F.min_by("j", F.struct(F.round(0.7 * col("d") - 0.3 * col("d2"), 9), "j")).alias("chosen"))
 
 
@@ -228,5 +229,3 @@ def _(lib):
     rows = lib.table("documents").select(line.alias("line"))
     return rows.select(F.regexp_extract("line", r"^\| *([0-9]+) *\|", 1).cast("long").alias("id"), F.regexp_extract("line", r"\| *([a-z]+) *\|$", 1).alias("verdict"))
 
-
-_ = S
