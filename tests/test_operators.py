@@ -214,3 +214,25 @@ def test_queries_without_sql_read_all_vectors(spark, library):
     assert {r.i: r.chosen for r in run("ev_playlist_mmr").collect()} == want
     assert run("sim_build_embedding").select("track_id").distinct().count() == 430
     assert {r.content_id for r in run("cls_spectral").collect()} == set(range(430))
+
+
+def test_index_by_mutual_proximity_over_all_others(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((60, 24)), 0.05 * r.standard_normal((10, 24))]) + 1.0  # the last ten are hubs
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
+    got = {}
+    for n in D.embedding_index(rows, 2, block=16).collect():
+        got.setdefault(n.track_id, {})[n.place] = (n.neighbor_id, n.combined_score)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = (1 - u @ u.T).round(9)
+    others = ~np.eye(70, dtype=bool)
+    mean, sd = (np.array([f(d[i][others[i]]) for i in range(70)]) for f in (np.mean, np.std))
+    above = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)))((d - mean[:, None]) / sd[:, None])
+    mp = np.where(others, 1 - above * above.T, np.inf)
+    order = np.argsort(mp, axis=1, kind="stable")[:, :2]
+    near = np.argsort(np.where(others, d, np.inf), axis=1, kind="stable")[:, :8]
+    pool = {(i, j) for i in range(70) for j in near[i].tolist()}
+    assert any((i, j) not in pool and (j, i) not in pool for i in range(70) for j in order[i].tolist())  # lost by a pool of four times as many
+    for i in range(70):
+        assert [got[i][p][0] for p in (1, 2)] == order[i].tolist()
+        assert [got[i][p][1] for p in (1, 2)] == pytest.approx(mp[i, order[i]].tolist(), abs=1e-7)

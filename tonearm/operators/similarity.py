@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import scalars as S
+from tonearm.operators.grouping import checkpointed
 
 # Weights of the components, and the scale of a tempo difference.
 WEIGHTS = {"mfcc": 0.5, "bpm": 0.25, "key": 0.15, "energy": 0.1}
@@ -116,12 +117,36 @@ def mutual_proximity(pairs: DataFrame, moments: DataFrame) -> DataFrame:
     return both.withColumn("mp", 1 - above("i") * above("j")).drop("m_i", "s_i", "m_j", "s_j")
 
 
-def embedding_index(rows: DataFrame, k: int = 100, pool: int = 4, block: int = 1024) -> DataFrame:
-    """(track_id, neighbor_id, raw, combined_score, place): the k nearest by mutual proximity among the nearest pool * k by distance in either direction."""
-    near = nearest(rows, pool * k, block=block).select("i", "j", "d")
-    both = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).distinct()
-    scored = mutual_proximity(both, row_moments(rows, block=block))
-    best = top_k(scored, "i", "mp", "j", k)
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    """S.normal_cdf on an array."""
+    a = np.abs(x)
+    inside = np.minimum(a, 7.1)
+    tail = np.where(a < 7.07106781186547, np.exp(-inside * inside / 2) * np.polyval(S.NUMERATOR, inside) / np.polyval(S.DENOMINATOR, inside), 0.0)
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def embedding_index(rows: DataFrame, k: int = 100, block: int = 1024) -> DataFrame:
+    """(track_id, neighbor_id, raw, combined_score, place): the k nearest others by mutual proximity, ties by id; every pair is scored in its blocks."""
+
+    def task(part: pd.DataFrame) -> pd.DataFrame:
+        data, asked = part[part["_role"] == "data"], part[part["_role"] == "query"]
+        if not len(data) or not len(asked):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0), "mp": np.zeros(0)})
+        data = data.sort_values("content_id")
+        i, j = asked["content_id"].to_numpy(), data["content_id"].to_numpy()
+        d = np.clip(1 - unit_rows(asked["vector"]) @ unit_rows(data["vector"]).T, 0, 2).round(9)
+        above = lambda of, shape: 1 - _normal_cdf((d - of["mean"].to_numpy().reshape(shape)) / np.maximum(of["sd"].to_numpy(), 1e-12).reshape(shape))
+        mp = 1 - above(asked, (-1, 1)) * above(data, (1, -1))
+        mp[i[:, None] == j[None, :]] = np.inf
+        take = np.argsort(mp, axis=1, kind="stable")[:, :k]
+        pick = lambda x: np.take_along_axis(x, take, 1).ravel()
+        out = pd.DataFrame({"i": np.repeat(i, take.shape[1]), "j": j[take].ravel(), "d": pick(d), "mp": pick(mp)})
+        return out[np.isfinite(out["mp"])]
+
+    moments = row_moments(rows, block=block).select(F.col("i").alias("content_id"), "mean", "sd")
+    known = checkpointed(rows.select("content_id", "vector").join(moments, "content_id"))
+    some = block_pairs(known, "content_id", F.lit(True), block).groupBy("_q", "_d").applyInPandas(task, "i long, j long, d double, mp double")
+    best = top_k(some, "i", "mp", "j", k)
     return best.select(F.col("i").alias("track_id"), F.col("j").alias("neighbor_id"), (F.col("d") / 2).alias("raw"), F.col("mp").alias("combined_score"), "place")
 
 
