@@ -93,3 +93,20 @@ def test_without_a_filter_and_empty(spark, monkeypatch):
     assert {x.doc_id: x.items for x in D.decontaminate(docs, bench).collect()} == {1: [5], 2: []}
     assert D.decontaminate(docs.limit(0), bench).collect() == []
     assert [x.contaminated for x in D.decontaminate(docs, bench.limit(0)).collect()] == [False, False]
+
+
+EDITED = "a man who lives far from the old town of Paris wants to see the sea and the hills today"  # 20 tokens, the name amid
+
+
+def test_names_of_other_lengths_and_an_inserted_word(spark):
+    texts = {
+        1: EDITED.replace("Paris", "New York"), 2: EDITED.replace("Paris", "Paris often"), 3: "we saw that " + EDITED.replace("Paris", "San Juan Bautista") + " as well",
+        4: ITEM.replace("Paris", "New York").replace("450 km", "450"), 5: " ".join(EDITED.split()[:10]), 6: EDITED.replace("of Paris wants to see the", "near Rome where one can find a"),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, EDITED), (2, ITEM)], "item_id long, text string")
+    rows = {x.doc_id: x for x in D.decontaminate(docs, bench).collect()}
+    assert {k: x["items"] for k, x in rows.items()} == {1: [1], 2: [1], 3: [1], 4: [2], 5: [], 6: []}
+    assert rows[1].reworded and rows[3].reworded and not rows[2].reworded
+    assert all(x.coverage <= 1 for x in rows.values())
+    assert not any(1 in v for v in brute(texts, {1: EDITED}).values())  # lost at one alignment of single names

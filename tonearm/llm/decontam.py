@@ -3,9 +3,11 @@
 Texts become sequences of typed tokens: numbers, names (capitalised inside a sentence) and units
 (a unit word after a number) are placeholders, everything else is its lower-case word.
 Windows of ``size`` template tokens are hash-joined with those of the benchmark
-items.  A text holds an item if, at one alignment, enough of the item's windows
+items, as they are and with each run of names, and each number with its unit, as one slot.
+A text holds an item if, at one alignment or over a band of near ones, enough of the item's windows
 match and the slots are consistent: each value in the item's slots stands
 for one value in the text's.  So an item with other numbers and names is found too.
+In a band the windows round an edit count as well if the windows at both sides of it match.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -34,6 +36,10 @@ UNITS = (
     "w kw kwh v volts watts hz khz mhz kb mb gb tb"
 ).split()
 
+#: Forms of a template; their windows never meet.
+RAW, COLLAPSED = range(2)
+SALTS = (np.uint64(0), np.uint64(0x5BD1E9955BD1E995))
+
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -99,37 +105,52 @@ def _template_blocks(column: pa.Array):
         lo = hi
 
 
+def _collapsed(tokens: np.ndarray, values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A template with each run of names, and each number with its unit, as one token."""
+    if not len(tokens):
+        return tokens, values, off
+    begin = np.ones(len(tokens), bool)
+    begin[1:] = (tokens[1:] != UNIT) & ((tokens[1:] != NAME) | (tokens[:-1] != NAME))
+    begin[off[:-1][off[:-1] < len(tokens)]] = True
+    at = np.flatnonzero(begin)
+    return tokens[at], C.span_hash(C.prefix_sums(C.mix(values)), at, np.append(at[1:], len(tokens))), np.searchsorted(at, off)
+
+
 def _windows(size: int, literals: int, known: np.ndarray | None):
-    schema = pa.schema([("_k", pa.int64()), ("w", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
+    schema = pa.schema([("_k", pa.int64()), ("form", pa.int32()), ("w", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
+
+    def windows(keys: np.ndarray, form: int, tokens: np.ndarray, values: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = np.maximum(0, np.diff(off) - size + 1)
+        if not counts.sum():
+            return
+        text = np.repeat(np.arange(len(counts)), counts)
+        start = off[text] + np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+        hashes = C.gram_hashes(C.prefix_sums(C.mix(tokens)), size)[start] ^ SALTS[form]
+        slot = (tokens == NUMBER) | (tokens == NAME) | (tokens == UNIT)
+        slots = np.concatenate([[0], np.cumsum(slot)])
+        keep = size - (slots[start + size] - slots[start]) >= literals
+        if known is not None:
+            keep &= known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else False
+        sel = np.flatnonzero(keep)
+        if not len(sel):
+            return
+        found, where = values.view(np.int64), np.flatnonzero(slot)
+        lists = [found[where[slots[s] : slots[s + size]]].tolist() for s in start[sel].tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[text[sel]]), pa.array(np.full(len(sel), form, np.int32)), pa.array(hashes[sel].view(np.int64)), pa.array((start - off[text])[sel].astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))], schema=schema
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_k").to_numpy(zero_copy_only=False)
-            for lo, tokens, values, off in _template_blocks(batch.column("_t")):
-                counts = np.maximum(0, np.diff(off) - size + 1)
-                if not counts.sum():
-                    continue
-                text = np.repeat(np.arange(len(counts)), counts)
-                start = off[text] + np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
-                hashes = C.gram_hashes(C.prefix_sums(C.mix(tokens)), size)[start]
-                slot = (tokens == NUMBER) | (tokens == NAME) | (tokens == UNIT)
-                slots = np.concatenate([[0], np.cumsum(slot)])
-                keep = size - (slots[start + size] - slots[start]) >= literals
-                if known is not None:
-                    keep &= known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else False
-                sel = np.flatnonzero(keep)
-                if not len(sel):
-                    continue
-                found, where = values.view(np.int64), np.flatnonzero(slot)
-                lists = [found[where[slots[s] : slots[s + size]]].tolist() for s in start[sel].tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[lo + text[sel]]), pa.array(hashes[sel].view(np.int64)), pa.array((start - off[text])[sel].astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))], schema=schema
-                )
+            for lo, *text in _template_blocks(batch.column("_t")):
+                yield from windows(keys[lo:], RAW, *text)
+                yield from windows(keys[lo:], COLLAPSED, *_collapsed(*text))
 
     return run
 
 
-KIND = "_k long, w long, at int, slots array<long>"
+KIND = "_k long, form int, w long, at int, slots array<long>"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, literals: int = LITERALS, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
@@ -139,17 +160,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = C.keyed(benchmark, item_col, item_text_col)
     names = items.select("_k", "_id").distinct()
     theirs = items.mapInArrow(lambda b: _windows(size, literals, None)((x.select(["_k", "_t"]) for x in b)), KIND)
-    theirs = theirs.select(F.col("_k").alias("item"), "w", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
-    totals = theirs.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
+    theirs = theirs.select(F.col("_k").alias("item"), "form", "w", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
+    theirs = theirs.withColumn("no", F.dense_rank().over(Window.partitionBy("item", "form").orderBy("item_at")))
+    totals = theirs.groupBy("item", "form").agg(F.max("no").alias("total"))
     known = [r[0] for r in theirs.select("w").distinct().limit(BROADCAST_WINDOWS + 1).collect()]
     known = np.sort(np.array(known, np.int64).view(np.uint64)) if len(known) <= BROADCAST_WINDOWS else None
-    ours = C.keyed(docs, id_col, text_col).select("_k", "_t").mapInArrow(_windows(size, literals, known), KIND)
-    hit = ours.join(theirs, "w").withColumn("shift", F.col("at") - F.col("item_at"))
-    per = hit.groupBy("_k", "item", "shift").agg(F.countDistinct("item_at").alias("n"))
-    slots = hit.select("_k", "item", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select("_k", "item", "shift", "x.item_slots", "x.slots").distinct()
-    stands = slots.groupBy("_k", "item", "shift", "item_slots").agg(F.count(F.lit(1)).alias("values"), F.max((F.col("item_slots") == F.col("slots")).cast("int")).alias("same"))
-    agree = stands.groupBy("_k", "item", "shift").agg(F.avg((F.col("values") == 1).cast("double")).alias("agree"), F.min("same").alias("same"))
-    held = per.join(totals, "item").where(F.col("n") >= coverage * F.col("total")).join(agree, ["_k", "item", "shift"], "left")
+    ours = C.keyed(docs, id_col, text_col).select("_k", "_t").mapInArrow(_windows(size, literals, known), KIND).drop("form")
+    # lanes of a hit: its alignment, and two bands that overlap, so that alignments that differ by at most ``reach`` share one
+    hit = ours.join(theirs.join(totals, ["item", "form"]), "w").withColumn("shift", F.col("at") - F.col("item_at"))
+    reach = F.greatest(F.lit(size), F.ceil(F.col("total") / 4)).cast("int")
+    band = F.floor(F.col("shift") / reach).cast("int")
+    lane = lambda wide, at: F.struct(F.lit(wide).alias("wide"), at.alias("at"))
+    hit = hit.withColumn("lane", F.explode(F.array(lane(False, F.col("shift")), lane(True, band), lane(True, band - 1))))
+    by = ["_k", "item", "form", "lane"]
+    per = hit.groupBy(*by).agg(F.first("total").alias("total"), F.sort_array(F.collect_set(F.struct("item_at", "no"))).alias("p"))
+    rest = F.size("p") - 1
+    gaps = F.zip_with(F.slice("p", F.lit(1), rest), F.slice("p", F.lit(2), rest), lambda x, y: F.when(y["item_at"] - x["item_at"] <= size + 1, y["no"] - x["no"] - 1).otherwise(0))
+    bridged = F.when(F.col("lane.wide"), F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    per = per.withColumn("n", F.size("p") + bridged).drop("p")
+    slots = hit.select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*by, "x.item_slots", "x.slots").distinct()
+    stands = slots.groupBy(*by, "item_slots").agg(F.count(F.lit(1)).alias("values"), F.max((F.col("item_slots") == F.col("slots")).cast("int")).alias("same"))
+    agree = stands.groupBy(*by).agg(F.avg((F.col("values") == 1).cast("double")).alias("agree"), F.min("same").alias("same"))
+    held = per.where(F.col("n") >= coverage * F.col("total")).join(agree, by, "left")
     held = held.where(F.coalesce("agree", F.lit(1.0)) >= consistent)
     best = held.groupBy("_k", "item").agg(F.max(F.col("n") / F.col("total")).alias("coverage"), (F.max(F.coalesce("same", F.lit(1))) == 1).alias("same_values"))
     return best.join(names.withColumnsRenamed({"_k": "item", "_id": "item_id"}), "item").select("_k", "item_id", "coverage", "same_values")
