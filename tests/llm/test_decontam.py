@@ -110,3 +110,16 @@ def test_names_of_other_lengths_and_an_inserted_word(spark):
     assert rows[1].reworded and rows[3].reworded and not rows[2].reworded
     assert all(x.coverage <= 1 for x in rows.values())
     assert not any(1 in v for v in brute(texts, {1: EDITED}).values())  # lost at one alignment of single names
+
+
+def test_dense_and_short_items_and_a_first_word_inside_a_sentence(spark):
+    items = {1: "Add 12 cm, 13 cm, 14 cm and 15 cm to 16 kg", 2: "How old is Anna Smith", 3: "Find the sum of all the odd numbers", 4: "Anna Smith and Paul Jones met Mary Brown", 5: "..."}
+    texts = {
+        10: "so " + items[1] + " now", 11: items[1].replace("12", "17").replace("16", "99").replace("14", "3"), 20: "we ask: how old is Anna Smith today", 21: "How old is Anna Jones",
+        30: "we were told Find the sum of all the odd numbers", 40: "they say Anna Smith and Paul Jones met Mary Brown", 41: items[4], 50: "... nothing", 51: "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {x.doc_id: x.items for x in D.decontaminate(docs, bench).collect()}
+    assert got == {10: [1], 11: [], 20: [2], 21: [], 30: [3], 40: [4], 41: [4], 50: [], 51: []}
+    assert not any(brute(texts, items)[d] for d in (10, 20, 30, 40, 41))  # lost by windows of enough literals alone

@@ -37,8 +37,10 @@ UNITS = (
 ).split()
 
 #: Forms of a template; their windows never meet.
-RAW, COLLAPSED = range(2)
-SALTS = (np.uint64(0), np.uint64(0x5BD1E9955BD1E995))
+RAW, COLLAPSED, EXACT = range(3)
+SALTS = (np.uint64(0), np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F))
+#: What an item is told apart by: its form, and for the first two also whether its capitalised first word is a name, as it is inside a sentence.
+FIRST_NAME = 3
 
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111, 0x2222, 0x3333))
 _WORD = np.zeros(256, bool)
@@ -57,8 +59,11 @@ def _hash_word(word: str) -> np.uint64:
 UNIT_HASHES = np.sort(np.array([_hash_word(x) for x in UNITS], np.uint64))
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template tokens, the values in their places, token offsets of the texts).  A number may hold points and commas between digits."""
+def template(data: np.ndarray, off: np.ndarray, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template tokens, the values in their places, token offsets of the texts).  A number may hold points and commas between digits.
+
+    ``inside``: the texts are taken to begin inside a sentence, so a capital there makes a name.
+    """
     word = _WORD[data]
     if len(data) > 2:
         digit = _DIGIT[data]
@@ -76,15 +81,17 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.ones(len(starts), bool)
     first[1:] = stops[starts[1:]] > stops[ends[:-1]]
     woff = np.searchsorted(starts, off)
-    first[woff[:-1][woff[:-1] < len(starts)]] = True
+    first[woff[:-1][woff[:-1] < len(starts)]] = not inside
+    same = np.ones(len(starts), bool)
+    same[woff[:-1][woff[:-1] < len(starts)]] = False
     capital = (data[starts] >= 65) & (data[starts] <= 90)
     unit = np.zeros(len(starts), bool)
-    unit[1:] = number[:-1] & ~first[1:] & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, values[1:]), len(UNIT_HASHES) - 1)] == values[1:])
+    unit[1:] = number[:-1] & ~first[1:] & same[1:] & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, values[1:]), len(UNIT_HASHES) - 1)] == values[1:])
     tokens = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~first, NAME, values)))
     return tokens, values, woff
 
 
-def _template_blocks(column: pa.Array):
+def _template_blocks(column: pa.Array, inside: bool = False):
     """Whole texts; (first row, tokens, values, token offsets)."""
     data, off = C.text_buffers(column)
     n, lo = len(off) - 1, 0
@@ -97,11 +104,11 @@ def _template_blocks(column: pa.Array):
                 j = min(len(part), cuts[-1] + C.BLOCK)
                 gap = np.flatnonzero(C.SPACE[part[cuts[-1] + 1 : j]])
                 cuts.append(j if j == len(part) or not len(gap) else cuts[-1] + 1 + int(gap[-1]))
-            parts = [template(part[a:b], np.array([0, b - a]))[:2] for a, b in zip(cuts, cuts[1:])]
+            parts = [template(part[a:b], np.array([0, b - a]), inside and not a)[:2] for a, b in zip(cuts, cuts[1:])]
             tokens, values = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield lo, tokens, values, np.array([0, len(tokens)])
         else:
-            yield (lo, *template(part, at))
+            yield (lo, *template(part, at, inside))
         lo = hi
 
 
@@ -116,41 +123,110 @@ def _collapsed(tokens: np.ndarray, values: np.ndarray, off: np.ndarray) -> tuple
     return tokens[at], C.span_hash(C.prefix_sums(C.mix(values)), at, np.append(at[1:], len(tokens))), np.searchsorted(at, off)
 
 
-def _windows(size: int, literals: int, known: np.ndarray | None):
-    schema = pa.schema([("_k", pa.int64()), ("form", pa.int32()), ("w", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
-
-    def windows(keys: np.ndarray, form: int, tokens: np.ndarray, values: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
-        counts = np.maximum(0, np.diff(off) - size + 1)
-        if not counts.sum():
-            return
-        text = np.repeat(np.arange(len(counts)), counts)
-        start = off[text] + np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
-        hashes = C.gram_hashes(C.prefix_sums(C.mix(tokens)), size)[start] ^ SALTS[form]
-        slot = (tokens == NUMBER) | (tokens == NAME) | (tokens == UNIT)
-        slots = np.concatenate([[0], np.cumsum(slot)])
-        keep = size - (slots[start + size] - slots[start]) >= literals
-        if known is not None:
-            keep &= known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else False
-        sel = np.flatnonzero(keep)
-        if not len(sel):
-            return
-        found, where = values.view(np.int64), np.flatnonzero(slot)
-        lists = [found[where[slots[s] : slots[s + size]]].tolist() for s in start[sel].tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[text[sel]]), pa.array(np.full(len(sel), form, np.int32)), pa.array(hashes[sel].view(np.int64)), pa.array((start - off[text])[sel].astype(np.int32)), pa.array(lists, pa.list_(pa.int64()))], schema=schema
-        )
+SCHEMA = pa.schema([("_k", pa.int64()), ("form", pa.int32()), ("w", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
+KIND = "_k long, form int, w long, at int, slots array<long>"
+
+
+def _starts(off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first token) of every window."""
+    counts = np.maximum(0, np.diff(off) - size + 1)
+    text = np.repeat(np.arange(len(counts)), counts)
+    return text, off[text] + np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+
+
+def _literal(tokens: np.ndarray, start: np.ndarray, size: int, literals: int) -> np.ndarray:
+    """Which windows have enough literal tokens."""
+    slots = np.concatenate([[0], np.cumsum((tokens == NUMBER) | (tokens == NAME) | (tokens == UNIT))])
+    return size - (slots[start + size] - slots[start]) >= literals
+
+
+def _batch(keys, form: int, hashes: np.ndarray, at: np.ndarray, slots: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys), pa.array(np.full(len(at), form, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], schema=SCHEMA
+    )
+
+
+def _among(hashes: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    if known is None:
+        return np.ones(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def _templates(keys, form: int, name: int, text: tuple, size: int, literals: int, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows with enough literals."""
+    tokens, values, off = text
+    which, start = _starts(off, size)
+    if not len(start):
+        return
+    hashes = C.gram_hashes(C.prefix_sums(C.mix(tokens)), size)[start] ^ SALTS[form]
+    sel = np.flatnonzero(_literal(tokens, start, size, literals) & _among(hashes, known))
+    if not len(sel):
+        return
+    slot = (tokens == NUMBER) | (tokens == NAME) | (tokens == UNIT)
+    slots = np.concatenate([[0], np.cumsum(slot)])
+    found, where = values.view(np.int64), np.flatnonzero(slot)
+    lists = [found[where[slots[s] : slots[s + size]]].tolist() for s in start[sel].tolist()]
+    yield _batch(keys[which[sel]], name, hashes[sel], (start - off[which])[sel], lists)
+
+
+def _exact(keys, values: np.ndarray, off: np.ndarray, size: int, keep: np.ndarray | None, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows of values."""
+    which, start = _starts(off, size)
+    if not len(start):
+        return
+    hashes = C.gram_hashes(C.prefix_sums(C.mix(values)), size)[start] ^ SALTS[EXACT]
+    sel = np.flatnonzero((True if keep is None else keep) & _among(hashes, known))
+    if len(sel):
+        yield _batch(keys[which[sel]], EXACT, hashes[sel], (start - off[which])[sel], [[]] * len(sel))
+
+
+def _windows(size: int, literals: int, known: np.ndarray | None, short: list[int]):
+    """Windows of texts: templates in two forms; the values of windows with few literals, and of each run as long as a ``short`` item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_k").to_numpy(zero_copy_only=False)
             for lo, *text in _template_blocks(batch.column("_t")):
-                yield from windows(keys[lo:], RAW, *text)
-                yield from windows(keys[lo:], COLLAPSED, *_collapsed(*text))
+                tokens, values, off = text
+                yield from _templates(keys[lo:], RAW, RAW, text, size, literals, known)
+                yield from _templates(keys[lo:], COLLAPSED, COLLAPSED, _collapsed(*text), size, literals, known)
+                yield from _exact(keys[lo:], values, off, size, ~_literal(tokens, _starts(off, size)[1], size, literals), known)
+                for n in short:
+                    yield from _exact(keys[lo:], values, off, n, None, known)
 
     return run
 
 
-KIND = "_k long, form int, w long, at int, slots array<long>"
+def _item_windows(size: int, literals: int):
+    """Windows of items, with the first word as it is and as a name; the values of items without a window with enough literals, whole if shorter than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("_k").to_numpy(zero_copy_only=False)
+            for (lo, *text), (_, *inner) in zip(_template_blocks(batch.column("_t")), _template_blocks(batch.column("_t"), True), strict=True):
+                tokens, values, off = text
+                for name, one in ((0, text), (FIRST_NAME, inner)):
+                    yield from _templates(keys[lo:], RAW, name + RAW, one, size, literals, None)
+                    yield from _templates(keys[lo:], COLLAPSED, name + COLLAPSED, _collapsed(*one), size, literals, None)
+                which, start = _starts(off, size)
+                some = np.bincount(which[_literal(inner[0], start, size, literals)], minlength=len(off) - 1) > 0
+                yield from _exact(keys[lo:], values, off, size, ~some[which], None)
+                lengths = np.diff(off)
+                for n in range(1, size):
+                    yield from _exact(keys[lo:], values, off, n, (lengths == n)[_starts(off, n)[0]], None)
+
+    return run
+
+
+def _short(size: int):
+    """Lengths of the items that are shorter than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {int(n) for _, *text in _template_blocks(batch.column("_t")) for n in np.diff(text[2]) if 0 < n < size}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
+
+    return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, literals: int = LITERALS, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
@@ -159,13 +235,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     C.prepare(spark)
     items = C.keyed(benchmark, item_col, item_text_col)
     names = items.select("_k", "_id").distinct()
-    theirs = items.mapInArrow(lambda b: _windows(size, literals, None)((x.select(["_k", "_t"]) for x in b)), KIND)
+    theirs = items.select("_k", "_t").mapInArrow(_item_windows(size, literals), KIND)
+    short = sorted(r[0] for r in items.select("_t").mapInArrow(_short(size), "n int").distinct().collect())  # under size rows
     theirs = theirs.select(F.col("_k").alias("item"), "form", "w", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
     theirs = theirs.withColumn("no", F.dense_rank().over(Window.partitionBy("item", "form").orderBy("item_at")))
     totals = theirs.groupBy("item", "form").agg(F.max("no").alias("total"))
     known = [r[0] for r in theirs.select("w").distinct().limit(BROADCAST_WINDOWS + 1).collect()]
     known = np.sort(np.array(known, np.int64).view(np.uint64)) if len(known) <= BROADCAST_WINDOWS else None
-    ours = C.keyed(docs, id_col, text_col).select("_k", "_t").mapInArrow(_windows(size, literals, known), KIND).drop("form")
+    ours = C.keyed(docs, id_col, text_col).select("_k", "_t").mapInArrow(_windows(size, literals, known, short), KIND).drop("form")
     # lanes of a hit: its alignment, and two bands that overlap, so that alignments that differ by at most ``reach`` share one
     hit = ours.join(theirs.join(totals, ["item", "form"]), "w").withColumn("shift", F.col("at") - F.col("item_at"))
     reach = F.greatest(F.lit(size), F.ceil(F.col("total") / 4)).cast("int")
@@ -190,8 +267,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, contaminated, items (sorted), coverage (of the best item, 0 if none) and reworded (an item with other values) for every row.
 
-    A null text is empty; texts and items with fewer than ``size`` tokens, or whose windows are nearly all slots, match
-    nothing; repeated rows each give a row; empty tables give empty results or no matches; other columns are ignored.
+    A null text is empty and matches nothing.  An item with fewer than ``size`` tokens is held if the text has all of them in a row, and one
+    whose windows all have fewer than ``literals`` literals is matched by its values, so that only copies are found; repeated rows each give a row; empty tables give empty results or no matches; other columns are ignored.
     """
     found = matches(docs, benchmark, id_col, text_col, **options)
     per = found.groupBy("_k").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.min("same_values").alias("same"))
