@@ -236,3 +236,14 @@ def test_index_by_mutual_proximity_over_all_others(spark):
     for i in range(70):
         assert [got[i][p][0] for p in (1, 2)] == order[i].tolist()
         assert [got[i][p][1] for p in (1, 2)] == pytest.approx(mp[i, order[i]].tolist(), abs=1e-7)
+
+
+def test_whole_fingerprints_are_smoothed(spark):
+    from tonearm.plans import registry
+    from tonearm.sources.library import Library
+
+    data = "/root/testdata/sf0.001"
+    fps = {r.content_id: r.fp for r in Library(spark, data).fingerprint.collect()}
+    assert max(map(len, fps.values())) > 200
+    got = {r.content_id: r.total for r in registry.queries()["fp_smooth"](spark, data).collect()}
+    assert got == {i: pytest.approx(X.smooth(np.asarray(x, float) % 32, 8.0).sum(), abs=1e-5) for i, x in fps.items()}

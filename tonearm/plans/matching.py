@@ -111,7 +111,7 @@ def _(lib):
 
     def run(batches):
         for part in batches:
-            sums = [float(X.smooth(np.asarray(x[:200], float) % 32, 8.0).sum()) for x in part["fp"]]
+            sums = [float(X.smooth(np.asarray(x, float) % 32, 8.0).sum()) for x in part["fp"]]
             yield pd.DataFrame({"content_id": part["content_id"], "total": np.round(sums, 6)})
 
     return lib.fingerprint.mapInPandas(run, "content_id long, total double")
