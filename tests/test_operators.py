@@ -247,3 +247,30 @@ def test_whole_fingerprints_are_smoothed(spark):
     assert max(map(len, fps.values())) > 200
     got = {r.content_id: r.total for r in registry.queries()["fp_smooth"](spark, data).collect()}
     assert got == {i: pytest.approx(X.smooth(np.asarray(x, float) % 32, 8.0).sum(), abs=1e-5) for i, x in fps.items()}
+
+
+def test_stability_is_over_all_pairs_of_four_samples(spark, monkeypatch):
+    from tonearm.plans import registry
+
+    seeds = []
+
+    def fake(matrix, k, seed):
+        seeds.append(seed)
+        return matrix.select("content_id", (F.col("content_id") % (seed + 2)).cast("int").alias("cluster_id"))
+
+    monkeypatch.setattr(K, "kmeans", fake)
+    data = "/root/testdata/sf0.001"
+    got = registry.queries()["ev_stability"](spark, data).collect()[0].stability
+    from tonearm.sources.library import Library
+
+    lib = Library(spark, data)
+    sample = [F.pmod(F.xxhash64("content_id", F.lit(i)), F.lit(10)) < 8 for i in range(4)]
+    rows = [tuple(r) for r in K.feature_matrix(lib.features, lib.embedding).select("content_id", *sample).collect()]
+    pairs, values = lambda xs: sum(n * (n - 1) / 2 for n in xs), []
+    for i, j in itertools.combinations(range(4), 2):
+        ids = [r[0] for r in rows if r[1 + i] and r[1 + j]]
+        count = lambda f: pairs(np.unique([f(x) for x in ids], return_counts=True)[1].tolist())  # noqa: B023, E731
+        both, a, b = count(lambda x: x % (i + 2) * 10 + x % (j + 2)), count(lambda x: x % (i + 2)), count(lambda x: x % (j + 2))  # noqa: B023
+        expected = a * b / pairs([len(ids)])
+        values.append((both - expected) / ((a + b) / 2 - expected))
+    assert seeds == [0, 1, 2, 3] and got == pytest.approx(np.mean(values), abs=1e-6)
