@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonearm.llm import debruijn as D
@@ -43,16 +45,37 @@ def test_matches_brute_force(spark, seed, limit):
     assert sorted([tuple(x)[:4] for x in got], key=str) == brute(rows, 6)
 
 
-def test_long_text_in_stretches(spark, monkeypatch):
+@pytest.mark.parametrize("bits,limit", [(0x3F, 10_000), (0x3FF, 10_000), (0x3FF, 4)])
+def test_colliding_hashes_lose_nothing(spark, bits, limit):
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.remove_repeated(docs, size=6, gram=2, group_limit=limit, bits=bits).collect()
+    assert sorted([tuple(x)[:4] for x in got], key=str) == brute(rows, 6)
+
+
+def test_long_text_in_stretches():
     r = random.Random(4)
-    words = [f"w{r.randint(0, 500)}" for _ in range(4000)]
-    import pyarrow as pa
-
-    t = pa.array([" ".join(words)])
-    flat = [tuple(x.tolist() for x in y) for y in D._blocks(t, 13, 4)]
-    cut = [tuple(x.tolist() for x in y) for y in D._blocks(t, 13, 4, limit=300)]
-    for i in (1, 2, 4):
-        assert sum((c[i] for c in cut), []) == flat[0][i]
+    t = pa.array([" ".join(f"w{r.randint(0, 500)}" for _ in range(4000))])
+
+    def edges(limit):
+        out, inside = set(), {}
+        for nodes, begin, end, _, place, h, lead, trail in D._runs(t, 13, 6, limit=limit):
+            for b, e, p, m, x, y in zip(*(v.tolist() for v in (begin, end, place, h, lead, trail)), strict=True):
+                got = nodes[b - x : e + y].tolist()
+                out |= {(p - x + i, m, *pair) for i, pair in enumerate(zip(got, got[1:], strict=False))}
+                inside |= dict.fromkeys(range(p, p + e - b), m)
+        return out, inside
+
+    whole, cut = edges(1 << 22), edges(300)
+    assert whole == cut
+    assert sorted(whole[1]) == list(range(4000 - 13 + 2))
+
+
+def test_degrees():
+    # a x b, a x b, c x d: x branches; y is always between a and b; z ends a text once
+    node = np.array([7, 7, 7, 8, 8, 9, 9], np.uint64)
+    before, behind = np.array([1, 1, 3, 1, 1, 4, 4]), np.array([2, 2, 4, 2, 2, 5, -1])
+    assert D.branching(node, before, behind).tolist() == [True] * 3 + [False] * 2 + [True] * 2
 
 
 def test_empty_table(spark):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -25,6 +26,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK = 1 << 20
 POSITION_BITS = 24
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Arrow batches of texts are cut by bytes as well as by rows.
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"),
@@ -44,10 +47,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: keep the cluster's folder, set one only where none is set."""
+    """Make ``checkpoint()`` usable: keep the cluster's folder; only a session in one process gets one of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tonearm-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # one process: any folder is shared
 
 
 def trim() -> None:
@@ -64,6 +70,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def cleanup(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of each query when the query ends; the caller's setting comes back afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` written as a table in the shared checkpoint folder and read back; the table goes with the context."""
@@ -79,6 +96,22 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, parts: int = 4096, least: int = 256) -> DataFrame:
+    """``left`` joined with ``right``, a stored table with a row for each key and ``c``, how many rows of ``left`` the key has.
+
+    A key with more than a ``parts``-th of all rows is dealt to several tasks by ``by``; there are at most ``parts`` such keys, and
+    only they are broadcast, so neither that table nor a task's share of a key grows with the data's skew.
+    """
+    total = right.agg(F.sum("c")).first()[0] or 0
+    most = max(least, total // parts)
+    pieces = F.ceil(F.col("c") / most).cast("int")
+    hot = right.where(F.col("c") > most).select(*keys, pieces.alias("_pieces"))
+    dealt = left.join(F.broadcast(hot), keys, "left")  # at most `parts` rows
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(by, F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    copies = right.withColumn("_salt", F.explode(F.when(F.col("c") > most, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if its files give fewer splits than there are cores; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
