@@ -89,7 +89,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
     path = f"{sc.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -109,7 +109,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     dealt = left.join(F.broadcast(hot), keys, "left")  # at most `parts` rows
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(by, F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
     copies = right.withColumn("_salt", F.explode(F.when(F.col("c") > most, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copies.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
 
 
 def spread(df: DataFrame) -> DataFrame:

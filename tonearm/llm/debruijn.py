@@ -30,7 +30,7 @@ from . import common as C
 SIZE = 13
 GRAM = 6
 #: A bucket with more runs than this is settled by aggregations over its nodes instead of within one group.
-GROUP_LIMIT = 40_000
+GROUP_LIMIT = 10_000
 LAST = 2**63 - 1
 
 #: ``nodes`` are 64-bit hashes, the first at node ``s`` of the text; ``lead`` and ``trail``: is the first, the last one another run's?
@@ -70,15 +70,17 @@ def _runs(column: pa.Array, size: int, gram: int, bits: int = ALL_BITS, limit: i
 
 
 def _minimisers(size: int, gram: int):
-    schema = pa.schema([("h", pa.int64()), ("_k", pa.int64())])
+    """Each text's minimisers, and of how many of its runs."""
+    schema = pa.schema([("h", pa.int64()), ("_k", pa.int64()), ("r", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_k").to_numpy(zero_copy_only=False)
             for _, _, _, row, _, h, _, _ in _runs(batch.column("_t"), size, gram):
                 order = np.lexsort((h, row))
-                once = order[C.run_starts(row[order], h[order])]
-                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(keys[row[once]])], schema=schema)
+                first = C.run_starts(row[order], h[order])
+                once = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(keys[row[once]]), pa.array(np.diff(np.append(first, len(row))).astype(np.int32))], schema=schema)
 
     return run
 
@@ -298,10 +300,10 @@ def joined(paths: DataFrame) -> DataFrame:
 def _paths(rows: DataFrame, size: int, gram: int, group_limit: int, bits: int) -> DataFrame:
     """(dk, start, n, sk, source): paths of each bucket that repeat an earlier document."""
     order = F.coalesce(F.col("_id").cast("long"), F.lit(LAST)).alias("_o")
-    least = rows.select("_k", "_t").mapInArrow(_minimisers(size, gram), "h long, _k long")
-    with C.stored(least.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")) as counted:
-        repeated = C.salted_join(least, counted, ["h"], F.xxhash64("_k"))
-        hot = F.when(F.col("c") > group_limit, F.col("h"))
+    minimisers = rows.select("_k", "_t").mapInArrow(_minimisers(size, gram), "h long, _k long, r int")
+    with C.stored(minimisers) as least, C.stored(least.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("r")).where("c > 1")) as counted:
+        repeated = C.salted_join(least.select("h", "_k"), counted, ["h"], F.xxhash64("_k"))
+        hot = F.when(F.col("r") > group_limit, F.col("h"))
         wanted = repeated.groupBy("_k").agg(F.collect_set("h").alias("wanted"), F.collect_set(hot).alias("hot"))
         found = rows.join(wanted, "_k").select("_k", order, "_t", "wanted", "hot").mapInArrow(_wanted_runs(size, gram, bits), RUN)
         with C.stored(found) as runs:
