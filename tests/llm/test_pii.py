@@ -3,6 +3,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
+
 from tonearm.llm import pii as P
 
 
@@ -27,24 +30,71 @@ def test_base_as_the_patterns():
         assert P.base_spans(t) == plain(t), t
 
 
+def segmentations(n):
+    """All ways to cut n tokens into segments of each type."""
+    if n == 0:
+        yield []
+        return
+    for i in range(max(0, n - P.LONGEST), n):
+        for rest in segmentations(i):
+            for t in range(len(P.TYPES)):
+                if t or n - i == 1:
+                    yield [*rest, (i, n, t)]
+
+
+def value(field, text, tokens, segments):
+    total, last = 0.0, 0
+    for i, j, t in segments:
+        total += field.scores(text, tokens, i, j)[t] + field.follow[last][t]
+        last = t
+    return total
+
+
+def some_field(data, seed):
+    likelihood, r = P.Likelihood(data), np.random.default_rng(seed)
+    return likelihood, r.normal(size=(len(likelihood.names), len(P.TYPES))), r.normal(size=(len(P.TYPES), len(P.TYPES)))
+
+
+def short(count, seed, most=5):
+    for text, spans in P.sentences(count, seed):
+        end = ([m.end() for m in P.TOKEN.finditer(text)][:most] or [0])[-1]
+        yield text[:end], [s for s in spans if s[1] <= end]
+
+
 def test_best_segmentation_is_the_best():
-    field = P.trained()
-    for text, _ in itertools.islice(P.sentences(40, 5), 40):
-        tokens = [m.span() for m in P.TOKEN.finditer(text)][:8]
-        value = lambda segs: sum(field.weights.get((k, f), 0) for i, j, k in segs for f in [*P.segment_features(text, tokens, i, j), "bias"])  # noqa: E731, B023
+    data = list(short(12, 5))
+    likelihood, weights, follow = some_field(data, 3)
+    field = P.Field({n: weights[i].tolist() for n, i in likelihood.names.items()}, follow.tolist())
+    for text, _ in data:
+        tokens = [m.span() for m in P.TOKEN.finditer(text)]
+        got, at, full = field.best(text, tokens), 0, []
+        for i, j, kind in [*got, (len(tokens), len(tokens), "")]:
+            full += [(x, x + 1, 0) for x in range(at, i)] + [(i, j, P.TYPES.index(kind))] * (j > i)
+            at = j
+        assert abs(value(field, text, tokens, full) - max(value(field, text, tokens, x) for x in segmentations(len(tokens)))) < 1e-9
 
-        def every(i):
-            if i == len(tokens):
-                yield []
-                return
-            for rest in every(i + 1):
-                yield rest
-            for j in range(i + 1, min(len(tokens), i + P.LONGEST) + 1):
-                best = max(P.KINDS, key=lambda k: value([(i, j, k)]))
-                for rest in every(j):
-                    yield [(i, j, best), *rest]
 
-        assert abs(value(field.best(text, tokens)) - max(map(value, every(0)))) < 1e-6
+def test_likelihood_sums_over_all_segmentations_and_its_gradient_fits():
+    data = list(short(6, 9, 4))
+    likelihood, weights, follow = some_field(data, 4)
+    field = P.Field({n: weights[i].tolist() for n, i in likelihood.names.items()}, follow.tolist())
+    want = 0.0
+    for text, spans in data:
+        tokens = [m.span() for m in P.TOKEN.finditer(text)]
+        gold = [(i, j, P.TYPES.index(k)) for i, j, k in P.gold_segments(text, tokens, spans)]
+        want += value(field, text, tokens, gold) - np.logaddexp.reduce([value(field, text, tokens, x) for x in segmentations(len(tokens))])
+    got, by_weight, by_pair = likelihood(weights, follow)
+    assert abs(got - want) < 1e-8
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        i, t, p, q = r.integers(len(weights)), *r.integers(len(P.TYPES), size=3)
+        for x, grad, at in ((weights, by_weight, (i, t)), (follow, by_pair, (p, q))):
+            x[at] += 1e-5
+            up = likelihood(weights, follow)[0]
+            x[at] -= 2e-5
+            down = likelihood(weights, follow)[0]
+            x[at] += 1e-5
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-4
 
 
 def test_field_finds_held_out_spans():
@@ -55,6 +105,65 @@ def test_field_finds_held_out_spans():
     assert right / found > 0.9 and right / true > 0.9, (right, found, true)
 
 
+# Written by hand, in other forms than the made sentences; spans are marked by <kind ...>.
+BY_HAND = [
+    "Please ring our office on tel <phone (030) 555-1234> before noon.", "You can reach her at <email maria.lopez@uni-bonn.de>, she answers quickly.",
+    "The crawler came from <ip 192.168.0.17> and asked for 400 pages.", "Ihre Karte <card 4111 1111 1111 1111> wurde belastet.",
+    "export API_KEY=<secret 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b>", "Escribe a <email jose at ejemplo dot com> para saber más.",
+    "password: <secret 5f4dcc3b5aa765d61d8327deb882cf99>", "Téléphone : <phone +33 1 42 68 53 00>, fermé le lundi.",
+    "Invoice 2024-11-03 over 1,250.00 euros, item 88341.", "Version 4.2.1 was built on 12 servers in 36 minutes.", "On page 314 the dot marks the year 1592.", "Look at chapter 12, at the end.",
+]
+
+
+def test_hand_written_sentences():
+    field, right, found, true = P.trained(), 0, 0, 0
+    for line in BY_HAND:
+        text, spans, at = "", set(), 0
+        for m in re.finditer(r"<(\w+) ([^>]*)>", line):
+            text += line[at : m.start()]
+            spans.add((len(text), len(text) + len(m[2]), m[1]))
+            text += m[2]
+            at = m.end()
+        text += line[at:]
+        got = set(P.all_spans(text, field)[1])
+        right, found, true = right + len(got & spans), found + len(got), true + len(spans)
+    assert right / true >= 0.85 and right / found >= 0.85, (right, found, true)
+
+
+def test_secrets_of_the_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    field, hit, n = P.trained(), 0, 0
+    for t in filter(None, texts):
+        planted = [(m.start(1), m.end(1), "secret") for m in re.finditer(r'token = "([0-9a-f]{40})"', t)]
+        if planted:
+            every = set(P.all_spans(t, field)[1])
+            hit, n = hit + sum(s in every for s in planted), n + len(planted)
+    assert n > 5 and hit / n >= 0.9
+
+
+def test_long_runs_give_each_span_once():
+    field = P.trained()
+    for piece, kind in (("tel (030) 555-1234 ", "phone"), ("token " + "ab12" * 10 + " ", "secret"), ("4111 1111 1111 1112 ", "card")):
+        spans = P.all_spans(piece * 80, field)[1]
+        assert len(spans) == len(set(spans)) == 80 and all(k == kind for *_, k in spans)
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans))
+
+
+def test_any_text_is_taken():
+    r, field = random.Random(2), P.trained()
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isdigit()]
+    some = [".", "@", " ", "-", "+", "(", ")", "1", "25", "at", " dot ", "\n", "\x00", "token", "é", "\U0001f600"]
+    for text in ("v 1.2.3.²", "ip ².1.1.1 x 5", "".join(odd), " ".join(odd), ".".join(odd)):
+        P.all_spans(text, field)
+    for _ in range(1500):
+        text = "".join(r.choice(odd) if r.random() < 0.2 else r.choice(some) if r.random() < 0.8 else chr(r.choice([r.randint(0, 0xD7FF), r.randint(0xE000, 0x10FFFF)])) for _ in range(r.randint(0, 30)))
+        base, every = P.all_spans(text, field)
+        assert set(base) <= set(every) and all(0 <= a < b <= len(text) for a, b, _ in every)
+        added = sorted(set(every) - set(base))
+        assert all(x[1] <= y[0] for x, y in itertools.pairwise(added))
+        assert not any(a < y and x < b for a, b, _ in added for x, y, _ in base)
+
+
 def test_query_rows(spark):
     rows = [(1, "mail a.b@c.org, ip 10.0.0.1 and card 4111 1111 1111 1111, tel (030) 555-1234 x"), (2, None), (3, ""), (4, "é 'token = \"0b96a8c8d79c4a5085c919698889f59b72ab7bb6\" x"), (4, "x" * 200_000), (None, "+49 30 1234567")]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
