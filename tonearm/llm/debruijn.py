@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -301,16 +302,17 @@ def _paths(rows: DataFrame, size: int, gram: int, group_limit: int, bits: int) -
     """(dk, start, n, sk, source): paths of each bucket that repeat an earlier document."""
     order = F.coalesce(F.col("_id").cast("long"), F.lit(LAST)).alias("_o")
     minimisers = rows.select("_k", "_t").mapInArrow(_minimisers(size, gram), "h long, _k long, r int")
-    with C.stored(minimisers) as least, C.stored(least.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("r")).where("c > 1")) as counted:
-        repeated = C.salted_join(least.select("h", "_k"), counted, ["h"], F.xxhash64("_k"))
-        hot = F.when(F.col("r") > group_limit, F.col("h"))
-        wanted = repeated.groupBy("_k").agg(F.collect_set("h").alias("wanted"), F.collect_set(hot).alias("hot"))
+    with ExitStack() as later:
+        with C.stored(minimisers) as least, C.stored(least.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("r")).where("c > 1")) as counted:
+            repeated = C.salted_join(least.select("h", "_k"), counted, ["h"], F.xxhash64("_k"))
+            hot = F.when(F.col("r") > group_limit, F.col("h"))
+            wanted = later.enter_context(C.stored(repeated.groupBy("_k").agg(F.collect_set("h").alias("wanted"), F.collect_set(hot).alias("hot"))))
         found = rows.join(wanted, "_k").select("_k", order, "_t", "wanted", "hot").mapInArrow(_wanted_runs(size, gram, bits), RUN)
-        with C.stored(found) as runs:
-            cold = runs.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_settle(), PATH)
-            if runs.where("hot").isEmpty():
-                return joined(cold).checkpoint()
-            return joined(cold.unionByName(_hot_paths(runs.where("hot")))).checkpoint()
+        runs = later.enter_context(C.stored(found))
+        cold = runs.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_settle(), PATH)
+        if runs.where("hot").isEmpty():
+            return joined(cold).checkpoint()
+        return joined(cold.unionByName(_hot_paths(runs.where("hot")))).checkpoint()
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, group_limit: int = GROUP_LIMIT, with_text: bool = False, bits: int = ALL_BITS) -> DataFrame:
