@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder that the cluster names; one of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tonearm-checkpoints")
-    return df.checkpoint()
+from tonearm.storage import checkpointed
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -40,7 +34,7 @@ def identical(tracks: DataFrame) -> DataFrame:
 
 
 def member_pairs(labels: DataFrame) -> DataFrame:
-    """(component, a, b): the pairs of members of each component that must be verified directly."""
+    """(component, a, b): the pairs of members of each component."""
     a, b = labels.select("component", F.col("node").alias("a")), labels.select("component", F.col("node").alias("b"))
     return a.join(b, "component").where("a < b")
 
@@ -48,15 +42,25 @@ def member_pairs(labels: DataFrame) -> DataFrame:
 def build_groups(tiers: DataFrame, tracks: DataFrame, verify=None) -> DataFrame:
     """(group_id, tier, formed_by_chain, content_id).
 
-    ``tiers`` has (a, b, tier); ``verify`` maps the (component, a, b) pairs to the same with a tier (by default: the known ones, else no
-    match).  A component whose pairs are all of tier 1 is a clique; any other was formed by a chain and is of tier 2.  Contents with several
-    files that aren't within a clique are groups of tier 0.
+    ``tiers`` has (a, b, tier), a < b, of the pairs that a run has compared, matches or not.  A component of tier-1 pairs whose members all
+    match each other directly at tier 1 is a clique; any other was formed by a chain and is of tier 2.  A component with a known pair of
+    another tier is a chain, and one whose known tier-1 pairs are as many as its pairs is a clique, both by counts alone.  Only the pairs
+    that the run hasn't compared, in the components that are left, go to ``verify``, which maps (component, a, b) to the same with a
+    tier; without it they count as no match.  Contents with several files that aren't within a clique are groups of tier 0.
     """
+    tiers = checkpointed(tiers.select("a", "b", "tier"))
     labels = components(tiers.where("tier = 1"))
-    pairs = member_pairs(labels)
-    checked = verify(pairs) if verify else pairs.join(tiers.select("a", "b", "tier"), ["a", "b"], "left")
-    whole = checked.groupBy("component").agg(F.min((F.coalesce("tier", F.lit(-1)) == 1).cast("int")).alias("clique"))
-    near = labels.join(whole, "component").select(F.col("component").alias("group_id"), F.when(F.col("clique") == 1, 1).otherwise(2).alias("tier"), (F.col("clique") == 0).alias("formed_by_chain"), F.col("node").alias("content_id"))
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    inner = tiers.join(side("a"), "a").join(side("b"), "b").where("of_a = of_b").select(F.col("of_a").alias("component"), "a", "b", "tier")
+    known = inner.groupBy("component").agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col("tier") == 1).alias("ones"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    every = F.col("m") * (F.col("m") - 1) / 2
+    state = sizes.join(known, "component").select("component", (F.col("ones") == every).alias("clique"), ((F.col("ones") == F.col("known")) & (F.col("ones") < every)).alias("open"))
+    if verify:
+        asked = member_pairs(labels.join(state.where("open"), "component", "left_semi")).join(inner, ["component", "a", "b"], "left_anti")
+        passed = verify(asked).groupBy("component").agg((F.min((F.col("tier") == 1).cast("int")) == 1).alias("passed"))
+        state = state.join(passed, "component", "left").select("component", (F.col("clique") | (F.col("open") & F.coalesce("passed", F.lit(False)))).alias("clique"))
+    near = labels.join(state, "component").select(F.col("component").alias("group_id"), F.when(F.col("clique"), 1).otherwise(2).alias("tier"), (~F.col("clique")).alias("formed_by_chain"), F.col("node").alias("content_id"))
     same = identical(tracks).join(near.where("tier = 1").select("content_id"), "content_id", "left_anti")
     return near.unionByName(same.select(F.col("content_id").alias("group_id"), F.lit(0).alias("tier"), F.lit(False).alias("formed_by_chain"), "content_id"))
 

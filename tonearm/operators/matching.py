@@ -1,12 +1,13 @@
 """Fingerprint matching: inverted index, candidates, offset votes, segments and tiers.
 
-Everything up to the evidence of a pair is relational and stays in the JVM.  Only the
-sequential cutting of a pair's bit errors into segments runs in Arrow batches, a row per
-candidate pair with both arrays.
+Index and candidates are relational and stay in the JVM.  What is known of one pair (offset votes, bit errors,
+segments) is numpy on its two arrays, in Arrow batches: as a join of items it would grow with the square of
+an item's repeats.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -89,26 +90,51 @@ def candidates(posted: DataFrame, min_shared: int = DEFAULT.min_shared_keys) ->
     return once.join(other, "key").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
 
 
-def offset_votes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def arrays(pairs: DataFrame, fingerprints: DataFrame, *more: str) -> DataFrame:
+    """Each pair with both fingerprints; a pair that lacks one drops out."""
+    side = lambda c: fingerprints.select(F.col("content_id").alias(c), F.col("fp").alias(f"fp_{c}"))
+    return pairs.select("a", "b", *more).join(side("a"), "a").join(side("b"), "b").select("a", "b", *more, "fp_a", "fp_b")
+
+
+def _each_pair(rows: DataFrame, schema: str, work) -> DataFrame:
+    """``work`` makes a frame without a and b from each row's arrays; a pair's work needs no other pair, so nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for row in part.to_dict("records"):
+                out = work(row, np.asarray(row["fp_a"], np.int64), np.asarray(row["fp_b"], np.int64))
+                out.insert(0, "a", row["a"])
+                out.insert(1, "b", row["b"])
+                yield out
+
+    return rows.mapInPandas(run, f"a long, b long, {schema}")
+
+
+def offset_votes(pairs: DataFrame, fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """(a, b, delta, votes): how often the keys of a pair are so far apart; no caps here."""
-    a = rows.select(F.col("content_id").alias("a"), "key", F.col("pos").alias("pos_a"))
-    b = rows.select(F.col("content_id").alias("b"), "key", F.col("pos").alias("pos_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, ["b", "key"]).groupBy("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("delta")).agg(F.count(F.lit(1)).alias("votes"))
 
+    def work(_, a, b):
+        low, votes = histogram(a, b, config.align_bits)
+        at = np.flatnonzero(votes)
+        return pd.DataFrame({"delta": at + low, "votes": votes[at]})
+
+    return _each_pair(arrays(pairs, fingerprints), "delta long, votes long", work)
 
-def best_alignment(pairs: DataFrame, votes: DataFrame) -> DataFrame:
+
+def best_alignment(pairs: DataFrame, fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """(a, b, best_offset, peak_votes, total_votes): the first highest bin; all 0 unless it has more than one vote."""
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.col("delta")).alias("back"))).alias("x"), F.sum("votes").alias("total"))
-    best = best.where("x.votes > 1").select("a", "b", (-F.col("x.back")).alias("best_offset"), F.col("x.votes").alias("peak_votes"), F.col("total").alias("total_votes"))
-    return pairs.select("a", "b").join(best, ["a", "b"], "left").fillna(0, ["best_offset", "peak_votes", "total_votes"])
+    work = lambda _, a, b: pd.DataFrame([align(a, b, config.align_bits)], columns=["best_offset", "peak_votes", "total_votes"])
+    return _each_pair(arrays(pairs, fingerprints), "best_offset long, peak_votes long, total_votes long", work)
 
 
-def hamming(aligned: DataFrame, rows: DataFrame) -> DataFrame:
+def hamming(aligned: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """(a, b, pos_a, bits): bit errors of the items that the best offset brings together."""
-    a = rows.select(F.col("content_id").alias("a"), F.col("pos").alias("pos_a"), F.col("item").alias("item_a"))
-    b = rows.select(F.col("content_id").alias("b"), F.col("pos").alias("pos_b"), F.col("item").alias("item_b"))
-    met = aligned.select("a", "b", "best_offset").join(a, "a").withColumn("pos_b", F.col("pos_a") - F.col("best_offset")).join(b, ["b", "pos_b"])
-    return met.select("a", "b", "pos_a", F.bit_count(F.col("item_a").bitwiseXOR(F.col("item_b"))).alias("bits"))
+
+    def work(row, a, b):
+        errors = bit_errors(a, b, int(row["best_offset"]))
+        return pd.DataFrame({"pos_a": np.arange(len(errors)) + max(int(row["best_offset"]), 0), "bits": errors})
+
+    return _each_pair(arrays(aligned, fingerprints, "best_offset"), "pos_a long, bits int", work)
 
 
 def classify(config: MatchConfig = DEFAULT) -> Column:
@@ -120,7 +146,42 @@ def classify(config: MatchConfig = DEFAULT) -> Column:
     return F.when(none, NO_MATCH).when(one, 1).when(two, 2).otherwise(NO_MATCH)
 
 
-# --- the sequential part -------------------------------------------------------------
+# --- one pair at a time ---------------------------------------------------------------
+
+
+def histogram(a: np.ndarray, b: np.ndarray, bits: int, piece: int = 1 << 20) -> tuple[int, np.ndarray]:
+    """(lowest offset, votes of each offset): pairs of places with equal keys, counted in pieces; a key that both repeat very often by convolution."""
+    ka, kb = a >> (32 - bits), b >> (32 - bits)
+    votes = np.zeros(max(len(a) + len(b) - 1, 0), np.int64)
+    base = len(b) - 1
+    by = np.argsort(ka, kind="stable")
+    lo, hi = np.searchsorted(ka[by], kb, "left"), np.searchsorted(ka[by], kb, "right")
+    names, inverse, often = np.unique(kb, return_inverse=True, return_counts=True)
+    heavy = (often[inverse] * (hi - lo)) > piece
+    for key in np.unique(kb[heavy]).tolist():
+        size = 1 << (len(votes) - 1).bit_length()
+        product = np.fft.rfft((ka == key).astype(float), size) * np.fft.rfft((kb == key)[::-1].astype(float), size)
+        votes += np.rint(np.fft.irfft(product, size)[: len(votes)]).astype(np.int64)
+    light = np.flatnonzero(~heavy & (hi > lo))
+    ends = np.cumsum((hi - lo)[light])
+    done = 0
+    while done < len(light):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + piece, "right")))
+        some = light[done:upto]
+        n = (hi - lo)[some]
+        where = by[np.repeat(lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        votes += np.bincount(where - np.repeat(some, n) + base, minlength=len(votes))
+        done = upto
+    return -base, votes
+
+
+def align(a: np.ndarray, b: np.ndarray, bits: int = DEFAULT.align_bits) -> tuple[int, int, int]:
+    """(best offset, its votes, all votes); zeros unless an offset has more than one vote."""
+    low, votes = histogram(a, b, bits)
+    if votes.max(initial=0) <= 1:
+        return 0, 0, 0
+    best = int(np.argmax(votes))
+    return best + low, int(votes[best]), int(votes.sum())
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> np.ndarray:
@@ -132,62 +193,62 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> np.ndarray:
 
 
 def smooth(series: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian of four standard deviations each way; the ends are repeated."""
-    if not len(series):
-        return series.astype(float)
-    reach = max(1, round(4 * sigma))
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    ends = np.concatenate([np.full(reach, series[0]), series, np.full(reach, series[-1])]).astype(float)
-    return np.convolve(ends, weights / weights.sum(), "valid")
+    """Mean under a normal curve cut at four standard deviations; beyond an end, the end's value counts."""
+    x, places = np.asarray(series, float), np.arange(len(series))
+    far = max(1, round(4 * sigma))
+    share = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-far, far + 1)}
+    out = np.zeros(len(x))
+    for k, w in share.items():
+        out += w * x[np.clip(places + k, 0, len(x) - 1)]
+    return out / sum(share.values())
+
+
+def steep_places(errors: np.ndarray, config: MatchConfig = DEFAULT) -> np.ndarray:
+    """Inner places where the smoothed errors change fastest, and fast enough.  On a level top every other place counts, from the first."""
+    if len(errors) < 3:
+        return np.zeros(0, np.int64)
+    slope = np.abs(np.gradient(smooth(errors, config.sigma).round(9))).round(9)
+    inner = slope[1:-1]
+    top = np.flatnonzero((inner > config.gradient_peak) & (inner >= np.maximum(slope[:-2], slope[2:]))) + 1
+    begin = np.flatnonzero(np.diff(top, prepend=-2) > 1)
+    return top[(top - np.repeat(top[begin], np.diff(np.append(begin, len(top))))) % 2 == 0]
 
 
 def cut(errors: np.ndarray, config: MatchConfig = DEFAULT) -> list[tuple[int, int, float]]:
-    """(start, length, mean error) of the stretches that match: cut at steep places of the smoothed errors, judged on the raw ones."""
-    n = len(errors)
-    if not n:
+    """(start, length, mean error) of the stretches that match.
+
+    The steep places cut the raw errors into stretches; those with a mean below the threshold count, and one that follows
+    directly on another of about the same mean extends it.
+    """
+    if not len(errors):
         return []
-    steep = np.abs(np.gradient(smooth(errors, config.sigma))) if n > 1 else np.zeros(1)
-    inner = np.arange(1, n - 1)
-    peaks = inner[(steep[1:-1] > config.gradient_peak) & (steep[1:-1] >= steep[:-2]) & (steep[1:-1] >= steep[2:])] if n > 2 else inner[:0]
-    places = []
-    for p in peaks.tolist():  # of neighbouring peaks the first counts
-        if not places or p - places[-1] > 1:
-            places.append(p)
-    sums, out = np.concatenate([[0], np.cumsum(errors)]), []
-    for a, b in zip([0, *places], [*places, n], strict=True):
-        mean = float(sums[b] - sums[a]) / (b - a) if b > a else np.inf
-        if mean >= config.match_threshold:
-            continue
-        if out and sum(out[-1][:2]) == a and abs(out[-1][2] - mean) < config.merge_delta:
-            start, length, score = out.pop()
-            out.append((start, length + b - a, (score * length + mean * (b - a)) / (length + b - a)))
-        else:
-            out.append((a, b - a, mean))
-    return out
-
-
-EVIDENCE = "a long, b long, best_offset long, peak_votes long, total_votes long, n_a int, n_b int, matched_span_items long, bit_sum double, segment_count int"
-
-
-def _evidence(config: MatchConfig):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = []
-            for offset, votes, fa, fb in zip(rows["best_offset"], rows["peak_votes"], rows["fp_a"], rows["fp_b"], strict=True):
-                a, b = np.asarray(fa, np.int64), np.asarray(fb, np.int64)
-                parts = cut(bit_errors(a, b, int(offset)), config) if votes else []
-                found.append((len(a), len(b), sum(p[1] for p in parts), sum(p[1] * p[2] for p in parts), len(parts)))
-            extra = pd.DataFrame(found, columns=["n_a", "n_b", "matched_span_items", "bit_sum", "segment_count"], index=rows.index)
-            yield pd.concat([rows[["a", "b", "best_offset", "peak_votes", "total_votes"]], extra], axis=1)
-
-    return run
-
-
-def evidence(aligned: DataFrame, fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
-    """All evidence of each aligned pair, and its tier."""
-    fa = fingerprints.select(F.col("content_id").alias("a"), F.col("fp").alias("fp_a"))
-    fb = fingerprints.select(F.col("content_id").alias("b"), F.col("fp").alias("fp_b"))
-    raw = aligned.join(fa, "a").join(fb, "b").select("a", "b", "best_offset", "peak_votes", "total_votes", "fp_a", "fp_b").mapInPandas(_evidence(config), EVIDENCE)
+    bounds = np.concatenate([[0], steep_places(errors, config), [len(errors)]])
+    sums = np.add.reduceat(errors, bounds[:-1])
+    matched: list[list[int]] = []  # first place, end, errors
+    for first, end, wrong in zip(bounds[:-1].tolist(), bounds[1:].tolist(), sums.tolist(), strict=True):
+        mean = wrong / (end - first)
+        if mean < config.match_threshold:
+            last = matched[-1] if matched and matched[-1][1] == first else None
+            if last and abs(last[2] / (last[1] - last[0]) - mean) < config.merge_delta:
+                last[1:] = end, last[2] + wrong
+            else:
+                matched.append([first, end, wrong])
+    return [(first, end - first, wrong / (end - first)) for first, end, wrong in matched]
+
+
+EVIDENCE = "best_offset long, peak_votes long, total_votes long, n_a int, n_b int, matched_span_items long, bit_sum double, segment_count int"
+
+
+def evidence(pairs: DataFrame, fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
+    """All evidence of each (a, b), and its tier; both arrays meet once, and a pair is settled in one go."""
+
+    def work(_, a, b):
+        offset, votes, total = align(a, b, config.align_bits)
+        parts = cut(bit_errors(a, b, offset), config) if votes else []
+        row = (offset, votes, total, len(a), len(b), sum(p[1] for p in parts), round(sum(p[1] * p[2] for p in parts)), len(parts))
+        return pd.DataFrame([row], columns=[x.split()[0] for x in EVIDENCE.split(", ")])
+
+    raw = _each_pair(arrays(pairs, fingerprints), EVIDENCE, work)
     share = lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))
     span = F.col("matched_span_items")
     out = raw.select(
@@ -197,11 +258,10 @@ def evidence(aligned: DataFrame, fingerprints: DataFrame, config: MatchConfig =
     return out.withColumn("tier", classify(config))
 
 
-def compare(pairs: DataFrame, fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
-    """Evidence of the given (a, b)."""
-    return evidence(best_alignment(pairs, offset_votes(pairs, keyed(fingerprints, config))), fingerprints, config)
+#: Evidence of the given (a, b), whether or not they are candidates.
+compare = evidence
 
 
 def run_match(fingerprints: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """Index, candidates, evidence; pairs without a match drop out."""
-    return compare(candidates(postings(fingerprints, config), config.min_shared_keys), fingerprints, config).where("tier >= 0")
+    return evidence(candidates(postings(fingerprints, config), config.min_shared_keys), fingerprints, config).where("tier >= 0")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import scalars as S
-from tonearm.operators.grouping import checkpointed
+from tonearm.storage import checkpointed
 
 # Weights of the components, and the scale of a tempo difference.
 WEIGHTS = {"mfcc": 0.5, "bpm": 0.25, "key": 0.15, "energy": 0.1}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonearm.operators import grouping as G
 from tonearm.operators import matching as X
 from tonearm.plans.registry import query
+from tonearm.plans.views import smooth_sql
 
 col = F.col
 one = "*"  # for F.count; a Column would need a session at import
@@ -20,12 +20,11 @@ def keyed(lib):
 
 
 def candidates(lib):
-    return X.candidates(X.postings(lib.fingerprint))
+    return X.candidates(X.postings(lib.fingerprints))
 
 
 def aligned(lib):
-    pairs = candidates(lib)
-    return X.best_alignment(pairs, X.offset_votes(pairs, keyed(lib)))
+    return X.best_alignment(candidates(lib), lib.fingerprints)
 
 
 @query("fp_pack", "SELECT content_id, len(fp) AS n, fp[len(fp)] AS last FROM fingerprint")
@@ -62,7 +61,7 @@ def _(lib):
 
 @query("fp_postings", "SELECT content_id, key, pos FROM posting")
 def _(lib):
-    return X.postings(lib.fingerprint)
+    return X.postings(lib.fingerprints)
 
 
 @query("fp_candidates", "SELECT a, b, shared FROM candidate")
@@ -72,39 +71,42 @@ def _(lib):
 
 @query("jn_self_key", "SELECT x.content_id AS a, y.content_id AS b, count(*) AS n FROM (SELECT DISTINCT content_id, key FROM posting) x JOIN (SELECT DISTINCT content_id, key FROM posting) y ON x.key = y.key AND x.content_id < y.content_id GROUP BY ALL")
 def _(lib):
-    return X.candidates(X.postings(lib.fingerprint), 1).select("a", "b", col("shared").alias("n"))
+    return X.candidates(X.postings(lib.fingerprints), 1).select("a", "b", col("shared").alias("n"))
 
 
 @query("jn_hash_positions", "SELECT c.a, c.b, count(*) AS met, min(x.pos - y.pos) AS low, max(x.pos - y.pos) AS high FROM candidate c JOIN keyed x ON x.content_id = c.a JOIN keyed y ON y.content_id = c.b AND y.key = x.key GROUP BY ALL")
 def _(lib):
-    votes = X.offset_votes(candidates(lib), keyed(lib))
+    votes = X.offset_votes(candidates(lib), lib.fingerprints)
     return votes.groupBy("a", "b").agg(F.sum("votes").alias("met"), F.min("delta").alias("low"), F.max("delta").alias("high"))
 
 
 for name in ("fp_offset_hist", "agg_hist_offsets"):
-    query(name, "SELECT a, b, delta, votes FROM offset_vote")(lambda lib: X.offset_votes(candidates(lib), keyed(lib)))
+    query(name, "SELECT a, b, delta, votes FROM offset_vote")(lambda lib: X.offset_votes(candidates(lib), lib.fingerprints))
 
 for name in ("fp_best_alignment", "win_local_max_peak"):
     query(name, "SELECT a, b, best_offset, peak_votes, total_votes FROM alignment")(aligned)
 
-HAMMING = "SELECT a, b, x.pos AS pos_a, bit_count(xor(x.item, y.item))::INT AS bits FROM alignment v JOIN item x ON x.content_id = v.a JOIN item y ON y.content_id = v.b AND y.pos = x.pos - v.best_offset"
+HAMMING = "SELECT a, b, i AS pos_a, e AS bits FROM error"
 
 
 @query("fp_hamming", HAMMING)
 def _(lib):
-    return X.hamming(aligned(lib), X.items(lib.fingerprint)).select("a", "b", "pos_a", col("bits").cast("int").alias("bits"))
+    return X.hamming(aligned(lib), lib.fingerprints)
 
 
-@query("jn_shifted_positional", f"SELECT a, b, count(*) AS overlap, sum(bits)::BIGINT AS bits FROM ({HAMMING}) GROUP BY ALL")
+@query("jn_shifted_positional", "SELECT a, b, count(*) AS overlap, sum(e)::BIGINT AS bits FROM error GROUP BY ALL")
 def _(lib):
-    return X.hamming(aligned(lib), X.items(lib.fingerprint)).groupBy("a", "b").agg(F.count(one).alias("overlap"), F.sum("bits").alias("bits"))
+    return X.hamming(aligned(lib), lib.fingerprints).groupBy("a", "b").agg(F.count(one).alias("overlap"), F.sum("bits").alias("bits"))
 
 
 def evidence(lib):
-    return X.evidence(aligned(lib), lib.fingerprint)
+    return X.evidence(candidates(lib), lib.fingerprints)
+
+
+SMOOTHED = "(SELECT content_id, {smooth} AS s FROM (SELECT content_id, pos, (item % 32)::DOUBLE AS e, first_value((item % 32)::DOUBLE) OVER (PARTITION BY content_id ORDER BY pos) AS head, last_value((item % 32)::DOUBLE) OVER (PARTITION BY content_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM item) WINDOW w AS (PARTITION BY content_id ORDER BY pos))"
 
 
-@query("fp_smooth")
+@query("fp_smooth", f"SELECT content_id, round(sum(s), 4) AS total FROM {SMOOTHED.format(smooth=smooth_sql())} GROUP BY content_id")
 def _(lib):
     import numpy as np
     import pandas as pd
@@ -112,37 +114,37 @@ def _(lib):
     def run(batches):
         for part in batches:
             sums = [float(X.smooth(np.asarray(x, float) % 32, 8.0).sum()) for x in part["fp"]]
-            yield pd.DataFrame({"content_id": part["content_id"], "total": np.round(sums, 6)})
+            yield pd.DataFrame({"content_id": part["content_id"], "total": np.round(sums, 4)})
 
     return lib.fingerprint.mapInPandas(run, "content_id long, total double")
 
 
-@query("fp_segments")
+@query("fp_segments", "SELECT a, b, segment_count, span_items AS matched_span_items FROM evidence")
 def _(lib):
     return evidence(lib).select("a", "b", "segment_count", "matched_span_items")
 
 
-@query("fp_compare")
-def _(lib):
-    return evidence(lib)
+FULL = "a, b, best_offset, peak_votes, round(ratio, 9) AS peak_vote_ratio, span_items AS matched_span_items, round(span, 6) AS matched_span_seconds, round(coverage_a, 9) AS coverage_a, round(coverage_b, 9) AS coverage_b, round(bit_error, 9) AS mean_bit_error, segment_count, tier"
+PLACES = {"peak_vote_ratio": 9, "matched_span_seconds": 6, "coverage_a": 9, "coverage_b": 9, "mean_bit_error": 9}
+
+
+def rounded(rows):
+    return rows.withColumns({c: F.round(c, n) for c, n in PLACES.items()})
 
 
-@query("fp_run_match")
+@query("fp_compare", f"SELECT {FULL} FROM tiered")
 def _(lib):
-    return X.run_match(lib.fingerprint)
+    return rounded(evidence(lib))
 
 
-@query("fp_classify", "SELECT a, b, tier FROM tiered")
+@query("fp_run_match", f"SELECT {FULL} FROM tiered WHERE tier >= 0")
 def _(lib):
-    return tiered(lib).select("a", "b", "tier")
+    return rounded(X.run_match(lib.fingerprints))
 
 
-def tiered(lib):
-    """The candidates with evidence by rule, as the SQL has it."""
-    a, b = col("a"), col("b")
-    ratio = F.when(col("total_votes") > 0, col("peak_votes") / col("total_votes")).otherwise(F.lit(0.0))
-    rows = aligned(lib).select("a", "b", "best_offset", "peak_votes", ratio.alias("peak_vote_ratio"), ((a * 7 + b) % 101 / 100.0).alias("coverage_a"), ((a + b * 3) % 101 / 100.0).alias("coverage_b"), ((a * b) % 90 / 10.0).alias("mean_bit_error"), ((a + b) % 160).cast("double").alias("matched_span_seconds"))
-    return rows.withColumn("matched_span_items", col("matched_span_seconds")).withColumn("tier", X.classify())
+@query("fp_classify", "SELECT a, b, tier FROM tiered")
+def _(lib):
+    return evidence(lib).select("a", "b", "tier")
 
 
 @query("fp_item_seconds", "SELECT content_id, round(len(fp) * (1365 / 11025.0::DOUBLE), 6) AS seconds FROM fingerprint")
@@ -180,18 +182,23 @@ def _(lib):
     return G.components(links(lib))
 
 
-@query(
-    "grp_build",
-    """WITH e AS (SELECT a, b FROM tiered WHERE tier = 1), comp AS (SELECT x AS node, min(y) AS component FROM (SELECT a AS x, a AS y FROM e UNION SELECT b, b FROM e UNION SELECT a, b FROM e UNION SELECT b, a FROM e) GROUP BY x)
-    SELECT count(*) AS links, count(DISTINCT a) AS starts FROM e""",
-)
+def built(lib):
+    verify = lambda pairs: pairs.join(X.compare(pairs, lib.fingerprints).select("a", "b", "tier"), ["a", "b"], "left").fillna(X.NO_MATCH, ["tier"])
+    return G.build_groups(evidence(lib), lib.track, verify)
+
+
+BUILT = """SELECT component AS group_id, CASE WHEN clique THEN 1 ELSE 2 END AS tier, NOT clique AS formed_by_chain, node AS content_id FROM comp JOIN clique USING (component)
+    UNION ALL SELECT content_id, 0, false, content_id FROM tier0 WHERE content_id NOT IN (SELECT node FROM comp JOIN clique USING (component) WHERE clique)"""
+
+
+@query("grp_build", f"SELECT tier, formed_by_chain, count(DISTINCT group_id) AS groups, count(*) AS contents FROM ({BUILT}) GROUP BY ALL")
 def _(lib):
-    return tiered(lib).where("tier = 1").agg(F.count(one).alias("links"), F.countDistinct("a").alias("starts"))
+    return built(lib).groupBy("tier", "formed_by_chain").agg(F.countDistinct("group_id").alias("groups"), F.count(one).alias("contents"))
 
 
-@query("grp_build_groups")
+@query("grp_build_groups", BUILT)
 def _(lib):
-    return G.build_groups(X.run_match(lib.fingerprint).select("a", "b", "tier"), lib.track)
+    return built(lib)
 
 
 PROBABLE = "SELECT a, b, least(coverage_a, coverage_b) AS coverage FROM tiered WHERE tier = 2 AND least(coverage_a, coverage_b) >= 0.3 AND bit_error <= 8 AND span >= 30"
@@ -200,7 +207,7 @@ PROBABLE = "SELECT a, b, least(coverage_a, coverage_b) AS coverage FROM tiered W
 def probable(lib):
     low = F.least("coverage_a", "coverage_b")
     known = col("coverage_a").isNotNull() & col("coverage_b").isNotNull()
-    return tiered(lib).where((col("tier") == 2) & known & (low >= 0.3) & (col("mean_bit_error") <= 8) & (col("matched_span_seconds") >= 30)).select("a", "b", low.alias("coverage"))
+    return evidence(lib).where((col("tier") == 2) & known & (low >= 0.3) & (col("mean_bit_error") <= 8) & (col("matched_span_seconds") >= 30)).select("a", "b", low.alias("coverage"))
 
 
 @query("flt_probable", f"{PROBABLE} ORDER BY coverage DESC, a, b")
@@ -223,32 +230,43 @@ NAMES = sorted(GRID)
 
 def tier_sql(c: str, e: str, s: str, s2: str) -> str:
     low, high = "least(coverage_a, coverage_b)", "greatest(coverage_a, coverage_b)"
-    return f"CASE WHEN span = 0 OR ratio < 0.05 THEN -1 WHEN {low} >= {c} AND bit_error <= {e} AND span >= {s} THEN 1 WHEN ({high} >= {c} OR {low} > 0) AND span >= {s2} THEN 2 ELSE -1 END"
+    return f"CASE WHEN span_items = 0 OR ratio < 0.05 THEN -1 WHEN {low} >= {c} AND bit_error <= {e} AND span >= {s} THEN 1 WHEN ({high} >= {c} OR {low} > 0) AND span >= {s2} THEN 2 ELSE -1 END"
+
+
+# what a pair should be, from its words alone: the share of rare keys that the shorter one has in common with the other; every fourth pair is held out
+EXPECT = "CASE WHEN shared >= 0.8 * least(n_a, n_b) THEN 1 WHEN shared >= 0.1 * least(n_a, n_b) THEN 2 ELSE -1 END"
+LABELLED = f"(SELECT e.*, {EXPECT} AS expect, CASE WHEN (e.a * 7 + e.b) % 4 = 0 THEN 'holdout' ELSE 'calibrate' END AS part FROM evidence e JOIN candidate c ON c.a = e.a AND c.b = e.b)"
 
 
-@query("cal_predict", f"SELECT (a + b) % 3 AS expect, {tier_sql('0.85', '6', '20', '15')} AS predicted, count(*) AS n FROM evidence GROUP BY ALL")
+def labelled(lib):
+    """The candidates' evidence with what each pair should be."""
+    pairs = candidates(lib)
+    size = lambda c: lib.fingerprints.select(col("content_id").alias(c), F.size("fp").alias(f"n_{c}"))
+    low = F.least("n_a", "n_b")
+    expect = F.when(col("shared") >= 0.8 * low, 1).when(col("shared") >= 0.1 * low, 2).otherwise(-1)
+    part = F.when((col("a") * 7 + col("b")) % 4 == 0, "holdout").otherwise("calibrate")
+    return X.evidence(pairs, lib.fingerprints).join(pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", expect.alias("expect"), part.alias("part")), ["a", "b"])
+
+
+@query("cal_predict", f"SELECT part, expect, {tier_sql('0.85', '6', '20', '15')} AS predicted, count(*) AS n FROM {LABELLED} GROUP BY ALL")
 def _(lib):
-    return tiered(lib).groupBy(((col("a") + col("b")) % 3).alias("expect"), col("tier").alias("predicted")).agg(F.count(one).alias("n"))
+    return labelled(lib).groupBy("part", "expect", col("tier").alias("predicted")).agg(F.count(one).alias("n"))
 
 
-SEARCH = f"""SELECT i, right_ones AS correct FROM (SELECT i, count(*) FILTER (expect = tier) AS right_ones FROM (SELECT g.i, (a + b) % 3 AS expect, {tier_sql('g.tier1_min_coverage', 'g.tier1_max_bit_error', 'g.tier1_min_overlap_seconds', 'g.tier2_min_overlap_seconds')} AS tier
-    FROM evidence, (VALUES {', '.join(str(c) for c in CONFIGS)}) g(i, {', '.join(NAMES)})) GROUP BY i) ORDER BY correct DESC, i LIMIT 1"""
+SEARCH = f"""SELECT i, correct, held_out FROM (SELECT i, count(*) FILTER (expect = tier AND part = 'calibrate') AS correct, count(*) FILTER (expect = tier AND part = 'holdout') AS held_out FROM (SELECT g.i, expect, part, {tier_sql('g.tier1_min_coverage', 'g.tier1_max_bit_error', 'g.tier1_min_overlap_seconds', 'g.tier2_min_overlap_seconds')} AS tier
+    FROM {LABELLED}, (VALUES {', '.join(str(c) for c in CONFIGS)}) g(i, {', '.join(NAMES)})) GROUP BY i) ORDER BY correct DESC, i LIMIT 1"""
 
 
 @query("cal_search", SEARCH)
 def _(lib):
-    rows = tiered(lib).withColumn("expect", (col("a") + col("b")) % 3)
     # 81 settings judged in one pass over the evidence
-    judged = [F.count_if(X.classify(X.DEFAULT.with_(**dict(zip(NAMES, c[1:], strict=True)))) == col("expect")).alias(str(c[0])) for c in CONFIGS]
-    wide = rows.agg(*judged)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c[0]).alias("i"), col(f"`{c[0]}`").alias("correct")) for c in CONFIGS])).alias("x")).select("x.*").orderBy(F.desc("correct"), "i").limit(1)
+    right = lambda c: X.classify(X.DEFAULT.with_(**dict(zip(NAMES, c[1:], strict=True)))) == col("expect")
+    judged = [F.struct(F.lit(c[0]).alias("i"), F.count_if(right(c) & (col("part") == "calibrate")).alias("correct"), F.count_if(right(c) & (col("part") == "holdout")).alias("held_out")) for c in CONFIGS]
+    return labelled(lib).agg(F.array(*judged).alias("all")).select(F.explode("all").alias("x")).select("x.*").orderBy(F.desc("correct"), "i").limit(1)
 
 
 @query("ev_trim_proposals", "SELECT a, b, CASE WHEN ratio < 0.05 THEN 'weak-match' WHEN abs(best_offset) > 100 THEN 'check-large' WHEN best_offset > 5 THEN 'trim' WHEN best_offset < -5 THEN 'ref-partial' ELSE 'no-trim' END AS flag FROM evidence")
 def _(lib):
     o = col("best_offset")
     flag = F.when(col("peak_vote_ratio") < 0.05, "weak-match").when(F.abs(o) > 100, "check-large").when(o > 5, "trim").when(o < -5, "ref-partial").otherwise("no-trim")
-    return tiered(lib).select("a", "b", flag.alias("flag"))
-
-
-_ = Window
+    return evidence(lib).select("a", "b", flag.alias("flag"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.operators.identity import with_content_id
+from tonearm.storage import checkpointed
 
 EXTENSIONS = ("flac", "mp3", "m4a", "ogg", "opus", "wav", "aiff", "wv")
 CODECS = ("flac", "mp3", "aac")
@@ -119,6 +120,11 @@ class Library:
         item = lambda x: F.conv(F.substring(F.md5(F.concat_ws(" ", x["w1"], x["w2"], x["w3"]).cast("binary")), 1, 8), 16, 10).cast("long")
         return self.words.where(F.size("words") >= 3).select("content_id", F.transform(runs, item).alias("fp"))
 
+    @cached_property
+    def fingerprints(self) -> DataFrame:
+        """``fingerprint`` written once, for what reads it several times."""
+        return checkpointed(self.fingerprint)
+
     @cached_property
     def lookup(self) -> DataFrame:
         """(request_hash, content_id, response): responses of a metadata service, some without a match, some broken."""
