@@ -58,6 +58,67 @@ def test_bit_errors():
     assert X.bit_errors(np.array([1]), np.array([1]), 5).tolist() == [] and X.cut(np.zeros(0, int)) == []
 
 
+def naive_smooth(x, sigma):
+    far = round(4 * sigma)
+    share = [math.exp(-k * k / 2 / sigma**2) for k in range(-far, far + 1)]
+    padded = [x[0]] * far + list(x) + [x[-1]] * far
+    return [sum(w * v for w, v in zip(share, padded[i : i + 2 * far + 1], strict=True)) / sum(share) for i in range(len(x))]
+
+
+def naive_cut(x, config):
+    """By the definition, a place at a time."""
+    n = len(x)
+    if not n:
+        return []
+    s = [round(v, 9) for v in naive_smooth(x, config.sigma)]
+    if n > 1:
+        g = [s[1] - s[0]] + [(s[i + 1] - s[i - 1]) / 2 for i in range(1, n - 1)] + [s[-1] - s[-2]]
+    g = [round(abs(v), 9) for v in g] if n > 1 else [0]
+    peaks = [i for i in range(1, n - 1) if g[i] > config.gradient_peak and g[i] >= g[i - 1] and g[i] >= g[i + 1]]
+    places = []
+    for p in peaks:
+        if not places or p - places[-1] > 1:
+            places.append(p)
+    out = []
+    for a, b in zip([0, *places], [*places, n], strict=True):
+        mean = sum(x[a:b]) / (b - a)
+        if mean >= config.match_threshold:
+            continue
+        if out and out[-1][0] + out[-1][1] == a and abs(out[-1][2] / out[-1][1] - mean) < config.merge_delta:
+            start, length, total = out.pop()
+            out.append((start, length + b - a, total + sum(x[a:b])))
+        else:
+            out.append((a, b - a, sum(x[a:b])))
+    return [(a, n, pytest.approx(t / n)) for a, n, t in out]
+
+
+def test_cut_by_its_definition():
+    r = np.random.default_rng(8)
+    assert X.smooth(np.array([5, 1, 9]), 8.0) == pytest.approx(naive_smooth([5, 1, 9], 8.0))
+    assert X.smooth(np.zeros(0), 8.0).tolist() == []
+    for _ in range(60):
+        levels = [(int(r.integers(1, 90)), float(r.choice([0, 0, 1, 3, 8, 9.5, 15]))) for _ in range(r.integers(1, 8))]
+        x = np.concatenate([r.binomial(32, m / 32, n) for n, m in levels])
+        assert X.cut(x) == naive_cut(x.tolist(), X.DEFAULT)
+        close = X.DEFAULT.with_(sigma=1.0, gradient_peak=0.0, merge_delta=1.5)
+        assert X.cut(x, close) == naive_cut(x.tolist(), close)
+
+
+def test_votes_of_repeated_items():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        a, b = (r.integers(0, 4, r.integers(0, 60)) << 28 for _ in range(2))
+        want = {}
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                if x == y:
+                    want[i - j] = want.get(i - j, 0) + 1
+        for piece in (1, 20, 1 << 20):  # all by convolution, some, none
+            low, votes = X.histogram(a, b, 4, piece)
+            assert {i + low: int(v) for i, v in enumerate(votes) if v} == want
+        assert X.align(a, b, 4)[:2] == naive_alignment(a, b, 4)[:2]
+
+
 def test_candidates(spark):
     r = np.random.default_rng(1)
     arrays = {i: r.integers(0, 2**32, 100) for i in range(60)}
@@ -83,6 +144,23 @@ def test_cliques_and_chains(spark):
     assert (0, False, 10) in got and (0, False, 2) not in got  # a chain doesn't hide identical files, a clique does
 
 
+def test_pairs_without_evidence_are_verified(spark):
+    # 1-2-3 and 11-12-13 lack a pair each; 21-22-23 are known whole; 31-32-33 have a known pair of tier 2, so nothing is asked
+    known = [(1, 2, 1), (2, 3, 1), (11, 12, 1), (12, 13, 1), (21, 22, 1), (22, 23, 1), (21, 23, 1), (31, 32, 1), (32, 33, 1), (31, 33, 2), (1, 21, -1)]
+    tiers = spark.createDataFrame(known, "a long, b long, tier int")
+    tracks = spark.createDataFrame([], "id long, content_id long, present boolean")
+    asked = []
+
+    def verify(pairs):
+        asked.extend(sorted((x.a, x.b) for x in pairs.collect()))
+        return pairs.withColumn("tier", F.when(F.col("a") == 1, 1).otherwise(2))
+
+    got = {(x.group_id, x.tier, x.formed_by_chain) for x in G.build_groups(tiers, tracks, verify).collect()}
+    assert got == {(1, 1, False), (11, 2, True), (21, 1, False), (31, 2, True)} and asked == [(1, 3), (11, 13)]
+    alone = {(x.group_id, x.tier) for x in G.build_groups(tiers, tracks).collect()}
+    assert alone == {(1, 2), (11, 2), (21, 1), (31, 2)}
+
+
 def test_keeper(spark):
     schema = "group_id long, id long, path string, bitrate long, tag_completeness int, duration double, mtime double, dev long, inode long, cutoff_hz double, cliff_db double"
     rows = [
@@ -115,14 +193,14 @@ def test_nearest_in_blocks(spark):
     x = r.standard_normal((70, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
     got = {}
-    for n in D.nearest(rows, 5, block=16).collect():
+    for n in D.nearest(rows, 5, blocks=5).collect():
         got.setdefault(n.i, {})[n.place] = n.j
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
     for i in range(70):
         assert [got[i][p] for p in range(1, 6)] == np.argsort(d[i], kind="stable")[:5].tolist()
-    moments = {m.i: (m.mean, m.sd) for m in D.row_moments(rows, block=16).collect()}
+    moments = {m.i: (m.mean, m.sd) for m in D.row_moments(rows, blocks=5).collect()}
     for i in (0, 33):
         others = np.delete(d[i], i)
         assert moments[i] == pytest.approx((others.mean(), others.std()), abs=1e-7)
@@ -221,7 +299,7 @@ def test_index_by_mutual_proximity_over_all_others(spark):
     x = np.concatenate([r.standard_normal((60, 24)), 0.05 * r.standard_normal((10, 24))]) + 1.0  # the last ten are hubs
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
     got = {}
-    for n in D.embedding_index(rows, 2, block=16).collect():
+    for n in D.embedding_index(rows, 2, blocks=5).collect():
         got.setdefault(n.track_id, {})[n.place] = (n.neighbor_id, n.combined_score)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = (1 - u @ u.T).round(9)
@@ -274,3 +352,37 @@ def test_stability_is_over_all_pairs_of_four_samples(spark, monkeypatch):
         expected = a * b / pairs([len(ids)])
         values.append((both - expected) / ((a + b) / 2 - expected))
     assert seeds == [0, 1, 2, 3] and got == pytest.approx(np.mean(values), abs=1e-6)
+
+
+def test_index_by_components_over_all_others(spark):
+    r = np.random.default_rng(6)
+    pick = lambda *x: x[r.integers(len(x))]
+    rows = [(i, r.standard_normal(13).tolist() if i % 9 else [0.0] * 13, pick(None, 0.0, 90.0, 128.5), pick(None, "", "C", "Db", "F#", "H"), pick(None, "minor", "major"), pick(None, 0.2, 0.9)) for i in range(60)]
+    table = spark.createDataFrame(rows, "content_id long, mfcc array<double>, bpm double, key_name string, scale string, energy double")
+    parts = D.components(bpm_scale=F.lit(25.0))
+    every = D.paired(table, F.lit(True), blocks=4).select(F.col("a_content_id").alias("i"), F.col("b_content_id").alias("j"), F.round(parts["combined_score"], 6).alias("s")).collect()
+    assert len(every) == 60 * 59
+    want = {}
+    for x in sorted(every, key=lambda x: (x.i, x.s, x.j)):
+        want.setdefault(x.i, []).append((x.j, pytest.approx(x.s, abs=1e-6)))
+    got = {}
+    for x in sorted(D.score_index(table, 7, 25.0, blocks=4).collect(), key=lambda x: (x.track_id, x.place)):
+        got.setdefault(x.track_id, []).append((x.neighbor_id, x.combined_score))
+    assert got == {i: x[:7] for i, x in want.items()}
+
+
+def test_ranks_and_apart(spark):
+    r = np.random.default_rng(7)
+    x = r.integers(-1, 2, (40, 4)).astype(float)  # many ties
+    x[x.sum(1) == 0] += 1
+    table = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "content_id long, vector array<double>, artist long")
+    d = {(q.i, q.j): q.d for q in D.distances(table, blocks=3).collect()}
+    assert len(d) == 40 * 39
+    order = {i: sorted((d[i, j], j) for j in range(40) if j != i) for i in range(40)}
+    known = [(i, j) for i in range(0, 40, 3) for j in (1, 7, 39) if i != j]
+    got = {(q.i, q.j): q.place for q in D.ranks(table, spark.createDataFrame(known, "i long, j long"), blocks=3).collect()}
+    assert got == {(i, j): 1 + order[i].index((d[i, j], j)) for i, j in known}
+    near = {}
+    for q in sorted(D.nearest(table, 4, apart="artist", blocks=3).collect(), key=lambda q: (q.i, q.place)):
+        near.setdefault(q.i, []).append(q.j)
+    assert near == {i: [j for _, j in order[i] if j % 5 != i % 5][:4] for i in range(40)}

@@ -63,6 +63,13 @@ def kmeans(matrix: DataFrame, k: int | None = None, seed: int = 42, tries: range
     return model.transform(standardised(matrix).select("content_id", array_to_vector("x").alias("features"))).select("content_id", F.col("prediction").alias("cluster_id"))
 
 
+def small(rows: DataFrame, *group: str) -> DataFrame:
+    """(content_id, cluster_id): 0 in groups too small to be cut, else null."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    same = [rows[g].eqNullSafe(sizes[g]) for g in group]
+    return rows.join(sizes, same).select("content_id", F.when(F.col("n") < SMALL, 0).alias("cluster_id"))
+
+
 def mean_vectors(assigned: DataFrame, group: str = "cluster_id", vector: str = "vector") -> DataFrame:
     """(cluster_id, centroid): mean of each component."""
     cells = assigned.select(group, F.posexplode(vector).alias("k", "v")).groupBy(group, "k").agg(F.avg("v").alias("v"))
@@ -115,10 +122,8 @@ def terciles(features: DataFrame, tracks: DataFrame, column: str, fallback: tupl
 
 
 def upper_median(c: str) -> Column:
-    """The middle value, the upper one of two: a discrete percentile just above the half.  Exact, and combined before it is shuffled."""
-    n = F.count(c)
-    place = F.floor(n / 2)
-    return F.when(n > 0, F.element_at(F.array_sort(F.collect_list(c)), (place + 1).cast("int")))
+    """The middle value, the upper one of two, from counts of values: the first in falling order that at least half are as large as."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}` DESC)")
 
 
 def cluster_labels(labels: DataFrame, features: DataFrame, tracks: DataFrame) -> DataFrame:

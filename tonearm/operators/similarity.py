@@ -49,15 +49,18 @@ def bpm_spread(features: DataFrame) -> DataFrame:
     return got.select(F.when(F.col("n") < MIN_ROWS, BPM_SCALE).otherwise(F.greatest(F.lit(MIN_SPREAD), F.col("q")[1] - F.col("q")[0])).alias("spread"))
 
 
-def block_pairs(rows: DataFrame, id_col: str, queries: Column, block: int = 1024) -> DataFrame:
-    """Rows dealt to (query block, data block) groups: ``block`` rows of each at most on average, so a group's size is bounded whatever the table's."""
-    n = max(1, math.ceil(rows.count() / block))
-    part = F.pmod(F.xxhash64(id_col), F.lit(n))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    data = rows.withColumn("_role", F.lit("data")).withColumn("_d", part).withColumn("_q", F.explode(every))
-    asked = rows.where(queries).withColumn("_role", F.lit("query")).withColumn("_q", part).withColumn("_d", F.explode(every))
-    dealt = lambda x: x.select(*rows.columns, "_role", F.col("_q").cast("int").alias("_q"), F.col("_d").cast("int").alias("_d"))
-    return dealt(data).unionByName(dealt(asked))
+def block_count(rows: DataFrame, most: int = 8192, least: int = 256) -> int:
+    """Into how many blocks: enough pairs of blocks for all cores, and no block of more than ``most`` rows on average."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n / most), min(math.ceil(n / least), math.ceil(math.sqrt(4 * cores))))
+
+
+def block_pairs(rows: DataFrame, id_col: str, queries: Column, blocks: int, data: Column | None = None) -> DataFrame:
+    """Rows dealt to (query block, data block) groups, so that a group's size is bounded whatever the table's."""
+    part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    role = lambda x, name, here, there: x.select(*rows.columns, F.lit(name).alias("_role"), part.cast("int").alias(here), F.explode(every).alias(there))
+    return role(rows.where(F.lit(True) if data is None else data), "data", "_d", "_q").unionByName(role(rows.where(queries), "query", "_q", "_d"))
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -65,45 +68,133 @@ def unit_rows(vectors) -> np.ndarray:
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-12)
 
 
-def nearest(rows: DataFrame, k: int, id_col: str = "content_id", vector: str = "vector", queries: Column | None = None, block: int = 1024) -> DataFrame:
-    """(i, j, d, place): the k nearest others of each query by cosine distance, ties by id."""
+def cosine_block(asked: pd.DataFrame, data: pd.DataFrame) -> np.ndarray:
+    return np.clip(1 - unit_rows(asked["vector"]) @ unit_rows(data["vector"]).T, 0, 2).round(9)
+
+
+def in_blocks(rows: DataFrame, queries: Column, schema: str, work, data: Column | None = None, blocks: int | None = None, piece: int = 512) -> DataFrame:
+    """``work(asked, data)`` on every pair of blocks, ``piece`` queries at a time; data come sorted by id."""
 
     def task(part: pd.DataFrame) -> pd.DataFrame:
-        data, asked = part[part["_role"] == "data"], part[part["_role"] == "query"]
-        empty = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0)})
-        if not len(data) or not len(asked):
-            return empty
-        ids = np.sort(data[id_col].to_numpy())
-        data = data.set_index(id_col).loc[ids]
-        d = np.clip(1 - unit_rows(asked[vector]) @ unit_rows(data[vector]).T, 0, 2).round(9)
-        d[asked[id_col].to_numpy()[:, None] == ids[None, :]] = np.inf
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(asked[id_col].to_numpy(), take.shape[1]), "j": ids[take].ravel(), "d": np.take_along_axis(d, take, 1).ravel()})
-        return out[np.isfinite(out["d"])]
-
-    dealt = block_pairs(rows.select(id_col, vector), id_col, F.lit(True) if queries is None else queries, block)
-    some = dealt.groupBy("_q", "_d").applyInPandas(task, "i long, j long, d double")
+        known, asked = part[part["_role"] == "data"].sort_values("content_id"), part[part["_role"] == "query"]
+        some = [work(asked.iloc[a : a + piece], known) for a in range(0, len(asked), piece)] if len(known) else []
+        return pd.concat(some) if some else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return block_pairs(rows, "content_id", queries, blocks or block_count(rows), data).groupBy("_q", "_d").applyInPandas(task, schema)
+
+
+def _best(asked: pd.DataFrame, data: pd.DataFrame, score: np.ndarray, k: int, **more: np.ndarray) -> pd.DataFrame:
+    """The k lowest scores of each query, ties by id; infinite ones are none."""
+    i, j = asked["content_id"].to_numpy(), data["content_id"].to_numpy()
+    score[i[:, None] == j[None, :]] = np.inf
+    take = np.argsort(score, axis=1, kind="stable")[:, :k]
+    pick = lambda x: np.take_along_axis(x, take, 1).ravel()
+    out = pd.DataFrame({"i": np.repeat(i, take.shape[1]), "j": j[take].ravel(), **{n: pick(x) for n, x in more.items()}, "score": pick(score)})
+    return out[np.isfinite(out["score"])]
+
+
+def nearest(rows: DataFrame, k: int, queries: Column | None = None, data: Column | None = None, apart: str | None = None, blocks: int | None = None) -> DataFrame:
+    """(i, j, d, place): the k nearest others of each query among the data by cosine distance, ties by id; rows with equal ``apart`` aren't compared."""
+
+    def work(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        d = cosine_block(asked, known)
+        if apart:
+            d[asked[apart].to_numpy()[:, None] == known[apart].to_numpy()[None, :]] = np.inf
+        return _best(asked, known, d, k).rename(columns={"score": "d"})
+
+    some = in_blocks(rows.select("content_id", "vector", *[apart] * bool(apart)), F.lit(True) if queries is None else queries, "i long, j long, d double", work, data, blocks)
     return top_k(some, "i", "d", "j", k)
 
 
+def distances(rows: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(i, j, d): the whole matrix without its diagonal."""
+
+    def work(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        i, j = asked["content_id"].to_numpy(), known["content_id"].to_numpy()
+        out = pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "d": cosine_block(asked, known).ravel()})
+        return out[out["i"] != out["j"]]
+
+    return in_blocks(rows.select("content_id", "vector"), F.lit(True), "i long, j long, d double", work, blocks=blocks)
+
+
+def ranks(rows: DataFrame, known: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(i, j, place): the place of j among all others of i, for known pairs (i, j), by counting what is nearer (ties by id)."""
+    vector = lambda c: rows.select(F.col("content_id").alias(c), F.col("vector").alias(f"v_{c}"))
+    pairs = known.join(vector("i"), "i").join(vector("j"), "j").groupBy("i").agg(F.first("v_i").alias("vector"), F.collect_list(F.struct("j", "v_j")).alias("asked"))
+    asked = rows.select("content_id", "vector").join(pairs.select(F.col("i").alias("content_id"), "asked"), "content_id", "left")
+
+    def work(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        d, ids, out = cosine_block(some, others), others["content_id"].to_numpy(), []
+        for row, i, of, vector in zip(d, some["content_id"], some["asked"], some["vector"], strict=True):
+            for x in of:
+                mine = float(np.clip(1 - unit_rows([vector])[0] @ unit_rows([x["v_j"]])[0], 0, 2).round(9))
+                out.append((i, x["j"], int((((row < mine) | ((row == mine) & (ids < x["j"]))) & (ids != i) & (ids != x["j"])).sum())))
+        return pd.DataFrame(out, columns=["i", "j", "before"])
+
+    counted = in_blocks(asked, F.col("asked").isNotNull(), "i long, j long, before long", work, blocks=blocks)
+    return counted.groupBy("i", "j").agg((F.sum("before") + 1).alias("place"))
+
+
+SCORED = ("mfcc", "bpm", "energy", "place_of_key", "no_key")
+
+
+def score_block(a: pd.DataFrame, b: pd.DataFrame, spread: float, weights: dict[str, float]) -> np.ndarray:
+    """``combined_score`` of ``components`` for all pairs of two blocks."""
+    x, y = (np.stack([np.asarray(v, float) for v in side["mfcc"]]) for side in (a, b))
+    sizes = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = np.where(sizes == 0, 0.0, np.clip((x @ y.T) / sizes, -1, 1))
+    column = lambda side, c: side[c].to_numpy(float)
+    gap = lambda c: np.abs(column(a, c)[:, None] - column(b, c)[None, :])
+    fifths = gap("place_of_key")
+    unknown = a["no_key"].to_numpy(bool)[:, None] | b["no_key"].to_numpy(bool)[None, :]
+    parts = {
+        "mfcc": np.minimum((1 - cosine) / 2, 1), "bpm": np.minimum(gap("bpm") / spread, 1), "energy": np.minimum(gap("energy"), 1),
+        "key": np.where(unknown, np.nan, np.nan_to_num(np.minimum(fifths, 12 - fifths), nan=6.0) / 6),
+    }
+    total, mass = np.zeros(cosine.shape), np.zeros(cosine.shape)
+    for name, value in parts.items():
+        there = ~np.isnan(value)
+        total += np.where(there, value * weights[name], 0)
+        mass += np.where(there, weights[name], 0)
+    return (total / np.where(mass == 0, 1, mass)).round(6)
+
+
+def score_index(rows: DataFrame, k: int, spread: float, weights: dict[str, float] | None = None, queries: Column | None = None, data: Column | None = None, blocks: int | None = None) -> DataFrame:
+    """(track_id, neighbor_id, combined_score, place): the k best of all others by the components' score, for rows with mfcc, bpm, key_name, scale and energy."""
+    missing = S.is_missing(F.col("key_name"), text=True)
+    ready = rows.select(
+        "content_id", "mfcc", F.when(~S.is_missing(F.col("bpm"), positive=True), F.col("bpm")).alias("bpm"), "energy",
+        S.fifths(F.col("key_name"), F.coalesce("scale", F.lit("major"))).cast("double").alias("place_of_key"), missing.alias("no_key"),
+    )
+    work = lambda a, b: _best(a, b, score_block(a, b, spread, weights or WEIGHTS), k)
+    best = top_k(in_blocks(ready, F.lit(True) if queries is None else queries, "i long, j long, score double", work, data, blocks), "i", "score", "j", k)
+    return best.select(F.col("i").alias("track_id"), F.col("j").alias("neighbor_id"), F.col("score").alias("combined_score"), "place")
+
+
+def paired(rows: DataFrame, queries: Column, blocks: int | None = None) -> DataFrame:
+    """Each query (columns a_*) with every other row (b_*): an equi join on the data's block."""
+    n = blocks or block_count(rows)
+    a = side(rows.where(queries), "a").withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    b = side(rows, "b").withColumn("_d", F.pmod(F.xxhash64("b_content_id"), F.lit(n)).cast("int"))
+    return a.join(b, "_d").drop("_d").where("a_content_id <> b_content_id")
+
+
 def top_k(pairs: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(score, tie)
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def row_moments(rows: DataFrame, id_col: str = "content_id", vector: str = "vector", block: int = 1024) -> DataFrame:
+def row_moments(rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """(i, n, mean, sd): of each row's distances to all others, from sums over blocks."""
 
-    def task(part: pd.DataFrame) -> pd.DataFrame:
-        data, asked = part[part["_role"] == "data"], part[part["_role"] == "query"]
-        if not len(data) or not len(asked):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "s": np.zeros(0), "ss": np.zeros(0)})
-        d = np.clip(1 - unit_rows(asked[vector]) @ unit_rows(data[vector]).T, 0, 2).round(9)
-        other = asked[id_col].to_numpy()[:, None] != data[id_col].to_numpy()[None, :]
-        d = np.where(other, d, 0)
-        return pd.DataFrame({"i": asked[id_col].to_numpy(), "n": other.sum(1), "s": d.sum(1), "ss": (d * d).sum(1)})
-
-    sums = block_pairs(rows.select(id_col, vector), id_col, F.lit(True), block).groupBy("_q", "_d").applyInPandas(task, "i long, n long, s double, ss double")
+    def work(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        i = asked["content_id"].to_numpy()
+        other = i[:, None] != known["content_id"].to_numpy()[None, :]
+        d = np.where(other, cosine_block(asked, known), 0)
+        return pd.DataFrame({"i": i, "n": other.sum(1), "s": d.sum(1), "ss": (d * d).sum(1)})
+
+    sums = in_blocks(rows.select("content_id", "vector"), F.lit(True), "i long, n long, s double, ss double", work, blocks=blocks)
     out = sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     return out.select("i", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("sd"))
@@ -125,27 +216,17 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, 1 - tail, tail)
 
 
-def embedding_index(rows: DataFrame, k: int = 100, block: int = 1024) -> DataFrame:
+def embedding_index(rows: DataFrame, k: int = 100, blocks: int | None = None) -> DataFrame:
     """(track_id, neighbor_id, raw, combined_score, place): the k nearest others by mutual proximity, ties by id; every pair is scored in its blocks."""
 
-    def task(part: pd.DataFrame) -> pd.DataFrame:
-        data, asked = part[part["_role"] == "data"], part[part["_role"] == "query"]
-        if not len(data) or not len(asked):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0), "mp": np.zeros(0)})
-        data = data.sort_values("content_id")
-        i, j = asked["content_id"].to_numpy(), data["content_id"].to_numpy()
-        d = np.clip(1 - unit_rows(asked["vector"]) @ unit_rows(data["vector"]).T, 0, 2).round(9)
+    def work(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        d = cosine_block(asked, known)
         above = lambda of, shape: 1 - _normal_cdf((d - of["mean"].to_numpy().reshape(shape)) / np.maximum(of["sd"].to_numpy(), 1e-12).reshape(shape))
-        mp = 1 - above(asked, (-1, 1)) * above(data, (1, -1))
-        mp[i[:, None] == j[None, :]] = np.inf
-        take = np.argsort(mp, axis=1, kind="stable")[:, :k]
-        pick = lambda x: np.take_along_axis(x, take, 1).ravel()
-        out = pd.DataFrame({"i": np.repeat(i, take.shape[1]), "j": j[take].ravel(), "d": pick(d), "mp": pick(mp)})
-        return out[np.isfinite(out["mp"])]
-
-    moments = row_moments(rows, block=block).select(F.col("i").alias("content_id"), "mean", "sd")
+        return _best(asked, known, 1 - above(asked, (-1, 1)) * above(known, (1, -1)), k, d=d).rename(columns={"score": "mp"})
+
+    moments = row_moments(rows, blocks).select(F.col("i").alias("content_id"), "mean", "sd")
     known = checkpointed(rows.select("content_id", "vector").join(moments, "content_id"))
-    some = block_pairs(known, "content_id", F.lit(True), block).groupBy("_q", "_d").applyInPandas(task, "i long, j long, d double, mp double")
+    some = in_blocks(known, F.lit(True), "i long, j long, d double, mp double", work, blocks=blocks)
     best = top_k(some, "i", "mp", "j", k)
     return best.select(F.col("i").alias("track_id"), F.col("j").alias("neighbor_id"), (F.col("d") / 2).alias("raw"), F.col("mp").alias("combined_score"), "place")
 

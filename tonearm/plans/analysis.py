@@ -134,11 +134,11 @@ def _(lib):
 
 @query("agg_row_moments", "SELECT i, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd FROM distance GROUP BY i")
 def _(lib):
-    return D.row_moments(lib.embedding.where("content_id < 400")).select("i", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    return D.row_moments(lib.embedding).select("i", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def near(lib, k: int = 20):
-    return D.nearest(lib.embedding.where("content_id < 400"), k)
+    return D.nearest(lib.embedding, k)
 
 
 @query("agg_median_neighbours", "SELECT round(median(d), 6) AS sigma FROM neighbour WHERE n <= 10")
@@ -182,9 +182,9 @@ def _(lib):
     return lib.track.select("id", "path").unionByName(more).select("id", S.extension(col("path")).alias("ext"))
 
 
-@query("fn_escape_path", "SELECT doc_id, replace(replace(replace(substr(text, 1, 200), '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS x FROM documents")
+@query("fn_escape_path", "SELECT doc_id, replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS x FROM documents")
 def _(lib):
-    return lib.table("documents").select("doc_id", S.escape_path(F.substring("text", 1, 200)).alias("x"))
+    return lib.table("documents").select("doc_id", S.escape_path(col("text")).alias("x"))
 
 
 @query(

@@ -14,11 +14,8 @@ from tonearm.plans.relational import members
 
 col = F.col
 one = "*"  # for F.count; a Column would need a session at import
-PART = 400  # as in the SQL view pairwise: the queries without SQL read all vectors
-
-
-def part(lib):
-    return lib.embedding.where(col("content_id") < PART)
+K_LIST = 20
+ASKED = "content_id % 50 = 0"  # the queries of the pair scores, against all rows
 
 
 # --- distances -----------------------------------------------------------------------
@@ -37,15 +34,16 @@ def key_distance(a: str, b: str) -> str:
     return f"coalesce(least({d}, 12 - {d}), 6)"
 
 
-PAIRED = "scored a JOIN scored b ON b.content_id > a.content_id AND b.content_id <= a.content_id + 30"
+EVERY = "scored a JOIN scored b ON b.content_id <> a.content_id"
+PAIRED = f"{EVERY} AND a.{ASKED}"
 
 
 def paired(lib):
-    """Each content with the ones up to 30 after it; an equi join on a bucket keeps it from being a join of everything."""
-    rows = lib.scored
-    a = D.side(rows, "a").withColumn("g", F.explode(F.array(F.floor(col("a_content_id") / 30), F.floor(col("a_content_id") / 30) + 1)))
-    b = D.side(rows, "b").withColumn("g", F.floor(col("b_content_id") / 30))
-    return a.join(b, "g").where("b_content_id > a_content_id and b_content_id <= a_content_id + 30")
+    return D.paired(lib.scored, F.expr(ASKED))
+
+
+def spread(lib) -> float:
+    return D.bpm_spread(lib.features).first()["spread"]  # one number
 
 
 @query("sim_cosine", f"SELECT a.content_id AS a, b.content_id AS b, round(1 - list_cosine_similarity(a.mfcc, b.mfcc), 6) AS d FROM {PAIRED}")
@@ -60,24 +58,23 @@ def _(lib):
 
 
 NORMS = f"""SELECT a.content_id AS a, b.content_id AS b, least((1 - list_cosine_similarity(a.mfcc, b.mfcc)) / 2, 1) AS m, CASE WHEN a.bpm > 0 AND b.bpm > 0 THEN least(abs(a.bpm - b.bpm) / (SELECT spread FROM ({SPREAD})), 1) END AS t,
-    CASE WHEN a.key_name IS NOT NULL AND b.key_name IS NOT NULL THEN {key_distance('a', 'b')} / 6.0 END AS k, CASE WHEN a.energy IS NOT NULL AND b.energy IS NOT NULL THEN least(abs(a.energy - b.energy), 1) END AS e FROM {PAIRED}"""
+    CASE WHEN a.key_name IS NOT NULL AND b.key_name IS NOT NULL THEN {key_distance('a', 'b')} / 6.0 END AS k, CASE WHEN a.energy IS NOT NULL AND b.energy IS NOT NULL THEN least(abs(a.energy - b.energy), 1) END AS e FROM """
 
 
 def scores(lib):
-    spread = D.bpm_spread(lib.features)
-    parts = D.components(bpm_scale=col("spread"))
-    return paired(lib).join(F.broadcast(spread)).select(col("a_content_id").alias("a"), col("b_content_id").alias("b"), *[F.round(v, 6).alias(k) for k, v in parts.items()])  # one row
+    parts = D.components(bpm_scale=F.lit(spread(lib)))
+    return paired(lib).select(col("a_content_id").alias("a"), col("b_content_id").alias("b"), *[F.round(v, 6).alias(k) for k, v in parts.items()])
 
 
-@query("sim_normalize", f"SELECT a, b, round(m, 6) AS mfcc_norm, round(t, 6) AS bpm_norm, round(k, 6) AS key_norm, round(e, 6) AS energy_norm FROM ({NORMS})")
+@query("sim_normalize", f"SELECT a, b, round(m, 6) AS mfcc_norm, round(t, 6) AS bpm_norm, round(k, 6) AS key_norm, round(e, 6) AS energy_norm FROM ({NORMS}{PAIRED})")
 def _(lib):
     return scores(lib).drop("combined_score")
 
 
-SCORE = f"SELECT a, b, round((0.5 * m + coalesce(0.25 * t, 0) + coalesce(0.15 * k, 0) + coalesce(0.1 * e, 0)) / (0.5 + CASE WHEN t IS NULL THEN 0 ELSE 0.25 END + CASE WHEN k IS NULL THEN 0 ELSE 0.15 END + CASE WHEN e IS NULL THEN 0 ELSE 0.1 END), 6) AS combined_score FROM ({NORMS})"
+SCORE = f"SELECT a, b, round((0.5 * m + coalesce(0.25 * t, 0) + coalesce(0.15 * k, 0) + coalesce(0.1 * e, 0)) / (0.5 + CASE WHEN t IS NULL THEN 0 ELSE 0.25 END + CASE WHEN k IS NULL THEN 0 ELSE 0.15 END + CASE WHEN e IS NULL THEN 0 ELSE 0.1 END), 6) AS combined_score FROM ({NORMS}"
 
 
-@query("sim_score", SCORE)
+@query("sim_score", f"{SCORE}{PAIRED})")
 def _(lib):
     return scores(lib).select("a", "b", "combined_score")
 
@@ -87,37 +84,37 @@ def _(lib):
     return lib.embedding.join(lib.track.where("present"), "content_id", "left_semi").select("content_id", F.size("vector").alias("dim"))
 
 
-BOTH = f"(SELECT a AS track_id, b AS neighbor_id, combined_score FROM ({SCORE}) UNION ALL SELECT b, a, combined_score FROM ({SCORE}))"
+BOTH = f"(SELECT a AS track_id, b AS neighbor_id, combined_score FROM ({SCORE}{EVERY})))"
+LISTS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined_score, neighbor_id) AS place FROM {BOTH}) WHERE place <= {K_LIST})"
 
 
-def both(lib):
-    s = scores(lib).select("a", "b", "combined_score")
-    return s.select(col("a").alias("track_id"), col("b").alias("neighbor_id"), "combined_score").unionByName(s.select(col("b").alias("track_id"), col("a").alias("neighbor_id"), "combined_score"))
+def score_lists(lib, **which):
+    return D.score_index(lib.scored, K_LIST, spread(lib), **which)
 
 
-@query("sim_full_rebuild", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined_score, neighbor_id) AS place FROM {BOTH}) WHERE place <= 20")
+@query("sim_full_rebuild", f"SELECT * FROM {LISTS}")
 def _(lib):
-    return D.top_k(both(lib), "track_id", "combined_score", "neighbor_id", 20)
+    return score_lists(lib)
 
 
 @query(
     "sim_build_incremental",
     f"""SELECT track_id, neighbor_id, combined_score, place FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined_score, fresh, neighbor_id) AS place FROM
-    (SELECT * EXCLUDE (p), 0 AS fresh FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined_score, neighbor_id) AS p FROM {BOTH} WHERE neighbor_id % 3 <> 0) WHERE p <= 5 UNION ALL SELECT *, 1 FROM {BOTH} WHERE neighbor_id % 3 = 0)) WHERE place <= 5""",
+    (SELECT * EXCLUDE (p), 0 AS fresh FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined_score, neighbor_id) AS p FROM {BOTH} WHERE neighbor_id % 3 <> 0) WHERE p <= {K_LIST} UNION ALL SELECT *, 1 FROM {BOTH} WHERE neighbor_id % 3 = 0)) WHERE place <= {K_LIST}""",
 )
 def _(lib):
-    rows = both(lib)
-    old = D.top_k(rows.where("neighbor_id % 3 <> 0"), "track_id", "combined_score", "neighbor_id", 5).drop("place")
-    return D.merge_top_k(old, rows.where("neighbor_id % 3 = 0"), 5)
+    """Lists over the contents that were there, then a third of new ones."""
+    new = col("content_id") % 3 == 0
+    return D.merge_top_k(score_lists(lib, data=~new).drop("place"), score_lists(lib, data=new).drop("place"), K_LIST)
 
 
 for name in ("win_topk_per_key", "jn_cross_all_pairs"):
-    query(name, "SELECT i, j, round(d + 2e-10, 6) AS d, n AS place FROM neighbour")(lambda lib: D.nearest(part(lib), 20).select("i", "j", F.round(col("d") + 2e-10, 6).alias("d"), "place"))
+    query(name, "SELECT i, j, round(d + 2e-10, 6) AS d, n AS place FROM neighbour")(lambda lib: D.nearest(lib.embedding, K_LIST).select("i", "j", F.round(col("d") + 2e-10, 6).alias("d"), "place"))
 
 
-@query("sim_cosine_matrix", "SELECT i, j, round(d + 2e-10, 6) AS d FROM distance WHERE i % 10 = 0")
+@query("sim_cosine_matrix", "SELECT i, j, round(d + 2e-10, 6) AS d FROM distance")
 def _(lib):
-    return D.nearest(part(lib), PART, queries=col("content_id") % 10 == 0).select("i", "j", F.round(col("d") + 2e-10, 6).alias("d"))  # d has nine places: no ties
+    return D.distances(lib.embedding).select("i", "j", F.round(col("d") + 2e-10, 6).alias("d"))  # d has nine places: no ties
 
 
 def cdf(x: str) -> str:
@@ -133,8 +130,8 @@ MP = f"""SELECT i, j, round(1 - (1 - pi) * (1 - pj), 6) AS mp FROM (SELECT n.i,
 
 @query("sim_mutual_proximity", MP)
 def _(lib):
-    rows = part(lib)
-    return D.mutual_proximity(D.nearest(rows, 20).select("i", "j", "d"), D.row_moments(rows)).select("i", "j", F.round("mp", 6).alias("mp"))
+    rows = lib.embedding
+    return D.mutual_proximity(D.nearest(rows, K_LIST).select("i", "j", "d"), D.row_moments(rows)).select("i", "j", F.round("mp", 6).alias("mp"))
 
 
 def index(lib, k: int = 100):
@@ -157,12 +154,12 @@ def _(lib):
     "SELECT i, j, round(exp(-power(min(d) / (SELECT greatest(median(d), 1e-12) FROM neighbour WHERE n <= 10), 2)), 6) AS w FROM (SELECT i, j, d FROM neighbour WHERE n <= 10 UNION ALL SELECT j, i, d FROM neighbour WHERE n <= 10) GROUP BY i, j",
 )
 def _(lib):
-    return D.affinity(D.nearest(part(lib), 10), 10).select("i", "j", F.round("w", 6).alias("w"))
+    return D.affinity(D.nearest(lib.embedding, 10), 10).select("i", "j", F.round("w", 6).alias("w"))
 
 
 @query("srt_similar", "SELECT j AS neighbor_id, round(d, 6) AS d FROM neighbour WHERE i = 7 AND j IN (SELECT content_id FROM track WHERE present) ORDER BY d, j LIMIT 10")
 def _(lib):
-    near = D.nearest(part(lib), 20, queries=col("content_id") == 7)
+    near = D.nearest(lib.embedding, K_LIST, queries=col("content_id") == 7)
     here = lib.track.where("present").select(col("content_id").alias("j"))
     return near.join(here, "j", "left_semi").orderBy("d", "j").limit(10).select(col("j").alias("neighbor_id"), F.round("d", 6).alias("d"))
 
@@ -176,10 +173,13 @@ def _(lib):
     return hit.agg(F.min("id").alias("id"), F.count(one).alias("matches"), (F.count(one) == 1).alias("found"))
 
 
-@query("shf_near_copies", "SELECT i AS track_id, j AS neighbor_id FROM neighbour WHERE d / 2 < 0.2")
+CLOSE = 0.3  # these vectors hold no copies; the playlists use P.SAME_SONG
+
+
+@query("shf_near_copies", f"SELECT i AS track_id, j AS neighbor_id FROM neighbour WHERE d / 2 < {CLOSE}")
 def _(lib):
-    rows = D.nearest(part(lib), 20).select(col("i").alias("track_id"), col("j").alias("neighbor_id"), (col("d") / 2).alias("raw"))
-    return P.near_copies(rows, 0.2)
+    rows = D.nearest(lib.embedding, K_LIST).select(col("i").alias("track_id"), col("j").alias("neighbor_id"), (col("d") / 2).alias("raw"))
+    return P.near_copies(rows, CLOSE)
 
 
 @query("shf_index_kind", "SELECT count(*) FILTER (method = 'embedding') > 0 AS embedding FROM cluster_run")
@@ -208,23 +208,33 @@ def pool(lib):
     return rows.select(col("id").alias("track_id"), "content_id", "bpm", "key_name", "scale", "tag_artist")
 
 
+LIMIT = f"(SELECT spread * 0.25 FROM ({SPREAD}))"
 JUMP = "least(abs(b.bpm - a.bpm), abs(2 * b.bpm - a.bpm), abs(b.bpm - 2 * a.bpm))"
 KNOWN = "a.bpm > 0 AND b.bpm > 0"
 POOL = "(SELECT id, f.* FROM track t JOIN features f USING (content_id) WHERE present AND id = content_id)"
-TRANSITION = f"""SELECT n.i AS track_id, n.j AS neighbor_id, round(d + CASE WHEN {KNOWN} AND {JUMP} > 10 THEN 0.3 ELSE 0 END + CASE WHEN {KNOWN} THEN 0.3 * least({JUMP} / 20, 1) ELSE 0 END
+TRANSITION = f"""SELECT n.i AS track_id, n.j AS neighbor_id, round(d + CASE WHEN {KNOWN} AND {JUMP} > {LIMIT} THEN 0.3 ELSE 0 END + CASE WHEN {KNOWN} THEN 0.3 * least({JUMP} / (2 * {LIMIT}), 1) ELSE 0 END
     - CASE WHEN a.key_name IS NOT NULL AND b.key_name IS NOT NULL AND {key_distance('a', 'b')} <= 1 THEN 0.2 ELSE 0 END, 6) AS score FROM neighbour n JOIN {POOL} a ON a.id = n.i JOIN {POOL} b ON b.id = n.j"""
 
 
 @query("shf_transition_score", TRANSITION)
 def _(lib):
-    rows = D.nearest(part(lib), 20).select(col("i").alias("track_id"), col("j").alias("neighbor_id"), col("d").alias("combined_score"), (col("d") / 2).alias("raw"))
-    return P.transitions(rows, pool(lib), 40.0).select("track_id", "neighbor_id", F.round("score", 6).alias("score"))
-
-
-def walks(lib, n: int = 20):
-    tracks, rows = pool(lib), index(lib, P.POOL)
-    scored = P.transitions(rows, tracks, 40.0).join(rows.select("track_id", "neighbor_id", "place"), ["track_id", "neighbor_id"])
-    gone = P.near_copies(rows).select("track_id", col("neighbor_id").alias("excluded")).unionByName(P.duplicate_exclusions(members(lib)))
+    rows = D.nearest(lib.embedding, K_LIST).select(col("i").alias("track_id"), col("j").alias("neighbor_id"), col("d").alias("combined_score"), (col("d") / 2).alias("raw"))
+    return P.transitions(rows, pool(lib), spread(lib)).select("track_id", "neighbor_id", F.round("score", 6).alias("score"))
+
+
+def walks(lib, n: int = 20, embedding: bool = True, genre: str | None = None, bpm: tuple[float, float] | None = None):
+    """Playlists from every 25th track of the pool; without embeddings by the components' score, and without exclusion of near copies."""
+    tracks = pool(lib)
+    if genre:
+        tracks = tracks.join(lib.track.select(col("id").alias("track_id"), "tag_genre"), "track_id").where(S.like_nocase(col("tag_genre"), genre)).drop("tag_genre")
+    if bpm:
+        tracks = tracks.where((col("bpm") >= bpm[0]) & (col("bpm") < bpm[1]))
+    wide = spread(lib)
+    rows = index(lib, P.POOL) if embedding else D.score_index(lib.scored, P.LEGACY_POOL, wide).withColumn("raw", F.lit(None).cast("double"))
+    scored = P.transitions(rows, tracks, wide, embedding).join(rows.select("track_id", "neighbor_id", "place"), ["track_id", "neighbor_id"])
+    gone = P.duplicate_exclusions(members(lib))
+    if embedding:
+        gone = gone.unionByName(P.near_copies(rows).select("track_id", col("neighbor_id").alias("excluded")))
     seeds = tracks.where("track_id % 25 = 0").select(col("track_id").alias("seed"))
     return P.playlists(seeds, scored, tracks, gone, n)
 
@@ -234,6 +244,16 @@ def _(lib):
     return walks(lib)
 
 
+@query("shf_filtered")
+def _(lib):
+    return walks(lib, genre="en", bpm=(60.0, 180.0))
+
+
+@query("shf_legacy")
+def _(lib):
+    return walks(lib, embedding=False)
+
+
 # --- clusters ---------------------------------------------------------------------------
 
 
@@ -248,9 +268,11 @@ def _(lib):
     return K.kmeans(K.feature_matrix(lib.features, lib.embedding), 6)
 
 
-@query("cls_small", f"SELECT content_id, 0 AS cluster_id FROM {MATRIX} WHERE content_id < 12")
+@query("cls_small", f"SELECT content_id, CASE WHEN n < {K.SMALL} THEN 0 END AS cluster_id FROM (SELECT content_id, count(*) OVER (PARTITION BY key_name, scale) AS n FROM {MATRIX} JOIN features USING (content_id))")
 def _(lib):
-    return K.kmeans(K.feature_matrix(lib.features, lib.embedding).where("content_id < 12"))
+    """Contents by key: a key of too few is one cluster, the others are left to a clusterer."""
+    rows = K.feature_matrix(lib.features, lib.embedding).join(lib.features.select("content_id", "key_name", "scale"), "content_id")
+    return K.small(rows, "key_name", "scale")
 
 
 CENTROIDS = "(SELECT cluster_id, list(v ORDER BY k) AS centroid FROM (SELECT cluster_id, k, avg(v) AS v FROM (SELECT a.cluster_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS k FROM embedding e JOIN assignment a USING (content_id)) GROUP BY ALL) GROUP BY cluster_id)"
@@ -277,8 +299,7 @@ for name in ("cls_assign_vote", "jn_knn_vote"):
 
     @query(name, VOTE)
     def _(lib):
-        rows = part(lib)
-        near = D.nearest(rows, 60, queries=col("content_id") % 10 == 7)
+        near = D.nearest(lib.embedding, K.VOTERS, queries=col("content_id") % 10 == 7, data=col("content_id") % 10 != 7)  # new ones against those in clusters
         return K.vote(near, assigned(lib))
 
 

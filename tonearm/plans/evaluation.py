@@ -10,7 +10,7 @@ from tonearm.functions import scalars as S
 from tonearm.operators import clustering as K
 from tonearm.operators import evaluation as E
 from tonearm.operators import similarity as D
-from tonearm.plans.discovery import PART, part, pool, walks, with_vectors
+from tonearm.plans.discovery import EVERY, K_LIST, LISTS, NORMS, pool, score_lists, spread, walks, with_vectors
 from tonearm.plans.registry import query
 
 col = F.col
@@ -26,13 +26,9 @@ def _(lib):
     return rows.withColumn("n", F.row_number().over(w)).where("n <= 3").select("doc_id")
 
 
-def every(lib):
-    return D.nearest(part(lib), PART).select("i", "j", "d", "place")
-
-
 @query("ev_pct_rank", "SELECT i, j, round((row_number() OVER (ORDER BY d, i, j) - 1) / (count(*) OVER () - 1)::DOUBLE, 9) AS rank FROM neighbour")
 def _(lib):
-    return E.percentile_rank(D.nearest(part(lib), 20).select("i", "j", "d"), "d").select("i", "j", F.round("rank", 9).alias("rank"))
+    return E.percentile_rank(D.nearest(lib.embedding, K_LIST).select("i", "j", "d"), "d").select("i", "j", F.round("rank", 9).alias("rank"))
 
 
 @query("ev_euclid", "SELECT x.content_id AS i, y.content_id AS j, round(list_distance(x.vector, y.vector), 6) AS d FROM embedding x JOIN embedding y ON y.content_id = x.content_id + 1")
@@ -43,27 +39,33 @@ def _(lib):
     return a.join(b, "i").select("i", "j", F.round(d, 6).alias("d"))
 
 
-@query("ev_components", "SELECT i, j, round(0.7 * d / 2 + 0.3 * abs(i - j) / 400.0, 6) AS d FROM neighbour")
+@query("ev_components", f"SELECT i, j, round(n.d / 2, 6) AS embedding_norm, round(m, 6) AS mfcc_norm, round(t, 6) AS bpm_norm, round(k, 6) AS key_norm, round(e, 6) AS energy_norm FROM neighbour n JOIN ({NORMS}{EVERY}) x ON x.a = n.i AND x.b = n.j")
 def _(lib):
-    rows = D.nearest(part(lib), 20)
-    return rows.select("i", "j", F.round(0.7 * col("d") / 2 + 0.3 * F.abs(col("i") - col("j")) / 400.0, 6).alias("d"))
+    """Each component's distance for the neighbours by embedding."""
+    near = D.nearest(lib.embedding, K_LIST)
+    rows = near.join(D.side(lib.scored, "a"), col("a_content_id") == col("i")).join(D.side(lib.scored, "b"), col("b_content_id") == col("j"))
+    parts = D.components(bpm_scale=F.lit(spread(lib)))
+    return rows.select("i", "j", F.round(col("d") / 2, 6).alias("embedding_norm"), *[F.round(v, 6).alias(k) for k, v in parts.items() if k != "combined_score"])
 
 
-@query("ev_fusion", "SELECT i, j, round((n + abs(i - j) % 20) / 2.0, 6) AS fused FROM neighbour")
+@query("ev_fusion", f"SELECT coalesce(n.i, l.track_id) AS i, coalesce(n.j, l.neighbor_id) AS j, (coalesce(n.n, {K_LIST + 1}) + coalesce(l.place, {K_LIST + 1})) / 2.0 AS fused FROM neighbour n FULL JOIN {LISTS} l ON l.track_id = n.i AND l.neighbor_id = n.j")
 def _(lib):
-    return D.nearest(part(lib), 20).select("i", "j", F.round((col("place") + F.abs(col("i") - col("j")) % 20) / 2.0, 6).alias("fused"))
+    """Mean place in the lists by embedding and by components; what a list lacks comes after it."""
+    return E.fused(D.nearest(lib.embedding, K_LIST), score_lists(lib).withColumnsRenamed({"track_id": "i", "neighbor_id": "j"}), K_LIST)
 
 
-KNOWN = "(SELECT content_id AS i, content_id + 10 AS j FROM embedding WHERE content_id < 380 AND content_id % 7 = 0)"
+KNOWN = "(SELECT x.content_id AS i, y.content_id AS j FROM embedding x JOIN embedding y ON y.content_id = x.content_id + 10)"
 
 
 def known(lib):
-    return lib.embedding.where("content_id < 380 and content_id % 7 = 0").select(col("content_id").alias("i"), (col("content_id") + 10).alias("j"))
+    """Pairs that are taken to be duplicates: ids ten apart."""
+    later = lib.embedding.select((col("content_id") - 10).alias("i"), col("content_id").alias("j"))
+    return later.join(lib.embedding.select(col("content_id").alias("i")), "i", "left_semi").select("i", "j")
 
 
 @query("ev_hit_mrr", f"SELECT round(avg(CASE WHEN n <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN n <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(coalesce(1.0 / n, 0)), 6) AS mrr FROM {KNOWN} k LEFT JOIN (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM distance) USING (i, j)")
 def _(lib):
-    out = E.hits(every(lib), known(lib))
+    out = E.hits(D.ranks(lib.embedding, known(lib)), known(lib))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -73,13 +75,14 @@ SIDES = "(SELECT content_id, label, content_id % 3 AS source, content_id % 50 AS
 @query("ev_label_precision", f"SELECT round(avg((x.label = y.label)::INT), 6) AS precision, round(avg((x.label = y.label)::INT) FILTER (x.source <> y.source), 6) AS across_source, round(avg((x.source = y.source)::INT), 6) AS source_bias FROM (SELECT d.i, d.j, row_number() OVER (PARTITION BY d.i ORDER BY d.d, d.j) AS r FROM distance d WHERE d.i % 50 <> d.j % 50) p JOIN {SIDES} x ON x.content_id = p.i JOIN {SIDES} y ON y.content_id = p.j WHERE r <= 10")
 def _(lib):
     labels = lib.embedding.select("content_id", "label", (col("content_id") % 3).alias("source"), (col("content_id") % 50).alias("artist"))
-    out = E.label_precision(D.nearest(part(lib), 30), labels)
+    near = D.nearest(lib.embedding.withColumn("artist", col("content_id") % 50), 10, apart="artist")
+    out = E.label_precision(near, labels)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("ev_hubness", "SELECT round(sum((n - m) ** 3) / count(*) / power(sum((n - m) ** 2) / count(*), 1.5), 6) AS skew, round(avg((n = 0)::INT), 6) AS never, max(n) AS most FROM (SELECT n, avg(n) OVER () AS m FROM (SELECT e.content_id, count(x.j) AS n FROM embedding e LEFT JOIN neighbour x ON x.j = e.content_id AND x.n <= 10 WHERE e.content_id < 400 GROUP BY e.content_id))")
+@query("ev_hubness", "SELECT round(sum((n - m) ** 3) / count(*) / power(sum((n - m) ** 2) / count(*), 1.5), 6) AS skew, round(avg((n = 0)::INT), 6) AS never, max(n) AS most FROM (SELECT n, avg(n) OVER () AS m FROM (SELECT e.content_id, count(x.j) AS n FROM embedding e LEFT JOIN neighbour x ON x.j = e.content_id AND x.n <= 10 GROUP BY e.content_id))")
 def _(lib):
-    out = E.hubness(D.nearest(part(lib), 10), part(lib))
+    out = E.hubness(D.nearest(lib.embedding, 10), lib.embedding)
     return out.select(F.round("skew", 6).alias("skew"), F.round("never", 6).alias("never"), "most")
 
 

@@ -106,7 +106,7 @@ def evidence(lib):
 SMOOTHED = "(SELECT content_id, {smooth} AS s FROM (SELECT content_id, pos, (item % 32)::DOUBLE AS e, first_value((item % 32)::DOUBLE) OVER (PARTITION BY content_id ORDER BY pos) AS head, last_value((item % 32)::DOUBLE) OVER (PARTITION BY content_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM item) WINDOW w AS (PARTITION BY content_id ORDER BY pos))"
 
 
-@query("fp_smooth", f"SELECT content_id, round(sum(s), 4) AS total FROM {SMOOTHED.format(smooth=smooth_sql())} GROUP BY content_id")
+@query("fp_smooth", f"SELECT content_id, round(sum(s), 6) AS total FROM {SMOOTHED.format(smooth=smooth_sql())} GROUP BY content_id")
 def _(lib):
     import numpy as np
     import pandas as pd
@@ -114,7 +114,7 @@ def _(lib):
     def run(batches):
         for part in batches:
             sums = [float(X.smooth(np.asarray(x, float) % 32, 8.0).sum()) for x in part["fp"]]
-            yield pd.DataFrame({"content_id": part["content_id"], "total": np.round(sums, 4)})
+            yield pd.DataFrame({"content_id": part["content_id"], "total": np.round(sums, 6)})
 
     return lib.fingerprint.mapInPandas(run, "content_id long, total double")
 

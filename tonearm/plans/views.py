@@ -101,7 +101,7 @@ VIEWS: dict[str, str] = {
     "member": "SELECT g.group_id, g.tier, g.chain, g.decision, t.* FROM grp g JOIN track t ON t.content_id = g.group_id WHERE t.present",
     "cluster_run": "SELECT * FROM (VALUES (1, 'kmeans'), (2, 'embedding'), (3, 'embedding')) t(run_id, method)",
     "assignment": "SELECT content_id, label AS cluster_id FROM embedding WHERE content_id % 10 <> 7",
-    "pairwise": "SELECT x.content_id AS i, y.content_id AS j, list_cosine_similarity(x.vector, y.vector) AS cosine FROM embedding x JOIN embedding y ON x.content_id <> y.content_id WHERE x.content_id < 400 AND y.content_id < 400",
+    "pairwise": "SELECT x.content_id AS i, y.content_id AS j, list_cosine_similarity(x.vector, y.vector) AS cosine FROM embedding x JOIN embedding y ON x.content_id <> y.content_id",
     "distance": "SELECT i, j, round(1 - cosine, 9) AS d FROM pairwise",
     "neighbour": "SELECT * FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM distance) WHERE n <= 20",
 }
