@@ -1,14 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the words of a clause: *insult* (a weighted lexicon of words and word
-beginnings), *threat*, *target*, *negation* and *reported speech*.  Their composition is one
-transducer over clause states (is there a target, is the clause negated, is it reported) whose
-arcs carry weights, so that an insult counts more with a target, and less when negated or
-reported.  A text's score comes from its clauses' scores, not from isolated words.
-
-The insult lexicon's weights are learnt (log-odds of words and word beginnings in labelled
-texts, with a prior for a few general words), and so is the logistic map from the
-clauses' scores to a probability.  Fitting reads at most ``TRAIN_ROWS`` labelled texts.
+A clause's words become symbols: *insult* (a weighted lexicon of words and word beginnings), *threat*, *target*,
+*negation*, *reported speech* or none.  One transducer each marks what a target, a negation and a report reach over
+(``SPAN`` words); ``compose`` makes one transducer of them, whose states and arcs are a table.  A clause is read forward by
+it, and backward by the target's, as a target may follow.  What comes out are insults and threats with marks: aimed at someone,
+denied, or told of someone else.  A mark scales the weight, and a text's score is made of its clauses', not of isolated words.
+
+The insult lexicon's weights are learnt (log-odds of words and word beginnings in labelled texts, with a prior for a
+few general words).  So is the logistic map from a text's sums to a probability; it also sees each mark's sum alone, and so
+learns what a mark is worth.  Fitting reads at most ``TRAIN_ROWS`` labelled texts of ``TRAIN_BYTES`` in all.
 """
 
 from __future__ import annotations
@@ -16,32 +16,39 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: At most so many labelled texts are read to fit (half of each label at most); beyond that those with the smallest hashes of their ids.
+#: At most so many labelled texts are read to fit (half of each label at most), and so many bytes of them; beyond that those with the smallest hashes.
 TRAIN_ROWS = 8000
+TRAIN_BYTES = 64 << 20
 LEXICON = 4096
 LEAST_ODDS = 1.8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
-# General English words of each transducer.
-INSULTS = "idiot moron loser stupid pathetic worthless scum disgusting imbecile dumb trash filth vermin degenerate coward ugly".split()
-THREATS = "kill hurt destroy beat stab shoot hang burn murder punish strangle".split()
-TARGETS = "you your yours yourself u ur they them their he she him her his these those people women men".split()
-NEGATIONS = "not never no neither nor without isn't aren't wasn't don't doesn't didn't won't can't cannot".split()
-REPORTS = "said says say wrote writes called calls quoted quotes claimed claims reported alleged according".split()
-
-# Symbols of the clause alphabet.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: An arc's weight is multiplied by these where the clause has the flag.
-TARGETED, NEGATED, REPORTED = 1.5, 0.4, 0.4
+# General words of each kind in English, French, German and Spanish.
+INSULTS = """idiot moron loser stupid pathetic worthless scum disgusting imbecile dumb trash filth vermin degenerate coward ugly
+idiote crétin imbécile débile ordure minable dummkopf trottel abschaum widerlich erbärmlich idiota imbécil estúpido estúpida basura asqueroso""".split()
+THREATS = "kill hurt destroy beat stab shoot hang burn murder punish strangle tuer frapper brûler étrangler töten umbringen schlagen erschießen matar golpear quemar estrangular".split()
+TARGETS = """you your yours yourself u ur they them their he she him her his these those people women men
+tu toi vous votre ton ils elles eux leur du dich dir ihr euch sie ihm ihnen tú vosotros usted ustedes ellos ellas""".split()
+NEGATIONS = """not never no neither nor without isn't aren't wasn't don't doesn't didn't won't can't cannot
+ne pas jamais ni sans non aucun nicht kein keine keinen nie weder noch ohne nunca jamás sin tampoco""".split()
+REPORTS = """said says say wrote writes called calls quoted quotes claimed claims reported alleged according
+dit disait écrit appelle selon prétend sagt sagte schrieb nannte laut behauptet dijo dice escribió llamó según afirma""".split()
+
+# Symbols of the clause alphabet, and the marks that the transducers put on them.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = SYMBOLS = range(6)
+AIMED, DENIED, TOLD = 1, 2, 4
+#: What a mark multiplies a weight by before anything is learnt.
+FACTORS = {AIMED: 1.5, DENIED: 0.4, TOLD: 0.4}
 THREAT_WEIGHT, THREAT_ALONE = 3.0, 0.2
 SPAN = 12  # words that a target, a negation or a report reaches over
 
@@ -78,32 +85,67 @@ def whole(word: str) -> np.uint64:
     return C.span_hash(C.prefix_sums(C.BYTE_VALUES[data]), np.array([0]), np.array([len(data)]))[0] ^ np.uint64(0xABCDEF)
 
 
-def compose(state: tuple[int, int, int], symbol: int, weight: float) -> tuple[tuple[int, int, int], float]:
-    """One arc of the composed transducer: words left under a target, a negation and a report; the weight put out."""
-    target, negated, reported = state
-    out = 0.0
-    if symbol in (INSULT, THREAT):
-        if symbol == THREAT:
-            weight = THREAT_WEIGHT if target else THREAT_ALONE
-        out = weight * (TARGETED if target and symbol == INSULT else 1.0) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-    step = lambda x, mine: SPAN if symbol == mine else max(0, x - 1)
-    return (step(target, TARGET), step(negated, NEGATION), step(reported, REPORT)), out
-
-
-def clause_score(symbols: list[tuple[int, int, float]]) -> float:
-    """Score of a clause from its (place, symbol, weight); a target behind an insult counts too, by reading backwards."""
-    best = []
-    for order in (symbols, [(-p, s, w) for p, s, w in reversed(symbols)]):
-        state, total, last = (0, 0, 0), 0.0, None
-        for place, symbol, weight in order:
-            if last is not None and place - last > 1:
-                state = tuple(max(0, x - (place - last - 1)) for x in state)
-            state, out = compose(state, symbol, weight)
-            total, last = total + out, place
-        best.append(total)
-        if order is symbols and not any(s in (TARGET,) for _, s, _ in symbols):
-            break
-    return max(best) if len(best) > 1 and best[1] > best[0] and not any(s in (NEGATION, REPORT) for _, s, _ in symbols) else best[0]
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic machine on marked symbols: ``step[state, symbol]`` is the next state, ``mark[state, symbol]`` what it adds to the symbol's marks."""
+
+    step: np.ndarray
+    mark: np.ndarray
+
+    def read(self, symbols: list[tuple[int, int]]) -> list[int]:
+        """Marks of (place, symbol) in rising order of places; the places between are ``OTHER``."""
+        state, last, out = 0, None, []
+        for place, symbol in symbols:
+            for _ in range(min(place - last - 1, SPAN) if last is not None else 0):
+                state = int(self.step[state, OTHER])
+            out.append(int(self.mark[state, symbol]))
+            state, last = int(self.step[state, symbol]), place
+        return out
+
+
+def reaches(symbol: int, mark: int, span: int = SPAN) -> Transducer:
+    """Marks the ``span`` words behind each ``symbol``; a state is how many words are left."""
+    left = np.arange(span + 1)
+    step = np.repeat(np.maximum(left - 1, 0)[:, None], len(SYMBOLS), 1)
+    step[:, symbol] = span
+    return Transducer(step, np.repeat(np.where(left > 0, mark, 0)[:, None], len(SYMBOLS), 1))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both at once: b reads what a puts out.  A state of the product is a's by b's."""
+    m = len(b.step)
+    both = lambda x, y, join: join(x[:, None, :], y[None, :, :]).reshape(-1, len(SYMBOLS))
+    return Transducer(both(a.step, b.step, lambda i, j: i * m + j), both(a.mark, b.mark, np.bitwise_or))
+
+
+AIM = reaches(TARGET, AIMED)
+CLAUSE = reduce(compose, (AIM, reaches(NEGATION, DENIED), reaches(REPORT, TOLD)))
+#: Sums of a text: all weights, scaled by their marks, and those aimed, denied and told alone.
+SUMS = ("all", "aimed", "denied", "told")
+
+
+def clause_sums(symbols: list[tuple[int, int, float]]) -> tuple[float, ...]:
+    """``SUMS`` of a clause from its (place, symbol, weight)."""
+    forward = CLAUSE.read([(p, s) for p, s, _ in symbols])
+    backward = AIM.read([(-p, s) for p, s, _ in reversed(symbols)])[::-1]
+    out = [0.0] * len(SUMS)
+    for (_, symbol, weight), marks in zip(symbols, map(int.__or__, forward, backward), strict=True):
+        if symbol not in (INSULT, THREAT):
+            continue
+        if symbol == THREAT:  # a threat is one only if it is aimed
+            weight, factors = (THREAT_WEIGHT if marks & AIMED else THREAT_ALONE), (DENIED, TOLD)
+        else:
+            factors = (AIMED, DENIED, TOLD)
+        for mark in factors:
+            weight *= FACTORS[mark] if marks & mark else 1.0
+        out[0] += weight
+        for i, mark in enumerate((AIMED, DENIED, TOLD), 1):
+            out[i] += weight if marks & mark else 0.0
+    return tuple(out)
+
+
+#: Columns of ``Grammar.features``.
+FEATURES = 8
 
 
 @dataclass
@@ -113,11 +155,12 @@ class Grammar:
     coefficients: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    grammar: bool = True  # without it, words count alone
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """For each text: sum, maximum and number of its clauses' scores, the sum by the length, and the length."""
+        """For each text: sum, maximum and number of its clauses' scores, the sum by the length, the length, and the sums aimed, denied and told."""
         starts, ends, sums, clause, woff = words(data, off)
-        out = np.zeros((len(off) - 1, 5))
+        out = np.zeros((len(off) - 1, FEATURES))
         out[:, 4] = np.log1p(np.diff(woff))
         insult = np.zeros(len(starts))
         symbol = np.zeros(len(starts), np.int8)
@@ -126,11 +169,11 @@ class Grammar:
                 at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
                 hit = self.keys[at] == hashes
                 np.maximum.at(insult, some[hit], self.weights[at[hit]])
-            if i == 0:
+            if i == 0 and self.grammar:
                 for mark, table in FUNCTION_WORDS.items():
                     at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
                     symbol[some[table[at] == hashes]] = mark
-        symbol[insult > 0] = INSULT
+        symbol[(insult > 0) & (symbol == OTHER)] = INSULT  # a function word stays one
         triggers = np.unique(clause[(symbol == INSULT) | (symbol == THREAT)])
         live = np.flatnonzero((symbol != OTHER) & np.isin(clause, triggers))
         if len(live):
@@ -138,13 +181,15 @@ class Grammar:
             bounds = np.append(C.run_starts(clause[live], text), len(live))
             marks, weights, places = symbol[live].tolist(), insult[live].tolist(), live.tolist()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                score = clause_score(list(zip(places[a:b], marks[a:b], weights[a:b], strict=True)))
+                found = clause_sums(list(zip(places[a:b], marks[a:b], weights[a:b], strict=True)))
                 row = out[text[a]]
-                row[0] += score
-                row[1] = max(row[1], score)
-                row[2] += score > 0
+                row[0] += found[0]
+                row[1] = max(row[1], found[0])
+                row[2] += found[0] > 0
+                row[5:] += found[1:]
         out[:, 3] = out[:, 0] / np.sqrt(1 + np.diff(woff))
-        out[:, 0], out[:, 2] = np.log1p(out[:, 0]), np.log1p(out[:, 2])
+        logs = [0, 2, 5, 6, 7]
+        out[:, logs] = np.log1p(out[:, logs])
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -212,8 +257,8 @@ def lexicon(good: list[str], bad: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(names, np.uint64), np.array([prior[k] for k in names])
 
 
-def fit(texts: list[str], labels: list[int]) -> Grammar:
-    """Learn the lexicon and the logistic map; the order of the rows doesn't matter, and equal texts count once.
+def fit(texts: list[str], labels: list[int], grammar: bool = True) -> Grammar:
+    """Learn the lexicon and the logistic map; the order of the rows doesn't matter, and equal texts count once.  Without ``grammar`` the words count alone (for comparison).
 
     The map is fitted on scores by a lexicon that was learnt from the other half of the texts.
     """
@@ -225,18 +270,18 @@ def fit(texts: list[str], labels: list[int]) -> Grammar:
         halves[zlib.crc32(t.encode()) & 1][label[t]].append(t)
     good, bad = (halves[0][y] + halves[1][y] for y in (0, 1))
     names, weights = lexicon(good, bad)
-    grammar = Grammar(names, weights, np.array([-4.0, 1, 1, 1, 1, 0]), np.zeros(5), np.ones(5))
+    learnt = Grammar(names, weights, np.array([-4.0, 1, 1, 1, 1, 0, 0, 0, 0]), np.zeros(FEATURES), np.ones(FEATURES), grammar)
     if all(x for half in halves for x in half):
         parts, y = [], []
         for mine, other in ((0, 1), (1, 0)):
-            half = Grammar(*lexicon(*halves[other]), grammar.coefficients, grammar.centre, grammar.scale)
+            half = Grammar(*lexicon(*halves[other]), learnt.coefficients, learnt.centre, learnt.scale, grammar)
             every = halves[mine][0] + halves[mine][1]
             parts += [half.features(d, o) for _, d, o in _whole_texts(pa.array(every, pa.string()))]
             y += [0] * len(halves[mine][0]) + [1] * len(halves[mine][1])
         x = np.concatenate(parts)
-        grammar.centre, grammar.scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-        grammar.coefficients = logistic((x - grammar.centre) / grammar.scale, np.array(y))
-    return grammar
+        learnt.centre, learnt.scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+        learnt.coefficients = logistic((x - learnt.centre) / learnt.scale, np.array(y))
+    return learnt
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -259,16 +304,22 @@ def held_out(id_column) -> F.Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Grammar:
-    """Fit on labelled rows that aren't held out, at most ``rows`` of them."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Grammar:
+    """Fit on labelled rows that aren't held out: at most ``rows`` distinct (id, text) and ``size`` bytes of them, those with the smallest hashes.
+
+    An id that is labelled twice has its higher label; an id with several texts gives each of them.
+    """
     C.prepare(docs.sparkSession)
     given = labels.select(labels[id_col].alias("_id"), labels[label_col].alias("_y")).where(F.col("_y").isin(0, 1)).where(~held_out(F.col("_id")))
     given = given.groupBy("_id").agg(F.max("_y").alias("_y"))
     by_hash = lambda y: given.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2)
     sample = F.broadcast(by_hash(0).unionByName(by_hash(1)))  # at most `rows` ids
-    mine = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_t")).join(sample, "_id")
-    got = sorted((r["_y"], r["_t"]) for r in mine.limit(rows).toLocalIterator())
-    grammar = fit([t for _, t in got], [y for y, _ in got])
+    text = F.coalesce(docs[text_col], F.lit(""))
+    mine = docs.select(docs[id_col].alias("_id"), text.alias("_t"), F.sha2(F.concat_ws(" ", docs[id_col].cast("string"), text), 256).alias("_h")).join(sample, "_id")
+    sizes = mine.groupBy("_h").agg(F.min(F.octet_length("_t")).alias("n")).orderBy("_h").limit(rows)
+    upto = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_h")) - F.col("n")).where(F.col("before") < size).agg(F.max("_h")).first()[0]  # at most `rows` hashes in one task
+    got = {r["_h"]: (r["_t"], r["_y"]) for r in mine.where(F.col("_h") <= F.lit(upto)).select("_h", "_t", "_y").dropDuplicates(["_h"]).toLocalIterator()} if upto else {}
+    grammar = fit([t for t, _ in got.values()], [y for _, y in got.values()])
     del got
     C.trim()
     return grammar
@@ -302,7 +353,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't predicted toxic.  No shuffle of texts."""
+    """The rows of ``docs``, all columns, that aren't predicted toxic.
+
+    A null text is scored as an empty one and stays null; repeated rows are all kept or all rejected; a null id's row is scored like any
+    other; an empty table gives an empty result.  No shuffle of texts.
+    """
     grammar = train(docs, labels, id_col, text_col, label_col, rows)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("_t"))
     kind = packed.schema["_row"].dataType.simpleString()
