@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tonearm.llm import common as C
 from tonearm.llm import quality as Q
 
 
@@ -19,6 +21,46 @@ def test_em_recovers_accuracies():
     assert ((good[at.ravel()] > 0.5) == truth).mean() > 0.95
 
 
+def test_em_estimates_labellers_of_one_fault():
+    """Labellers that only speak against texts, each of its own fault, some often wrongly, beside four that see all texts."""
+    r = np.random.default_rng(2)
+    n = 40_000
+    fault = r.choice(6, n, p=[0.7, 0.1, 0.08, 0.06, 0.04, 0.02])  # 0: good
+    wrong = np.array([0.0, 0.002, 0.01, 0.02, 0.0])
+    v = np.full((n, 9), Q.NONE)
+    for i in range(5):
+        v[:, i] = np.where((fault == i + 1) & (r.random(n) < 0.9) | (fault == 0) & (r.random(n) < wrong[i]), Q.BAD, Q.NONE)
+    for i, right in ((5, 0.92), (6, 0.85), (7, 0.95), (8, 0.8)):
+        ok = r.random(n) < right
+        v[:, i] = np.where(ok == (fault == 0), Q.GOOD, Q.BAD)
+    names, at, counts = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    share, chance, good = Q.em(names, counts)
+    spoke = v[:, :5] == Q.BAD
+    true = [(spoke[:, i] & (fault > 0)).sum() / spoke[:, i].sum() for i in range(5)] + [0.92, 0.85, 0.95, 0.8]
+    got = Q.accuracies(share, chance)
+    assert np.abs(got - true).max() < 0.12, (got, true)
+    assert got[3] < got[:3].min() and got[3] < got[4]  # the one that is wrong most often is seen to be
+    assert ((good[at.ravel()] > 0.5) == (fault == 0)).mean() > 0.95
+
+
+def test_figures_on_the_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = Q.classify(docs).join(labels, "doc_id").where("quality in (0, 1)").select("score", "keep", "quality").collect()
+    y, keep = np.array([x.quality for x in got]), np.array([x.keep for x in got])
+    assert (keep == (y == 1)).mean() > 0.97 and (~keep[y == 0]).mean() > 0.85
+
+
+def test_sample_takes_copies_once_and_few_bytes(spark):
+    rows = [("same text",)] * 500 + [(f"text {i} " * 20,) for i in range(100)]
+    texts = spark.createDataFrame(rows, "_t string")
+    keyed = texts.withColumn("_h", F.xxhash64("_t"))
+    got = C.sampled(keyed, 40, 1 << 20)
+    assert len(got) == len({x._t for x in got}) == 40
+    assert [x._h for x in sorted(got)] == [x._h for x in sorted(C.sampled(keyed.repartition(5), 40, 1 << 20))]
+    assert 0 < sum(len(x._t) for x in C.sampled(keyed, 40, 1000)) <= 1000
+    assert len(C.sampled(keyed, 40, 1)) == 1 and C.sampled(keyed.limit(0), 40, 1000) == []
+
+
 def corpus(seed, n=500):
     r = random.Random(seed)
     words = [f"{a}{b}{c}" for a in "bdfglmst" for b in ("a", "ei", "o") for c in ("r", "st", "nd", "ll")] + ["the", "of", "and", "to", "is"] * 12

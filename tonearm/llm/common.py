@@ -10,7 +10,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -19,9 +18,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm.storage import shared_dir
+
 ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK = 1 << 20
 POSITION_BITS = 24
@@ -46,16 +47,6 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(name, ours)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: keep the cluster's folder; only a session in one process gets one of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # one process: any folder is shared
-
-
 def trim() -> None:
     """Give free memory of a reused Python worker back, where the C library can."""
     gc.collect()
@@ -112,6 +103,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     return dealt.join(copies.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
 
 
+def sampled(rows: DataFrame, most: int, size: int) -> list[Row]:
+    """The rows (_h, _t, ...) with the smallest hashes ``_h``, one for each: at most ``most`` of them with at most ``size`` bytes of texts ``_t`` (or one)."""
+    lengths = rows.groupBy("_h").agg(F.min(F.octet_length("_t")).alias("n")).orderBy("_h").limit(most)
+    before = F.sum("n").over(Window.orderBy("_h")) - F.col("n")  # over at most `most` hashes
+    upto = lengths.withColumn("before", before).where((F.col("before") + F.col("n") <= size) | (F.col("before") == 0)).agg(F.max("_h")).first()[0]
+    return [] if upto is None else list(rows.where(F.col("_h") <= F.lit(upto)).dropDuplicates(["_h"]).toLocalIterator())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if its files give fewer splits than there are cores; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

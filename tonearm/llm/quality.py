@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from . import common as C
 from .toxicity import _whole_texts
 
-#: The scorer is trained on at most so many texts, those with the smallest hashes.
+#: The scorer is trained on at most so many different texts, those with the smallest hashes.
 TRAIN_ROWS = 6000
+#: And on at most so many bytes of them.
+TRAIN_BYTES = 64 << 20
 BUCKETS = 1 << 14
 THRESHOLD = 0.5
-CHANCE = 0.1
+#: Prior share of a fault labeller's votes that are against good texts.
+WRONG = 0.05
 LABELLERS = ("symbols", "separators", "capitals", "repeated_words", "repeated_lines", "punctuation", "word_length", "common_words", "digits")
 GOOD, NONE, BAD = 2, 1, 0
 
@@ -112,7 +115,9 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.
 
     Class 0 is the good texts and class 1 the bad ones; each labeller that only ever votes bad, that is, looks for one fault, has
     a class more, as texts with one fault need not have another.  Such a labeller's silence is a vote; the others' says nothing.
-    It is taken to speak against a good text ``CHANCE`` times as often as against any text, at most.  Add-one counts keep every chance above 0; there is no random start.
+    How often it speaks against good texts is estimated under a prior that weighs as much as its votes: ``WRONG`` of them are against
+    good ones.  (Without a prior, a fault whose texts are like good ones otherwise can be taken for a mark of good texts.)  Add-one counts
+    keep every chance above 0; there is no random start.
     """
     size = patterns.shape[1]
     one_sided = np.array([not (patterns[:, i] == GOOD).any() and (patterns[:, i] == BAD).any() for i in range(size)], bool)
@@ -120,7 +125,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.
     onehot = np.stack([(patterns == v) for v in range(3)], 2).astype(float)  # pattern, labeller, vote
     onehot[:, ~one_sided, NONE] = 0
     weight = counts.astype(float)
-    rate = (weight @ (patterns == BAD) + 1) / (weight.sum() + 2)
+    spoken = weight @ (patterns == BAD) + 1
     member = np.zeros((len(patterns), 2 + len(faults)))
     found = patterns[:, faults] == BAD
     lean = ((patterns == GOOD) & ~one_sided).sum(1) - ((patterns == BAD) & ~one_sided).sum(1)
@@ -132,9 +137,10 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.
         share = (weight @ member + 1) / (weight.sum() + member.shape[1])
         mass = np.einsum("pc,plv->clv", weight[:, None] * member, onehot) + 1.0
         mass[:, ~one_sided, NONE] = 0
+        against = (mass[0, one_sided, BAD] + WRONG * spoken[one_sided]) / 2
+        mass[0, one_sided, NONE] += mass[0, one_sided, BAD] - against
+        mass[0, one_sided, BAD] = against
         chance = mass / mass.sum(2, keepdims=True)
-        chance[0, one_sided, BAD] = np.minimum(chance[0, one_sided, BAD], CHANCE * rate[one_sided])
-        chance[0, one_sided, NONE] = 1 - chance[0, one_sided, BAD]
         log = np.einsum("plv,clv->pc", onehot, np.log(np.maximum(chance, 1e-300))) + np.log(share)
         log -= log.max(1, keepdims=True, initial=-1e300)
         member = np.exp(log)
@@ -204,7 +210,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], names=["code", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[Scorer, dict[str, float]]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[Scorer, dict[str, float]]:
     """The scorer, and the labellers' estimated accuracies."""
     C.prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("_t"))
@@ -214,10 +220,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     share, chance, good = em(patterns, counts)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     total = int(counts.sum())
-    hashed = F.xxhash64(F.col("_t"))
-    # about twice the wanted share by hash, then the smallest hashes of those; nothing of the whole table is sorted
-    part = texts if total <= rows else texts.where(F.pmod(hashed, F.lit(1_000_000)) < int(2e6 * rows / total) + 1)
-    sample = sorted(r["_t"] for r in part.select("_t", hashed.alias("h")).orderBy("h").limit(rows).select("_t").toLocalIterator())
+    keyed = texts.select("_t", F.xxhash64("_t").alias("_h"))
+    # four times the wanted share by hash, then the smallest hashes of those; nothing of the whole table is sorted
+    part = keyed if total <= rows else keyed.where(F.pmod(F.xxhash64("_h"), F.lit(1_000_000)) < int(4e6 * rows / total) + 1)
+    sample = sorted(r["_t"] for r in C.sampled(part, rows, size))
     blocks, target = [], []
     for _, data, off in _whole_texts(pa.array(sample, pa.string())):
         blocks.append(shapes(data, off))

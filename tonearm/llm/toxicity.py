@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -316,10 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = F.broadcast(by_hash(0).unionByName(by_hash(1)))  # at most `rows` ids
     text = F.coalesce(docs[text_col], F.lit(""))
     mine = docs.select(docs[id_col].alias("_id"), text.alias("_t"), F.sha2(F.concat_ws(" ", docs[id_col].cast("string"), text), 256).alias("_h")).join(sample, "_id")
-    sizes = mine.groupBy("_h").agg(F.min(F.octet_length("_t")).alias("n")).orderBy("_h").limit(rows)
-    upto = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_h")) - F.col("n")).where(F.col("before") < size).agg(F.max("_h")).first()[0]  # at most `rows` hashes in one task
-    got = {r["_h"]: (r["_t"], r["_y"]) for r in mine.where(F.col("_h") <= F.lit(upto)).select("_h", "_t", "_y").dropDuplicates(["_h"]).toLocalIterator()} if upto else {}
-    grammar = fit([t for t, _ in got.values()], [y for _, y in got.values()])
+    got = [(r["_t"], r["_y"]) for r in C.sampled(mine, rows, size)]
+    grammar = fit([t for t, _ in got], [y for _, y in got])
     del got
     C.trim()
     return grammar
