@@ -89,7 +89,7 @@ def test_matches_brute_force(spark, seed):
 def test_without_a_filter_and_empty(spark, monkeypatch):
     docs = spark.createDataFrame([(1, MOVED), (2, "something else that is long enough to have some windows at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, ITEM)], "item_id long, text string")
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 3)
+    monkeypatch.setattr(D, "BITMAP", 64)  # a bitmap that lets nearly all windows pass
     assert {x.doc_id: x.items for x in D.decontaminate(docs, bench).collect()} == {1: [5], 2: []}
     assert D.decontaminate(docs.limit(0), bench).collect() == []
     assert [x.contaminated for x in D.decontaminate(docs, bench.limit(0)).collect()] == [False, False]

@@ -1,3 +1,8 @@
+import html
+import re
+import time
+
+import pyarrow.parquet as pq
 import pytest
 
 from tonearm.llm import html_text as H
@@ -40,6 +45,33 @@ def test_plain_text_and_broken_markup():
     assert H.main_text("<p>" * 3000 + "<div>" * 3000 + "deep, text") == "deep, text"
 
 
+def test_deep_pages_take_linear_time():
+    took = []
+    for n in (4000, 16000):
+        page = "<body>" + "<div>" * n + f"<p>{P1}</p>" + "</section>" * n + "</div>" * n + "<li>x" * 50
+        start = time.perf_counter()
+        assert H.main_text(page).startswith(P1)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.2  # sixteen times if it grew with the square
+
+
+def test_pages_of_the_table():
+    """Every page's article paragraphs are found, and no words of its menus, notices and comments are."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    kept = lost = extra = 0
+    for page in filter(None, pages):
+        text = H.main_text(page)
+        for part in re.findall(r"<article[^>]*>(.*?)</article>", page, re.S):
+            plain = re.sub(r"<(script|style|aside|nav|form|footer)\b.*?</\1>", " ", part, flags=re.S)
+            for body in re.findall(r"<p>([^<]{30,}?)</p>", plain):
+                found = " ".join(html.unescape(body).split()) in text
+                kept, lost = kept + found, lost + (not found)
+        for part in re.findall(r"<(?:nav|footer)\b[^>]*>(.*?)</(?:nav|footer)>", page, re.S):
+            for body in re.findall(r">([^<>]{12,})<", part):
+                extra += " ".join(html.unescape(body).split()) in text
+    assert kept + lost > 20 and kept / (kept + lost) > 0.95 and extra <= 0.02 * (kept + lost), (kept, lost, extra)
+
+
 def test_query_rows(spark):
     rows = [(1, "u1", f"<article><p>{P1}</p></article>", "x"), (2, None, None, "y"), (2, None, None, "y"), (None, "u", "", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

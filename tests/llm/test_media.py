@@ -130,3 +130,15 @@ def test_broken_media_have_a_reason(spark):
     media = spark.createDataFrame([(1, good), (2, None), (3, bytearray()), (4, bytearray(b"\x89PNG")), (5, good[:150])], "id long, m binary")
     rows = {r.id: r for r in M.jpeg_features(media, "id", "m").collect()}
     assert rows[1].error is None and rows[1].thumbnail_hash and all(rows[i].error for i in (2, 3, 4, 5))
+
+
+def test_unreadable_media_are_told_of(spark):
+    good = M.encode(M.pad(b"some text"))
+    at = good.index(b"\xff\xc0")
+    sampling = bytearray(good)
+    sampling[at + 11] = 0  # both factors of the component
+    huge = bytearray(good)
+    huge[at + 5 : at + 9] = b"\xff\xff\xff\xff"
+    rows = [(1, bytes(good)), (2, bytes(sampling)), (3, bytes(huge)), (4, None), (5, b""), (6, good[:40]), (7, b"\xff\xd8" + bytes(range(256)))]
+    got = {x.id: x.error for x in M.jpeg_features(spark.createDataFrame(rows, "id long, m binary"), "id", "m").collect()}
+    assert got[1] is None and all(got[i] for i in range(2, 8)) and "too short" in got[3]

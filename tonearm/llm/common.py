@@ -87,14 +87,16 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, parts: int = 4096, least: int = 256) -> DataFrame:
-    """``left`` joined with ``right``, a stored table with a row for each key and ``c``, how many rows of ``left`` the key has.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, which: str = "true", total: int | None = None, parts: int = 4096, least: int = 256) -> DataFrame:
+    """``left`` joined with the ``which`` rows of ``right``, which has a row for each key and ``c``, how many rows of ``left`` the key has.
 
     A key with more than a ``parts``-th of all rows is dealt to several tasks by ``by``; there are at most ``parts`` such keys, and
-    only they are broadcast, so neither that table nor a task's share of a key grows with the data's skew.
+    only they are broadcast, so neither that table nor a task's share of a key grows with the data's skew.  ``total`` is the sum of ``c``
+    or more; it is counted if not given, which a stored table bears.
     """
-    total = right.agg(F.sum("c")).first()[0] or 0
+    total = (right.agg(F.sum("c")).first()[0] or 0) if total is None else total
     most = max(least, total // parts)
+    right = right.where(which)
     pieces = F.ceil(F.col("c") / most).cast("int")
     hot = right.where(F.col("c") > most).select(*keys, pieces.alias("_pieces"))
     dealt = left.join(F.broadcast(hot), keys, "left")  # at most `parts` rows

@@ -12,19 +12,21 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked with the smallest of its neighbours and itself."""
-    both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """Each link (u, v) with ``m``, the least v of its u.  A hub's links are dealt to many tasks."""
+    return C.salted_join(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), ["u"], F.xxhash64("v"), total=total)
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each node's larger neighbours are linked with the smallest of its neighbours and itself; there are at most ``total`` edges."""
+    return _with_least(_both(edges), 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+
+
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    star = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return star.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    star = _with_least(down, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return star.unionByName(down.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -34,13 +36,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     C.shared_dir(edges.sparkSession)
     edges = edges.select("u", "v").where("u <> v").distinct().checkpoint()
-    mark = None
+    mark, total = None, edges.count()
     for _ in range(rounds):
-        edges = small_star(large_star(edges)).checkpoint()
+        edges = small_star(large_star(edges, total), total).checkpoint()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

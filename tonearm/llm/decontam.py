@@ -6,7 +6,7 @@ Windows of ``size`` template tokens are hash-joined with those of the benchmark
 items, as they are and with each run of names, and each number with its unit, as one slot.
 A text holds an item if, at one alignment or over a band of near ones, enough of the item's windows
 match and the slots are consistent: each value in the item's slots stands
-for one value in the text's.  So an item with other numbers and names is found too.
+for one value in the text's, and the other way round.  So an item with other numbers and names is found too.
 In a band the windows round an edit count as well if the windows at both sides of it match.
 """
 
@@ -25,8 +25,8 @@ SIZE = 8
 LITERALS = 4
 COVERAGE = 0.5
 CONSISTENT = 0.8
-#: Benchmarks with more windows than this are joined without a filter on the executors (16 bytes a window are broadcast otherwise).
-BROADCAST_WINDOWS = 1_000_000
+#: Size of the bitmap that tells executors which windows may be an item's (8 MB, whatever the benchmark's size); a join decides.
+BITMAP = 1 << 26
 
 # Unit words, as they follow a number.
 UNITS = (
@@ -147,9 +147,21 @@ def _batch(keys, form: int, hashes: np.ndarray, at: np.ndarray, slots: list) ->
 
 
 def _among(hashes: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which windows may be an item's: those whose bit is set."""
     if known is None:
         return np.ones(len(hashes), bool)
-    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+    at = hashes & np.uint64(64 * len(known) - 1)
+    return (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap(windows: DataFrame, size: int) -> np.ndarray:
+    """A bit for each window hash, made by Spark in words of 64 bits; at most ``size / 64`` words come to the driver."""
+    at = F.col("w").bitwiseAND(F.lit(size - 1))
+    words = windows.groupBy(F.shiftright(at, 6).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((w & {size - 1}) & 63 as int))")).alias("bits"))
+    rows = words.toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("i").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _templates(keys, form: int, name: int, text: tuple, size: int, literals: int, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -240,8 +252,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     theirs = theirs.select(F.col("_k").alias("item"), "form", "w", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
     theirs = theirs.withColumn("no", F.dense_rank().over(Window.partitionBy("item", "form").orderBy("item_at")))
     totals = theirs.groupBy("item", "form").agg(F.max("no").alias("total"))
-    known = [r[0] for r in theirs.select("w").distinct().limit(BROADCAST_WINDOWS + 1).collect()]
-    known = np.sort(np.array(known, np.int64).view(np.uint64)) if len(known) <= BROADCAST_WINDOWS else None
+    known = bitmap(theirs, BITMAP)
     ours = C.keyed(docs, id_col, text_col).select("_k", "_t").mapInArrow(_windows(size, literals, known, short), KIND).drop("form")
     # lanes of a hit: its alignment, and two bands that overlap, so that alignments that differ by at most ``reach`` share one
     hit = ours.join(theirs.join(totals, ["item", "form"]), "w").withColumn("shift", F.col("at") - F.col("item_at"))
@@ -257,7 +268,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     per = per.withColumn("n", F.size("p") + bridged).drop("p")
     slots = hit.select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*by, "x.item_slots", "x.slots").distinct()
     stands = slots.groupBy(*by, "item_slots").agg(F.count(F.lit(1)).alias("values"), F.max((F.col("item_slots") == F.col("slots")).cast("int")).alias("same"))
-    agree = stands.groupBy(*by).agg(F.avg((F.col("values") == 1).cast("double")).alias("agree"), F.min("same").alias("same"))
+    back = slots.groupBy(*by, "slots").agg(F.count(F.lit(1)).alias("values")).groupBy(*by).agg(F.avg((F.col("values") == 1).cast("double")).alias("back"))
+    agree = stands.groupBy(*by).agg(F.avg((F.col("values") == 1).cast("double")).alias("there"), F.min("same").alias("same")).join(back, by)
+    agree = agree.select(*by, F.least("there", "back").alias("agree"), "same")
     held = per.where(F.col("n") >= coverage * F.col("total")).join(agree, by, "left")
     held = held.where(F.coalesce("agree", F.lit(1.0)) >= consistent)
     best = held.groupBy("_k", "item").agg(F.max(F.col("n") / F.col("total")).alias("coverage"), (F.max(F.coalesce("same", F.lit(1))) == 1).alias("same_values"))
@@ -280,7 +293,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns, that hold no item.
+
+    A row with a null or empty text is kept; repeated rows are all kept or all dropped; an empty benchmark drops nothing, an empty table
+    stays empty; columns keep their names, types and order, whatever they are called.
+    """
     bad = matches(docs, benchmark, id_col, text_col, **options).select("_k").distinct()
     kept = docs.withColumn("__row_key", C.row_key(docs[id_col], docs[text_col])).join(bad.withColumnRenamed("_k", "__row_key"), "__row_key", "left_anti")
     return kept.select(*docs.columns)

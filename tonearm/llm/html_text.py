@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,13 +31,18 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag of the key ends an open element of the set, up to the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BOUNDARY = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "main", "div"}
-#: Words of a class or id that mark what is not the article.
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|combx|comment|comments|commentlist|community|consent|cookie|cookies|disqus|discussion|feedback"
-    r"|foot|footer|form|gdpr|header|masthead|legal|login|menu|menus|meta|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|overlay|pager|pagination|paywall|popup|promo|promotion"
-    r"|recommended|related|remark|replies|reply|responses|rss|search|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|tool|tools|topbar|widget)(?:$|[\s_-]|\d)",
-    re.I,
-)
+# Words of a class or id, by what they mark that is not the article.
+MARKS = """
+menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar topbar tool tools tags search
+header masthead banner
+footer foot meta legal
+sidebar widget related recommended
+notice notices notification cookie cookies consent gdpr modal popup overlay paywall
+ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion
+form login signup newsletter subscribe subscription share sharing social feedback
+comment comments commentlist discussion reply replies responses
+"""
+NEGATIVE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(MARKS.split())})(?:$|[\s_-]|\d)", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -79,6 +85,7 @@ def parse(page: str) -> Node:
     """The tree of block elements; inline markup is gone, and its text is part of the block."""
     root = Node("#root", None)
     at, node, run, pos, end = [root], root, [], 0, len(page)
+    opened: Counter[str] = Counter()  # how many elements of each tag are open: no search for one that isn't there
     links, linked, linked_run, link_count = 0, 0, 0, 0
     raw = ""
 
@@ -91,15 +98,15 @@ def parse(page: str) -> Node:
             text = " ".join(text.split())
             if text:
                 node.children.append(text)
-                x: Node | None = node
-                share = min(linked_run, len(text))
-                while x is not None:
-                    x.size += len(text)
-                    x.linked += share
-                    x.links += link_count
-                    x = x.parent
+                node.size += len(text)
+                node.linked += min(linked_run, len(text))
+                node.links += link_count
             run, linked_run, link_count = [], 0, 0
 
+    def close(i: int) -> None:
+        opened.subtract(x.tag for x in at[i:])
+        del at[i:]
+
     while pos < end:
         m = TOKEN.search(page, pos)
         if not raw:
@@ -138,9 +145,9 @@ def parse(page: str) -> Node:
         flush()
         links = 0
         if closing:
-            for i in range(len(at) - 1, 0, -1):
+            for i in range(len(at) - 1, 0, -1) if opened[tag] > 0 else ():
                 if at[i].tag == tag:
-                    del at[i:]
+                    close(i)
                     break
                 if tag in PARAGRAPHS and at[i].tag in BOUNDARY:
                     break
@@ -148,20 +155,31 @@ def parse(page: str) -> Node:
             continue
         else:
             if at[-1].tag in ("p", *HEADINGS) and (tag in BLOCKS):
-                del at[-1]
-            for i in range(len(at) - 1, 0, -1):
-                if at[i].tag in CLOSES.get(tag, ()):
-                    del at[i:]
+                close(len(at) - 1)
+            ends = CLOSES.get(tag, ())
+            for i in range(len(at) - 1, 0, -1) if any(opened[x] > 0 for x in ends) else ():
+                if at[i].tag in ends:
+                    close(i)
                 elif at[i].tag in BOUNDARY:
                     break
-            if tag == "body" and any(x.tag == "body" for x in at) or tag == "html" and len(at) > 1:
+            if tag == "body" and opened["body"] > 0 or tag == "html" and len(at) > 1:
                 continue
-            drop, prior = _traits(tag, m[3] or m[6] or "", any(x.tag in ("article", "main") for x in at))
+            drop, prior = _traits(tag, m[3] or m[6] or "", opened["article"] + opened["main"] > 0)
             new = Node(tag, at[-1], drop, prior)
             at[-1].children.append(new)
             at.append(new)
+            opened[tag] += 1
         node = at[-1]
     flush()
+    # sizes go up once, from the last element to the first: a child comes after its parent
+    every, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        every.append(x)
+        todo.extend(c for c in x.children if isinstance(c, Node))
+    for x in reversed(every[1:]):
+        up = x.parent
+        up.size, up.linked, up.links = up.size + x.size, up.linked + x.linked, up.links + x.links
     return root
 
 

@@ -165,6 +165,11 @@ def parse(data: bytes) -> Image:
                 by[body[1 + 2 * i]].dc, by[body[1 + 2 * i]].ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
             end = data.rfind(b"\xff\xd9")
             image.scan = data[at : end if end >= at else len(data)]
+            # nothing is allocated for an image that its scan can't fill: a block takes two bits at least
+            if not image.parts or not image.width or not image.height or any(not 1 <= x <= 4 for c in image.parts for x in (c.across, c.down)):
+                raise ValueError("no size, no component, or a sampling factor out of 1 to 4")
+            if image.units[0] * image.units[1] * len(image.plan) * 2 > 8 * len(image.scan):
+                raise ValueError("the scan is too short for the image")
             return image
 
 

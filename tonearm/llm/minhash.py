@@ -247,8 +247,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
 
     bands = classes.select("bands", "c").mapInArrow(_band_rows, "band long, c long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = shared.select("band", F.when(F.col("m") > 2 * BLOCK_ROWS, F.ceil(F.col("m") / BLOCK_ROWS)).otherwise(1).cast("int").alias("blocks"))
-    buckets = bands.join(shared, "band").groupBy("c").agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
+    shared = shared.select("band", F.when(F.col("m") > 2 * BLOCK_ROWS, F.ceil(F.col("m") / BLOCK_ROWS)).otherwise(1).cast("int").alias("blocks"), F.col("m").alias("c"))
+    named = bands.withColumnRenamed("c", "of")
+    buckets = C.salted_join(named, shared, ["band"], F.xxhash64("of"), total=BANDS * classes.count()).drop("c").withColumnRenamed("of", "c").groupBy("c").agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
     members = classes.select("c", "n", "sig").join(buckets, "c").mapInArrow(_bucket_rows, "g long, c long, n long, sig binary")
     maybe = members.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_signature(percent), 8 << 20), "u long, v long")
 

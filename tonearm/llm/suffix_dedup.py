@@ -192,19 +192,25 @@ def _expand(length: int, block: int = 12_000):
     return run
 
 
+#: A second code of each byte: with it, two strings are told apart by 128 bits.
+OTHER_VALUES = C.mix(C.BYTE_VALUES ^ np.uint64(0x5DEECE66D))
+
+
 def _strings(length: int):
-    """Every owned string of a context by its own hash, for anchors with very many contexts."""
+    """Every owned string of a context by two hashes, for anchors with very many contexts."""
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("cid", pa.binary()), ("depth", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for cid, body, lo, hi, n in zip(*(batch.column(c).to_pylist() for c in ("cid", "ctx", "lo", "hi", "n")), strict=True):
-                for depth in range(lo, hi + 1):
-                    d = hashlib.md5(body[hi - depth : hi - depth + length]).digest()
-                    for column, x in zip(out, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), cid, depth, n), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            data, off = C.text_buffers(batch.column("ctx"))
+            lo, hi, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "n"))
+            count = hi - lo + 1
+            row = np.repeat(np.arange(len(lo)), count)
+            depth = lo[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            start = off[row] + hi[row] - depth
+            s1, s2 = (C.gram_hashes(C.prefix_sums(values[data]), length)[start].view(np.int64) for values in (C.BYTE_VALUES, OTHER_VALUES))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), batch.column("cid").take(pa.array(row)), pa.array(depth.astype(np.int32)), pa.array(n[row])], schema=schema)
 
     return run
 
@@ -266,22 +272,26 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     C.prepare(spark)
+    C.shared_dir(spark)
     rows = C.keyed(docs, id_col, text_col)
     texts = rows.select("_k", "_t").where(F.octet_length("_t") >= length)
     anchors = texts.mapInArrow(_anchors(length, gram), "h long, _k long, p long")
-    counted = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    with C.cleanup(spark):
+        counted = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").checkpoint()
 
     def surroundings(which: str) -> DataFrame:
-        wanted = anchors.join(counted.where(which).select("h"), "h", "left_semi").groupBy("_k").agg(F.collect_set("p").alias("at"))
+        wanted = C.salted_join(anchors, counted, ["h"], F.xxhash64("_k", "p"), which=which).groupBy("_k").agg(F.collect_set("p").alias("at"))
         return rows.join(wanted, "_k").select("_k", "_id", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
 
-    masks = surroundings(f"n <= {group_limit}").drop("cid").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
-    hot = surroundings(f"n > {group_limit}")
-    distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
-    again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
-    rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
-    each = masks.unionByName(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask")).groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found"))
+    masks = surroundings(f"c <= {group_limit}").drop("cid").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
+    if not counted.where(f"c > {group_limit}").isEmpty():
+        hot = surroundings(f"c > {group_limit}")
+        distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+        strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
+        again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
+        rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
+        masks = masks.unionByName(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask"))
+    each = masks.groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found"))
     out = rows.join(each, "_k", "left").select(F.col("_id").cast("long").alias("_id"), "_t", "found")
     kinds = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_text
     return out.mapInArrow(_cut(length, with_text), kinds).withColumnRenamed("_id", id_col)
