@@ -124,6 +124,11 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])
 
 
+def second_key(*columns: Column) -> Column:
+    """Another 64 bits, for what must not confuse two of very many rows."""
+    return F.xxhash64(F.lit("second"), *[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_k, _id, _t): only what the operators read, under names of our own; a null text is empty."""
     return docs.select(

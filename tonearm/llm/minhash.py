@@ -7,7 +7,7 @@
    reach the threshold, so what is emitted grows with the bucket and not with its square.
 3. Large-star/small-star joins these links into candidate components, which every
    link lies within.
-4. Within a candidate component the same search over the full sets finds the
+4. Within a candidate component the same search over the full sets (64-bit hashes of the shingles) finds the
    links that hold, and large-star/small-star gives the components.
 
 Buckets and candidate components beyond a size are searched by pairs of blocks, which
@@ -63,7 +63,7 @@ def signatures(shingles: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _features(size: int):
-    schema = pa.schema([("_k", pa.int64()), ("_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("bands", pa.binary())])
+    schema = pa.schema([("_k", pa.int64()), ("_k2", pa.int64()), ("_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("bands", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +78,7 @@ def _features(size: int):
                 low = (C.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_k"), part.column("_id"), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())],
+                    [part.column("_k"), part.column("_k2"), part.column("_id"), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in key], pa.binary())],
                     schema=schema,
                 )
 
@@ -89,7 +89,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = C.text_buffers(batch.column("bands"))
         per = np.diff(off) // 8
-        yield pa.RecordBatch.from_arrays([pa.array(data.copy().view(np.int64)), pa.array(np.repeat(batch.column("c").to_numpy(zero_copy_only=False), per))], names=["band", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(data.copy().view(np.int64)), pa.array(np.repeat(batch.column("of").to_numpy(zero_copy_only=False), per))], names=["band", "of"])
 
 
 def pair_blocks(key: int, member: int, blocks: int) -> list[int]:
@@ -240,32 +240,31 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     spark = docs.sparkSession
     C.prepare(spark)
     C.shared_dir(spark)
-    rows = C.keyed(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    all_rows = rows.mapInArrow(_features(shingle), "_k long, _id long, n long, s1 long, s2 long, sig binary, bands binary").checkpoint()
-    sets = all_rows.where("n > 0")
-    classes = sets.groupBy("s1", "s2", "n").agg(F.min("_k").alias("c"), F.min("_id").alias("least"), F.min("sig").alias("sig"), F.min("bands").alias("bands")).checkpoint()
-
-    bands = classes.select("bands", "c").mapInArrow(_band_rows, "band long, c long")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = shared.select("band", F.when(F.col("m") > 2 * BLOCK_ROWS, F.ceil(F.col("m") / BLOCK_ROWS)).otherwise(1).cast("int").alias("blocks"), F.col("m").alias("c"))
-    named = bands.withColumnRenamed("c", "of")
-    buckets = C.salted_join(named, shared, ["band"], F.xxhash64("of"), total=BANDS * classes.count()).drop("c").withColumnRenamed("of", "c").groupBy("c").agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
-    members = classes.select("c", "n", "sig").join(buckets, "c").mapInArrow(_bucket_rows, "g long, c long, n long, sig binary")
-    maybe = members.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_signature(percent), 8 << 20), "u long, v long")
-
-    groups = components(maybe).withColumnsRenamed({"node": "c"}).join(classes.select("c", "n"), "c")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    most = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_SHINGLES))
-    sizes = sizes.select("component", F.when(most > 2, most).otherwise(1).cast("int").alias("blocks"))
-    asked = groups.join(sizes, "component").select(F.col("c").alias("_k"), "component", "blocks")
-    texts = rows.select("_k", "_t").join(asked, "_k").mapInArrow(_set_rows(shingle), "g long, c long, shingles binary")
-    links = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_sets(percent), 8 << 20), "u long, v long")
-
-    found = components(links).withColumnsRenamed({"node": "c"})
+    rows = C.keyed(docs, id_col, text_col).withColumns({"_id": F.col("_id").cast("long"), "_k2": C.second_key(docs[id_col], docs[text_col])})
+    with C.cleanup(spark):
+        all_rows = rows.mapInArrow(_features(shingle), "_k long, _k2 long, _id long, n long, s1 long, s2 long, sig binary, bands binary").checkpoint()
+        sets = all_rows.where("n > 0")
+        classes = sets.groupBy("s1", "s2", "n").agg(F.min("_k").alias("c"), F.min("_id").alias("least"), F.min("sig").alias("sig"), F.min("bands").alias("bands")).checkpoint()
+
+        bands = classes.select("bands", F.col("c").alias("of")).mapInArrow(_band_rows, "band long, of long")
+        shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        shared = shared.select("band", "c", F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / BLOCK_ROWS)).otherwise(1).cast("int").alias("blocks"))
+        buckets = C.salted_join(bands, shared, ["band"], F.xxhash64("of"), total=BANDS * classes.count()).groupBy(F.col("of").alias("c")).agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
+        members = classes.select("c", "n", "sig").join(buckets, "c").mapInArrow(_bucket_rows, "g long, c long, n long, sig binary")
+        maybe = members.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_signature(percent), 8 << 20), "u long, v long")
+
+        groups = components(maybe).withColumnsRenamed({"node": "c"}).join(classes.select("c", "n"), "c")
+        sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+        most = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_SHINGLES))
+        sizes = sizes.select("component", F.when(most > 2, most).otherwise(1).cast("int").alias("blocks"))
+        asked = groups.join(sizes, "component").select(F.col("c").alias("_k"), "component", "blocks")
+        texts = rows.select("_k", "_t").join(asked, "_k").mapInArrow(_set_rows(shingle), "g long, c long, shingles binary")
+        links = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(_by_sets(percent), 8 << 20), "u long, v long")
+        found = components(links).withColumnsRenamed({"node": "c"})
     named = classes.select("s1", "s2", "n", "c", "least").join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(names, "component").select("s1", "s2", "n", "component", "component_id")
-    return all_rows.select("_k", "_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select("_k", "_id", "n", "component", "component_id")
+    return all_rows.select("_k", "_k2", "_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left").select("_k", "_k2", "_id", "n", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -283,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each component (that with the smallest id) and every row without words once."""
     rows = _labelled(docs, id_col, text_col, shingle, percent)
-    first = rows.groupBy(F.coalesce("component", "_k").alias("component")).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_k")).alias("x"))
-    chosen = first.select(F.col("x._k").alias("__row_key"))
-    named = docs.withColumn("__row_key", C.row_key(docs[id_col], docs[text_col]))
-    return named.join(chosen, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
+    first = rows.groupBy(F.coalesce("component", "_k").alias("component"), F.when(F.col("component").isNull(), F.col("_k2")).alias("other")).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_k", "_k2")).alias("x"))
+    chosen = first.select(F.col("x._k").alias("__row_key"), F.col("x._k2").alias("__row_key_2"))
+    named = docs.withColumns({"__row_key": C.row_key(docs[id_col], docs[text_col]), "__row_key_2": C.second_key(docs[id_col], docs[text_col])})
+    return named.join(chosen, ["__row_key", "__row_key_2"], "left_semi").dropDuplicates(["__row_key", "__row_key_2"]).select(*docs.columns)
