@@ -129,12 +129,13 @@ def second_key(*columns: Column) -> Column:
     return F.xxhash64(F.lit("second"), *[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns])
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_k, _id, _t): only what the operators read, under names of our own; a null text is empty."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """(_k, _id, _t), with ``wide`` also _k2: only what the operators read, under names of our own; a null text is empty."""
     return docs.select(
         row_key(docs[id_col], docs[text_col]).alias("_k"),
         docs[id_col].alias("_id"),
         F.coalesce(docs[text_col], F.lit("")).alias("_t"),
+        *[second_key(docs[id_col], docs[text_col]).alias("_k2")] * wide,
     )
 
 

@@ -240,7 +240,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent
     spark = docs.sparkSession
     C.prepare(spark)
     C.shared_dir(spark)
-    rows = C.keyed(docs, id_col, text_col).withColumns({"_id": F.col("_id").cast("long"), "_k2": C.second_key(docs[id_col], docs[text_col])})
+    rows = C.keyed(docs, id_col, text_col, wide=True).withColumn("_id", F.col("_id").cast("long"))
     with C.cleanup(spark):
         all_rows = rows.mapInArrow(_features(shingle), "_k long, _k2 long, _id long, n long, s1 long, s2 long, sig binary, bands binary").checkpoint()
         sets = all_rows.where("n > 0")
