@@ -83,7 +83,7 @@ def _minimisers(size: int, gram: int):
                 once = order[first]
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(keys[row[once]]), pa.array(np.diff(np.append(first, len(row))).astype(np.int32))], schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def _wanted_runs(size: int, gram: int, bits: int):
@@ -107,7 +107,7 @@ def _wanted_runs(size: int, gram: int, bits: int):
                 columns = [h[keep].view(np.int64), np.isin(mark[keep], sets[1]), keys[row], order[row], place[keep] - lead, lead, trail]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def branching(node: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def _settle(block: int = 1 << 24):
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return run
+    return C.frees(run)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def _cut(size: int, with_text: bool):
                 columns = [batch.column("_id"), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def joined(paths: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def _windows(size: int, literals: int, known: np.ndarray | None, short: list[int
                 for n in short:
                     yield from _exact(keys[lo:], values, off, n, None, known)
 
-    return run
+    return C.frees(run)
 
 
 def _item_windows(size: int, literals: int):

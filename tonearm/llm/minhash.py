@@ -82,7 +82,7 @@ def _features(size: int):
                     schema=schema,
                 )
 
-    return run
+    return C.frees(run)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def _set_rows(size: int):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:

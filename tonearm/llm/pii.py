@@ -366,7 +366,7 @@ def _find(field: Field):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,7 +396,7 @@ def _mask(field: Field):
             texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_t"])
 
-    return run
+    return C.frees(run)
 
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:

@@ -240,7 +240,7 @@ def _apply(scorer: Scorer):
             p = scorer.score(batch.column("_t"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(p), pa.array(p >= THRESHOLD)], schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:

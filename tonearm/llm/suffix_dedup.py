@@ -97,7 +97,7 @@ def _contexts(length: int, gram: int):
                         schema=schema,
                     )
 
-    return run
+    return C.frees(run)
 
 
 def expand_intervals(group: np.ndarray, data: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def _expand(length: int, block: int = 12_000):
         if count:
             yield settle(pa.Table.from_batches(held).combine_chunks())
 
-    return run
+    return C.frees(run)
 
 
 #: A second code of each byte: with it, two strings are told apart by 128 bits.
@@ -260,7 +260,7 @@ def _cut(length: int, with_text: bool):
             if out:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run
+    return C.frees(run)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, with_text: bool = False) -> DataFrame:

@@ -333,7 +333,7 @@ def _score(grammar: Grammar):
             names = [n for n in batch.schema.names if n != "_t"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + extra, names=names + schema.names)
 
-    return run
+    return C.frees(run)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
