@@ -267,7 +267,37 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     run()
     write([("/b", 5, 0), ("/c", 1, 3), ("/a", 9, 4)])
     run()
-    assert {tuple(x) for x in spark.read.parquet(table).collect()} == {("/a", 9, 4), ("/b", 1, 1), ("/c", 1, 3)}
+    assert {tuple(x) for x in files.read_table(spark, table).collect()} == {("/a", 9, 4), ("/b", 1, 1), ("/c", 1, 3)}
+
+
+def test_a_table_survives_a_crash_at_any_moment(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(i, n) for i in range(5)], "id long, n long")
+    path = str(tmp_path / "table")
+    read = lambda: {x.n for x in files.read_table(spark, path).collect()}
+    assert files.read_table(spark, path) is None
+    files.replace_table(rows(1), path)
+    # a crash after the new version's files, before the pointer; and one with a pointer half made
+    rows(2).write.parquet(f"{path}/version-crashed")
+    (tmp_path / "table" / "CURRENT-version-crashed").write_text("version-crashed")
+    assert read() == {1}
+    old = files.read_table(spark, path)
+    files.replace_table(rows(3), path)
+    assert read() == {3} and {x.n for x in old.collect()} == {1}  # a reader of the version before goes on
+    files.replace_table(rows(4), path)
+    assert read() == {4} and len([x for x in (tmp_path / "table").iterdir() if x.name.startswith("version-")]) == 2
+    # what the pointer names is not there: an error, not an empty table
+    (tmp_path / "table" / "CURRENT").write_text("version-nowhere")
+    (tmp_path / "table" / ".CURRENT.crc").unlink()
+    with pytest.raises(Exception, match="version-nowhere"):
+        files.read_table(spark, path).collect()
+
+
+def test_moves_and_back(spark):
+    listing = lambda rows: spark.createDataFrame(rows, "path string, size long, mtime double")
+    plan = spark.createDataFrame([(1, "/a", 5, 1.0), (2, "/b", 5, None), (3, "/c", 5, 1.0), (4, "/d", 5, 1.0)], "id long, path string, size long, mtime double")
+    log = G.apply_moves(plan, listing([("/a", 5, 1.0), ("/b", 5, None), ("/c", 6, 1.0)]))
+    assert {x.id: x.state for x in log.collect()} == {1: "moved", 2: "moved", 3: "skipped", 4: "gone"}
+    assert {x.id: x.state for x in G.undo_moves(log, listing([("/a", 9, 9.0), ("/c", 6, 1.0)])).collect()} == {1: "occupied", 2: "restored"}
 
 
 @pytest.fixture(scope="module")

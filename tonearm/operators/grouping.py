@@ -85,6 +85,17 @@ def quarantine_plan(ranked: DataFrame, verified: Column) -> DataFrame:
     return ranked.where((F.col("decision") == "approved") & ~F.col("is_keeper")).join(keepers.where("sound = 1").select("group_id"), "group_id", "left_semi")
 
 
-def move_outcome(fresh: Column) -> Column:
-    """A loser that was changed is skipped, which doesn't keep its group from being applied."""
-    return F.when(fresh, "moved").otherwise("skipped")
+def apply_moves(plan: DataFrame, now: DataFrame) -> DataFrame:
+    """``plan`` (path, size, mtime as they were) with ``state``, by the listing ``now``: moved, skipped if the file has changed, gone if it isn't there.
+
+    A file that is skipped or gone doesn't keep its group from being applied.
+    """
+    seen = now.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_here"))
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime"))
+    return plan.join(seen, "path", "left").withColumn("state", F.when(F.col("_here").isNull(), "gone").when(same, "moved").otherwise("skipped")).drop("_size", "_mtime", "_here")
+
+
+def undo_moves(log: DataFrame, now: DataFrame) -> DataFrame:
+    """What comes back of a log of moves: restored, or occupied if there is a file at the old path again."""
+    back = log.where("state = 'moved'").join(now.select("path", F.lit(True).alias("_here")), "path", "left")
+    return back.withColumn("state", F.when(F.col("_here"), "occupied").otherwise("restored")).drop("_here")

@@ -217,12 +217,12 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
 
 
 def embedding_index(rows: DataFrame, k: int = 100, blocks: int | None = None) -> DataFrame:
-    """(track_id, neighbor_id, raw, combined_score, place): the k nearest others by mutual proximity, ties by id; every pair is scored in its blocks."""
+    """(track_id, neighbor_id, raw, combined_score, place): the k nearest others by mutual proximity (nine places), ties by id; every pair is scored in its blocks."""
 
     def work(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         d = cosine_block(asked, known)
         above = lambda of, shape: 1 - _normal_cdf((d - of["mean"].to_numpy().reshape(shape)) / np.maximum(of["sd"].to_numpy(), 1e-12).reshape(shape))
-        return _best(asked, known, 1 - above(asked, (-1, 1)) * above(known, (1, -1)), k, d=d).rename(columns={"score": "mp"})
+        return _best(asked, known, (1 - above(asked, (-1, 1)) * above(known, (1, -1))).round(9), k, d=d).rename(columns={"score": "mp"})
 
     moments = row_moments(rows, blocks).select(F.col("i").alias("content_id"), "mean", "sd")
     known = checkpointed(rows.select("content_id", "vector").join(moments, "content_id"))

@@ -138,15 +138,34 @@ def index(lib, k: int = 100):
     return D.embedding_index(lib.embedding, k)
 
 
-@query("sim_build_embedding")
+ALL_MP = MP.replace("FROM neighbour n\n", "FROM distance n\n").replace("SELECT i, j, round(1 - (1 - pi) * (1 - pj), 6) AS mp", "SELECT i, j, d, round(1 - (1 - pi) * (1 - pj), 9) AS mp").replace("SELECT n.i, n.j, ", "SELECT n.i, n.j, n.d, ")
+INDEX_ROWS = f"(SELECT i AS track_id, j AS neighbor_id, round(d / 2, 6) AS raw, round(mp, 4) AS combined_score, place FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY mp, j) AS place FROM ({ALL_MP})) WHERE place <= 100)"
+
+
+def shown(rows):
+    return rows.select("track_id", "neighbor_id", F.round(col("raw") + 2e-10, 6).alias("raw"), F.round("combined_score", 4).alias("combined_score"), "place")
+
+
+@query("sim_build_embedding", f"SELECT * REPLACE (round(raw + 2e-10, 6) AS raw) FROM {INDEX_ROWS}".replace("round(d / 2, 6) AS raw", "d / 2 AS raw"))
 def _(lib):
-    return index(lib)
+    return shown(index(lib))
+
+
+def build_index(lib, method: str = "auto", k: int | None = None):
+    """(track_id, neighbor_id, raw, combined_score, place, method): by embeddings if there are any, else by the components' score."""
+    if method not in ("auto", "embedding", "mfcc"):
+        raise ValueError(f"no index method {method!r}: auto, embedding or mfcc")
+    if method == "auto":
+        method = "mfcc" if lib.embedding.isEmpty() else "embedding"
+    rows = index(lib, k or 100) if method == "embedding" else D.score_index(lib.scored, k or K_LIST, spread(lib)).withColumn("raw", F.lit(None).cast("double"))
+    return rows.select("track_id", "neighbor_id", "raw", "combined_score", "place", F.lit(method).alias("method"))
 
 
-@query("sim_build_index", "SELECT count(*) > 0 AS embedding, CASE WHEN count(*) > 0 THEN 'embedding' ELSE 'mfcc' END AS method FROM embedding")
+@query("sim_build_index", f"SELECT 'embedding' AS method, count(*) AS rows, count(DISTINCT track_id) AS tracks FROM {INDEX_ROWS} UNION ALL SELECT 'mfcc', count(*), count(DISTINCT track_id) FROM {LISTS}")
 def _(lib):
-    some = lib.embedding.limit(1).agg((F.count(one) > 0).alias("embedding"))
-    return some.select("embedding", F.when(col("embedding"), "embedding").otherwise("mfcc").alias("method"))
+    """What the choice by data and the other method build."""
+    count = lambda rows: rows.groupBy("method").agg(F.count(one).alias("rows"), F.countDistinct("track_id").alias("tracks"))
+    return count(build_index(lib)).unionByName(count(build_index(lib, "mfcc")))
 
 
 @query(
@@ -222,13 +241,18 @@ def _(lib):
     return P.transitions(rows, pool(lib), spread(lib)).select("track_id", "neighbor_id", F.round("score", 6).alias("score"))
 
 
-def walks(lib, n: int = 20, embedding: bool = True, genre: str | None = None, bpm: tuple[float, float] | None = None):
-    """Playlists from every 25th track of the pool; without embeddings by the components' score, and without exclusion of near copies."""
-    tracks = pool(lib)
+def filtered(lib, tracks, genre: str | None = None, low: float | None = None, high: float | None = None):
+    """Tracks of a genre (a part of its name will do) and a range of tempos."""
     if genre:
         tracks = tracks.join(lib.track.select(col("id").alias("track_id"), "tag_genre"), "track_id").where(S.like_nocase(col("tag_genre"), genre)).drop("tag_genre")
-    if bpm:
-        tracks = tracks.where((col("bpm") >= bpm[0]) & (col("bpm") < bpm[1]))
+    if low is not None:
+        tracks = tracks.where(col("bpm") >= low)
+    return tracks if high is None else tracks.where(col("bpm") < high)
+
+
+def walks(lib, n: int = 20, embedding: bool = True, genre: str | None = None, bpm: tuple[float, float] | None = None):
+    """Playlists from every 25th track of the pool; without embeddings by the components' score, and without exclusion of near copies."""
+    tracks = filtered(lib, pool(lib), genre, *(bpm or ()))
     wide = spread(lib)
     rows = index(lib, P.POOL) if embedding else D.score_index(lib.scored, P.LEGACY_POOL, wide).withColumn("raw", F.lit(None).cast("double"))
     scored = P.transitions(rows, tracks, wide, embedding).join(rows.select("track_id", "neighbor_id", "place"), ["track_id", "neighbor_id"])

@@ -182,9 +182,13 @@ def _(lib):
     return G.components(links(lib))
 
 
+def verifier(lib):
+    """Direct comparison of pairs; a content without a fingerprint matches nothing."""
+    return lambda pairs: pairs.join(X.compare(pairs, lib.fingerprints).select("a", "b", "tier"), ["a", "b"], "left").fillna(X.NO_MATCH, ["tier"])
+
+
 def built(lib):
-    verify = lambda pairs: pairs.join(X.compare(pairs, lib.fingerprints).select("a", "b", "tier"), ["a", "b"], "left").fillna(X.NO_MATCH, ["tier"])
-    return G.build_groups(evidence(lib), lib.track, verify)
+    return G.build_groups(evidence(lib), lib.track, verifier(lib))
 
 
 BUILT = """SELECT component AS group_id, CASE WHEN clique THEN 1 ELSE 2 END AS tier, NOT clique AS formed_by_chain, node AS content_id FROM comp JOIN clique USING (component)

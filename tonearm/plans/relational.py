@@ -201,16 +201,27 @@ def _(lib):
     return G.quarantine_plan(ranked(lib), col("id") % 7 != 0).select("id", "group_id")
 
 
-@query("snk_quarantine_apply", f"SELECT id, CASE WHEN id % 11 <> 0 THEN 'moved' ELSE 'skipped' END AS state, 'applied' AS decision, present AND id % 11 = 0 AS present FROM {KEEPERS} x WHERE decision = 'approved' AND NOT is_keeper")
+# the listing when the plan is carried out, in which some files have grown or are gone; and later, when it is undone
+FOUND = "(SELECT path, size + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS size, mtime FROM track WHERE id % 5 <> 0)"
+LATER = "(SELECT path FROM track WHERE id % 2 = 0)"
+LOSERS = f"(SELECT x.* FROM {KEEPERS} x WHERE decision = 'approved' AND NOT is_keeper)"
+MOVED = f"(SELECT l.*, CASE WHEN n.path IS NULL THEN 'gone' WHEN n.size IS NOT DISTINCT FROM l.size AND n.mtime IS NOT DISTINCT FROM l.mtime THEN 'moved' ELSE 'skipped' END AS state FROM {LOSERS} l LEFT JOIN {FOUND} n ON n.path = l.path)"
+
+
+def applied(lib):
+    now = lib.track.where("id % 5 <> 0").select("path", (col("size") + F.when(col("id") % 3 == 0, 1).otherwise(0)).alias("size"), "mtime")
+    return G.apply_moves(ranked(lib).where("decision = 'approved' and not is_keeper"), now)
+
+
+@query("snk_quarantine_apply", f"SELECT id, path, state, 'applied' AS decision, present AND state <> 'moved' AS present FROM {MOVED}")
 def _(lib):
-    fresh = col("id") % 11 != 0
-    return ranked(lib).where("decision = 'approved' and not is_keeper").select("id", G.move_outcome(fresh).alias("state"), F.lit("applied").alias("decision"), (col("present") & ~fresh).alias("present"))
+    return applied(lib).select("id", "path", "state", F.lit("applied").alias("decision"), (col("present") & (col("state") != "moved")).alias("present"))
 
 
-@query("snk_undo", "SELECT id, CASE WHEN id % 3 = 0 THEN 'occupied' ELSE 'restored' END AS state, id % 3 <> 0 AS present FROM member WHERE decision = 'applied'")
+@query("snk_undo", f"SELECT m.id, CASE WHEN n.path IS NULL THEN 'restored' ELSE 'occupied' END AS state, n.path IS NULL AS present FROM {MOVED} m LEFT JOIN {LATER} n ON n.path = m.path WHERE m.state = 'moved'")
 def _(lib):
-    free = col("id") % 3 != 0
-    return members(lib).where("decision = 'applied'").select("id", F.when(free, "restored").otherwise("occupied").alias("state"), free.alias("present"))
+    rows = G.undo_moves(applied(lib), lib.track.where("id % 2 = 0").select("path"))
+    return rows.select("id", "state", (col("state") == "restored").alias("present"))
 
 
 @query(

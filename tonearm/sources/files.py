@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import scalars as S
+from tonearm.storage import shared_dir
 
 # Extensions of audio files.
 AUDIO = (".mp3", ".flac", ".m4a", ".aac", ".ogg", ".opus", ".wav", ".wma")
@@ -75,20 +76,57 @@ def measure_bandwidth(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "id long, cutoff_hz double, cliff_db double")
 
 
+CURRENT = "CURRENT"
+
+
+def _place(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, at, at.getFileSystem(conf)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of a table's version in force; None if there is no table.  Any other trouble is an error."""
+    jvm, _, at, fs = _place(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(at, CURRENT)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The version in force of a table that ``replace_table`` writes, or None."""
+    at = current_version(spark, path)
+    return None if at is None else (spark.read.schema(schema) if schema is not None else spark.read).parquet(at)
+
+
 def replace_table(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a table beside its old version and swap them by renaming, so that a reader sees one or the other."""
+    """Write a new version of a table and make it the one in force.
+
+    A version is a folder of its own, and a pointer file names the one in force; the pointer is replaced by one atomic rename, so a reader or
+    a crash at any moment finds the old version or the new one.  The version before stays for its readers; older ones go.
+    """
     spark = rows.sparkSession
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
     if path is None:
-        if sc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tonearm-checkpoints")
-        path = f"{sc.getCheckpointDir().get()}/replaced-{uuid.uuid4().hex}"
-    new, at = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(sc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(path + ".new")
-    old = jvm.org.apache.hadoop.fs.Path(path + ".old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
-    return spark.read.schema(rows.schema).parquet(path)
+        shared_dir(spark)
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/replaced-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
+    name = f"version-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    jvm, conf, at, fs = _place(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(at, f"{CURRENT}-{name}")
+    stream = fs.create(fresh)
+    stream.write(name.encode())
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(at, CURRENT)), options)
+    for status in fs.listStatus(at):
+        folder = status.getPath().getName()
+        if folder.startswith("version-") and folder not in (name, (before or "").rsplit("/", 1)[-1]):
+            fs.delete(status.getPath(), True)
+    return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
