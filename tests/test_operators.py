@@ -416,3 +416,29 @@ def test_ranks_and_apart(spark):
     for q in sorted(D.nearest(table, 4, apart="artist", blocks=3).collect(), key=lambda q: (q.i, q.place)):
         near.setdefault(q.i, []).append(q.j)
     assert near == {i: [j for _, j in order[i] if j % 5 != i % 5][:4] for i in range(40)}
+
+
+def naive_linkage(x, k, method):
+    """Clusters merged by the definition of their distance."""
+    groups = [[i] for i in range(len(x))]
+
+    def apart(a, b):
+        d = [math.dist(x[i], x[j]) for i in a for j in b]
+        if method == "ward":
+            return len(a) * len(b) / (len(a) + len(b)) * math.dist(x[a].mean(0), x[b].mean(0)) ** 2
+        return max(d) if method == "complete" else sum(d) / len(d)
+
+    while len(groups) > k:
+        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: apart(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def test_linkages_by_their_definition():
+    r = np.random.default_rng(3)
+    for _ in range(6):
+        x = r.standard_normal((24, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        for method in ("ward", "average", "complete"):
+            labels = K.linkage_labels(d, 4, method)
+            assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(4)} == naive_linkage(x, 4, method)

@@ -14,6 +14,7 @@ from tonearm.functions import scalars as S
 
 # Fixed values of the clustering.
 SMALL, CLUSTERS, VOTERS = 15, 8, 10
+TRIES = range(5, 16)
 TERCILE_ROWS = 6
 BPM_TERCILES, ENERGY_TERCILES = (80.0, 120.0), (0.3, 0.7)
 #: Nodes that the spectral step may take on one machine; beyond it use k-means, or clusters of a sample and ``vote``.
@@ -42,7 +43,7 @@ def standardised(matrix: DataFrame) -> DataFrame:
     return matrix.join(F.broadcast(one)).select("content_id", F.zip_with("x", "z", lambda v, z: (v - z["m"]) / z["s"]).alias("x"))
 
 
-def kmeans(matrix: DataFrame, k: int | None = None, seed: int = 42, tries: range = range(5, 16)) -> DataFrame:
+def kmeans(matrix: DataFrame, k: int | None = None, seed: int = 42, tries: range = TRIES) -> DataFrame:
     """(content_id, cluster_id): k-means on standardised rows, k by silhouette if not given; one cluster for very few rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -215,6 +216,54 @@ def eigengap(affinity: np.ndarray, most: int = 15) -> int:
     return int(np.argmax(np.diff(values)[1:])) + 2
 
 
+def linkage_labels(d: np.ndarray, k: int, method: str = "ward") -> np.ndarray:
+    """Labels of k clusters merged bottom up: ``ward``, ``average`` or ``complete``; ties to the first rows.
+
+    Distances to a merged cluster follow from those to its parts (Lance and Williams), and each row remembers its nearest later one.
+    """
+    n = len(d)
+    work = (d * d if method == "ward" else d).astype(float)
+    np.fill_diagonal(work, np.inf)
+    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
+    near = work.argmin(1)
+    least = work[np.arange(n), near]
+    for _ in range(n - k):
+        i = int(np.argmin(np.where(alive, least, np.inf)))
+        i, j = sorted((i, int(near[i])))
+        a, b, both = size[i], size[j], work[i, j]
+        if method == "ward":
+            row = ((a + size) * work[i] + (b + size) * work[j] - size * both) / (a + b + size)
+        elif method == "average":
+            row = (a * work[i] + b * work[j]) / (a + b)
+        else:
+            row = np.maximum(work[i], work[j])
+        alive[j] = False
+        row[~alive] = row[i] = np.inf
+        work[i], work[:, i] = row, row
+        work[j], work[:, j] = np.inf, np.inf
+        size[i] += b
+        label[label == j] = i
+        for x in np.flatnonzero(alive & ((near == i) | (near == j) | (row < least) | (np.arange(n) == i))):
+            near[x] = work[x].argmin()
+            least[x] = work[x, near[x]]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def linked(rows: DataFrame, k: int, methods: tuple[str, ...] = ("ward", "average", "complete")) -> DataFrame:
+    """(content_id, a cluster for each method) of rows (content_id, x), by Euclidean distance; one task, under the same bound on nodes as ``spectral``."""
+    if rows.limit(SPECTRAL_NODES + 1).count() > SPECTRAL_NODES:
+        raise ValueError(f"more than {SPECTRAL_NODES} contents")
+
+    def task(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("content_id")
+        x = np.stack([np.asarray(v, float) for v in part["x"]])
+        sums = (x * x).sum(1)
+        d = np.sqrt(np.maximum(sums[:, None] + sums[None, :] - 2 * x @ x.T, 0))
+        return pd.DataFrame({"content_id": part["content_id"]} | {m: linkage_labels(d, min(k, len(x)), m).astype(np.int32) for m in methods})
+
+    return rows.select("content_id", "x", F.lit(0).alias("g")).groupBy("g").applyInPandas(task, "content_id long, " + ", ".join(f"{m} int" for m in methods))
+
+
 def _dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted nodes, symmetric affinity) from rows of links, and rows without a weight for the nodes."""
     ids = np.sort(part.loc[part["w"].isna(), "i"].to_numpy())

@@ -10,6 +10,7 @@ from tonearm.operators import grouping as G
 from tonearm.operators import matching as X
 from tonearm.plans.registry import query
 from tonearm.plans.views import smooth_sql
+from tonearm.storage import checkpointed
 
 col = F.col
 one = "*"  # for F.count; a Column would need a session at import
@@ -244,7 +245,7 @@ LABELLED = f"(SELECT e.*, {EXPECT} AS expect, CASE WHEN (e.a * 7 + e.b) % 4 = 0
 
 def labelled(lib):
     """The candidates' evidence with what each pair should be."""
-    pairs = candidates(lib)
+    pairs = checkpointed(candidates(lib))
     size = lambda c: lib.fingerprints.select(col("content_id").alias(c), F.size("fp").alias(f"n_{c}"))
     low = F.least("n_a", "n_b")
     expect = F.when(col("shared") >= 0.8 * low, 1).when(col("shared") >= 0.1 * low, 2).otherwise(-1)
