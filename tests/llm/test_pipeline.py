@@ -7,6 +7,7 @@ import sys
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tonearm.llm import bpe, pii, toxicity
 from tonearm.llm import queries as Q
@@ -70,6 +71,31 @@ def test_stages(spark, corpus, tmp_path):
     assert set(kept[4]) == set(kept[3])
 
 
+def test_stages_take_any_rows(spark, corpus, tmp_path):
+    """Repeated rows, null ids and texts, empty texts, more columns with clashing names, and empty tables."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    long = "word " * 30 + "and some more words so that it is a text of its own kind"
+    rows = [(1, long, 1, "a"), (1, long, 1, "a"), (None, long, None, "b"), (None, "quite another text, with words that nothing else here has at all", 2, "b"), (3, None, None, None), (3, None, None, None), (4, "", 0, ""), (5, " \n", 2, "c"), (6, "write to a.b@c.org now", 22, "d")]
+    kind = "doc_id long, text string, n_chars long, component string"
+    docs = spark.createDataFrame(rows, kind).withColumns({x: F.lit(x) for x in ("_k", "_t", "_id", "score", "predicted", "item", "h", "_row", "__row")})
+    read, kept = docs, []
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, read, corpus).write.parquet(f"{tmp_path}/{k}")
+        read = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(pipeline.STAGES) - 1:
+            assert read.columns == docs.columns, name
+            kept.append(sorted([(x.doc_id, x.text) for x in read.collect()], key=str))
+    assert kept[0] == sorted([(i, t) for i, t, *_ in rows], key=str)
+    # one of the copies, and one of each text without words of one id
+    assert kept[1] == kept[2] == sorted([(1, long), (None, rows[3][1]), (3, None), (4, ""), (5, " \n"), (6, rows[8][1])], key=str)
+    assert (6, "write to [EMAIL] now") in kept[3] and (3, None) in kept[3] and len(kept[3]) == 6
+    assert read.count() == 6
+    read = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        read = stage(spark, read, corpus)
+    assert read.count() == 0
+
+
 def test_run_and_registration(spark, corpus):
     pipeline, entry = importlib.import_module("corpus_pipeline"), importlib.import_module("__spark_entry__")
     assert pipeline.run(spark, corpus).count() > 0

@@ -291,7 +291,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
         rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
         masks = masks.unionByName(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask"))
-    each = masks.groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found"))
+    with C.cleanup(spark):
+        each = masks.groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found")).checkpoint()
     out = rows.join(each, "_k", "left").select(F.col("_id").cast("long").alias("_id"), "_t", "found")
     kinds = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_text
     return out.mapInArrow(_cut(length, with_text), kinds).withColumnRenamed("_id", id_col)
