@@ -283,16 +283,20 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = C.salted_join(anchors, counted, ["h"], F.xxhash64("_k", "p"), which=which).groupBy("_k").agg(F.collect_set("p").alias("at"))
         return rows.join(wanted, "_k").select("_k", "_id", "_t", "at").mapInArrow(_contexts(length, gram), "cid binary, h long, ctx binary, lo int, hi int, _k long, p long")
 
-    masks = surroundings(f"c <= {group_limit}").drop("cid").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary")
-    if not counted.where(f"c > {group_limit}").isEmpty():
-        hot = surroundings(f"c > {group_limit}")
-        distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-        strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
-        again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
-        rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
-        masks = masks.unionByName(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask"))
+    def gathered(masks: DataFrame) -> DataFrame:
+        return masks.groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found")).checkpoint()
+
+    # each part on its own, so that its shuffles are gone before the next one's
     with C.cleanup(spark):
-        each = masks.groupBy("_k").agg(F.collect_set(F.struct("p", "mask")).alias("found")).checkpoint()
+        each = gathered(surroundings(f"c <= {group_limit}").drop("cid").repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length), "_k long, p long, mask binary"))
+        if not counted.where(f"c > {group_limit}").isEmpty():
+            hot = surroundings(f"c > {group_limit}")
+            distinct = hot.groupBy("cid", "ctx", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+            strings = distinct.mapInArrow(_strings(length), "s1 long, s2 long, cid binary, depth int, n long")
+            again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
+            rest = strings.join(again, ["s1", "s2"], "left_semi").groupBy("cid").agg(F.collect_list("depth").alias("depths")).mapInArrow(_depths_to_mask(), "cid binary, mask binary")
+            more = gathered(hot.select("cid", "_k", "p").join(rest, "cid").select("_k", "p", "mask"))
+            each = each.unionByName(more).groupBy("_k").agg(F.flatten(F.collect_list("found")).alias("found"))
     out = rows.join(each, "_k", "left").select(F.col("_id").cast("long").alias("_id"), "_t", "found")
     kinds = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept binary" * with_text
     return out.mapInArrow(_cut(length, with_text), kinds).withColumnRenamed("_id", id_col)
