@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from . import common as C
 
 CACHE_PIECES = 300_000
 KEPT_PAIRS = 300_000
+#: Rows go on when they have so many tokens together.
+EMIT_TOKENS = 1 << 17
 
 
 class Bpe:
@@ -174,10 +177,10 @@ class Prefixes:
         return out[::-1]
 
 
-_LOADED: dict[str, tuple[Bpe, dict[str, str], dict[bytes, bytes]]] = {}
+_LOADED: dict[str, tuple[Bpe, dict[str, bytes], dict[bytes, bytes]]] = {}
 
 
-def loaded(path: str) -> tuple[Bpe, dict[str, str], dict[bytes, bytes]]:
+def loaded(path: str) -> tuple[Bpe, dict[str, bytes], dict[bytes, bytes]]:
     """The vocabulary of a rank file (base64 of the bytes, a space, the rank), the pieces encoded so far, and the tokens by decimal id."""
     if path not in _LOADED:
         with open(path, "rb") as f:
@@ -198,17 +201,25 @@ def _run(path: str, pattern: str, with_ids: bool, forget: bool = False):
     fields = [("_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
+    def emit(out: list[list], ids: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]
+        if with_ids:
+            ends = np.cumsum([0, *(row[1] for row in out)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern)
         bpe, cache, table = loaded(path)
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+            out: list[list] = []
+            every: list[np.ndarray] = []  # the ids of the rows in `out`
+            held = 0
+            for key, value in zip(batch.column("_id").to_pylist(), batch.column("_t"), strict=True):
                 ids, decoded, count, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                every: list[int] = []
-                for found in _pieces(split, text):
+                for found in _pieces(split, value.as_py()):
                     if not found:
                         continue
                     fresh = [p for p in set(found) if p not in cache]
@@ -216,17 +227,21 @@ def _run(path: str, pattern: str, with_ids: bool, forget: bool = False):
                         cache.clear()
                         fresh = list(set(found))
                     for piece in fresh:
-                        cache[piece] = ",".join(map(str, bpe.encode_piece(piece.encode())))
-                    row = ",".join([cache[p] for p in found]).encode()
+                        cache[piece] = ",".join(map(str, bpe.encode_piece(piece.encode()))).encode()
+                    row = b",".join([cache[p] for p in found])
                     ids.update(row if first else b"," + row)
                     numbers = row.split(b",")
                     decoded.update(b"".join([table[x] for x in numbers]))
                     if with_ids:
-                        every.extend(map(int, numbers))
+                        every.append(np.fromstring(row, np.int32, sep=","))
                     first, count = False, count + len(numbers)
-                out.append([key, count, ids.hexdigest(), decoded.hexdigest()] + [every] * with_ids)
+                out.append([key, count, ids.hexdigest(), decoded.hexdigest()])
+                held += count
+                if held >= EMIT_TOKENS:
+                    yield emit(out, every)
+                    out, every, held = [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield emit(out, every)
         cache.clear()  # a reused worker keeps the vocabulary and the fitting pairs only
         bpe.forget(KEPT_PAIRS)
         if forget:
