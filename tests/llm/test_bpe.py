@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -70,3 +71,15 @@ def test_query_rows(spark, library):
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert B.encode_decode(docs.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_rows_go_on_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(B, "EMIT_TOKENS", 20)
+    texts = ["", "", "one two three " * 20, "", *words(40, 5), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["_id", "_t"])
+    out = list(B._run(PATH, P.PATTERN, True)(iter([batch, batch.slice(0, 2), batch.slice(0, 0)])))
+    assert len(out) > 3
+    rows = [row for part in out for row in part.to_pylist()]
+    assert [row["_id"] for row in rows] == [*range(len(texts)), 0, 1]
+    for row in rows:
+        assert row["ids"] == library.encode_ordinary(texts[row["_id"]]) and row["n_tokens"] == len(row["ids"])
