@@ -442,3 +442,31 @@ def test_linkages_by_their_definition():
         for method in ("ward", "average", "complete"):
             labels = K.linkage_labels(d, 4, method)
             assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(4)} == naive_linkage(x, 4, method)
+
+
+def test_matched_is_what_candidates_finds(spark):
+    r = np.random.default_rng(3)
+    arrays = {int(i): r.integers(0, 900, r.integers(1, 260)) << 8 for i in r.choice(10**12, 70, replace=False)}
+    arrays |= {-i - 1: np.concatenate([arrays[k], r.integers(0, 2**32, 5)]) for i, k in enumerate(list(arrays)[:8])}
+    fps = fingerprints(spark, arrays)
+    for config in (X.DEFAULT, X.DEFAULT.with_(k_cap=9, k_cap_floor=9)):
+        want = {tuple(x) for x in X.candidates(X.postings(fps, config)).collect()}
+        assert want
+        for parts, split in ((None, None), (4, 3), (8, 1), (19, 2)):
+            assert {tuple(x) for x in X.matched(fps, config, parts, split).collect()} == want
+
+
+def test_fingerprints_are_sent_to_few_units(spark):
+    sizes = spark.createDataFrame([(i, 1000) for i in range(40)], "content_id long, n int")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")  # 780 pairs of 40 contents
+    rows = X._units(pairs, sizes, 20_000).collect()
+    assert len({(x.u, c) for x in rows for c in (x.a, x.b)}) == 40  # one a content; two a pair would be 1560
+    rows = X._units(pairs, sizes, 195).collect()
+    assert len(rows) == 780 and len({x.u for x in rows}) > 1
+
+
+def test_packed_fingerprints_take_four_bytes_an_item(spark):
+    arrays = {1: np.array([2**32 - 1, 0, 7]), 2: np.array([], int), 3: np.array([5])}
+    rows = X.packed(fingerprints(spark, arrays))
+    assert {x.content_id: len(x["items"]) for x in rows.collect()} == {1: 12, 2: 0, 3: 4}
+    assert {x.content_id: list(x.fp) for x in X.unpacked(rows).collect()} == {i: a.tolist() for i, a in arrays.items()}
