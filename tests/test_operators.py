@@ -470,3 +470,37 @@ def test_packed_fingerprints_take_four_bytes_an_item(spark):
     rows = X.packed(fingerprints(spark, arrays))
     assert {x.content_id: len(x["items"]) for x in rows.collect()} == {1: 12, 2: 0, 3: 4}
     assert {x.content_id: list(x.fp) for x in X.unpacked(rows).collect()} == {i: a.tolist() for i, a in arrays.items()}
+
+
+def test_spectral_beyond_the_dense_bound(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((120, 3)) + 9 * (np.arange(120) % 3)[:, None]
+    rows = spark.createDataFrame([(i * 5, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    edges = spark.createDataFrame([(i * 5, int(j) * 5, float(np.exp(-d[i, j]))) for i in range(120) for j in np.argsort(d[i])[1:8]], "i long, j long, w double")
+    dense = K.suggested_clusters(edges, rows).first().k
+    monkeypatch.setattr(K, "SPECTRAL_NODES", 20)
+    assert K.suggested_clusters(edges, rows).first().k == dense
+    got = {y.content_id // 5: y.cluster_id for y in K.spectral(edges, rows, 3).collect()}
+    assert len(got) == 120 and len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in got)
+
+
+def test_leading_finds_equal_eigenvalues():
+    a = np.kron(np.eye(6), np.ones((15, 15)) - np.eye(15))
+    i, j = np.nonzero(a)
+    values, vectors = K.leading(90, i, j, a[i, j], 8)
+    assert values[:6] == pytest.approx([1] * 6) and values[6:] == pytest.approx([-1 / 14] * 2)
+    assert vectors.T @ vectors == pytest.approx(np.eye(8), abs=1e-9)
+
+
+def test_distances_come_in_pieces(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((23, 5))
+    rows = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for blocks in (1, 4):
+        out = D.distances(rows, blocks, piece=2)
+        got = out.collect()
+        assert len(got) == 23 * 22 and all(abs(y.d - (1 - u[y.i // 3] @ u[y.j // 3])) < 2e-9 for y in got)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "CartesianProduct" in plan  # no group of block pairs is held, none is shuffled
