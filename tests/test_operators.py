@@ -444,6 +444,26 @@ def test_linkages_by_their_definition():
             assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(4)} == naive_linkage(x, 4, method)
 
 
+def test_linkages_without_a_matrix(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    for n in (2, 5, 60, 211):
+        x = r.standard_normal((n, 3)) * (3, 1, 1)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        for method, k, held in itertools.product(("ward", "average", "complete"), (1, 4), (1, 8 * n * 9, 10**7)):
+            assert K.chain_labels(x, min(k, n), method, held).tolist() == K.linkage_labels(d, min(k, n), method).tolist()
+    equal = np.repeat(r.integers(0, 3, (30, 3)).astype(float), 9, axis=0)  # many equal distances
+    copies = equal + 100 * (np.arange(270) % 4 == 0)[:, None] + 700 * (np.arange(270) % 4 == 1)[:, None]
+    for method in ("ward", "average", "complete"):
+        groups = np.minimum(np.arange(270) % 4, 2)
+        assert len({*zip(K.chain_labels(copies, 3, method, 10**4).tolist(), groups.tolist(), strict=True)}) == 3
+
+    x = r.standard_normal((60, 3))
+    rows = spark.createDataFrame([(i * 7 - 3, v) for i, v in enumerate(x.tolist())], "content_id long, x array<double>")
+    want = sorted(map(tuple, K.linked(rows, 4).collect()))
+    monkeypatch.setattr(K, "SPECTRAL_NODES", 40)  # a ValueError before
+    assert sorted(map(tuple, K.linked(rows, 4).collect())) == want
+
+
 def test_matched_is_what_candidates_finds(spark):
     r = np.random.default_rng(3)
     arrays = {int(i): r.integers(0, 900, r.integers(1, 260)) << 8 for i in r.choice(10**12, 70, replace=False)}
