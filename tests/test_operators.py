@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,6 +446,66 @@ def test_linkages_by_their_definition():
             assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(4)} == naive_linkage(x, 4, method)
 
 
+def test_few_pairs_are_scored_for_the_index(monkeypatch):
+    r = np.random.default_rng(6)
+    scored = []
+    cdf = D._normal_cdf
+    monkeypatch.setattr(D, "_normal_cdf", lambda x: scored.append(x.size) or cdf(x))
+    for x in (np.concatenate([r.standard_normal((700, 24)), 0.05 * r.standard_normal((30, 24))]) + 1.0, np.repeat(r.standard_normal((80, 8)), 9, axis=0), r.standard_normal((30, 3))):
+        rows = pd.DataFrame({"content_id": np.arange(len(x)) * 2, "vector": list(x)})
+        d = D.cosine_block(rows, rows)
+        mean, sd = rows["mean"], rows["sd"] = d.mean(1), d.std(1)
+        z = lambda c: 1 - cdf((d - mean.reshape(c)) / sd.reshape(c))
+        mp = (1 - z((-1, 1)) * z((1, -1))).round(9)
+        np.fill_diagonal(mp, np.inf)
+        order = np.argsort(mp, axis=1, kind="stable")[:, :10]
+        scored.clear()
+        got = D.proximity_best(rows.iloc[:300], rows, 10)
+        assert got["j"].tolist() == (2 * order[:300]).ravel()[np.isfinite(np.take_along_axis(mp, order, 1)[:300]).ravel()].tolist()
+        assert got["mp"].tolist() == np.take_along_axis(mp, order, 1)[:300].ravel().tolist()
+        if len(x) > 700:
+            assert sum(scored) < 300 * len(x)  # 600 * len(x) before
+
+
+def test_walks_make_the_index_once(spark, tmp_path, monkeypatch):
+    from tonearm.plans import discovery
+    from tonearm.sources.library import Library
+
+    calls = spark.sparkContext.accumulator(0)
+    made = D.embedding_index
+
+    def counted(rows, k):
+        def seen(batches):
+            calls.add(1)
+            yield from batches
+
+        return made(rows, k).coalesce(1).mapInArrow(seen, "track_id long, neighbor_id long, raw double, combined_score double, place int")
+
+    monkeypatch.setattr(D, "embedding_index", counted)
+    assert discovery.walks(Library(spark, "/root/testdata/sf0.001"), 5).count()
+    assert calls.value == 1
+
+
+def test_order_of_spare_tracks_is_sorted_as_far_as_asked():
+    ids = np.arange(0, 30_000, 3)
+    x = (ids.astype(np.uint64) + np.uint64(5 * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    want = ids[np.argsort(x * np.uint64(0xBF58476D1CE4E5B9), kind="stable")].tolist()
+    for first in (1, 256, 10**6):
+        assert list(P.fallback_order(5, ids, first)) == want
+    began, artist = time.process_time(), dict.fromkeys(range(200_000))
+    for seed in range(200):  # over 10 s when each walk sorted all ids
+        P.walk(seed, {}, artist, {}, 15, np.arange(200_000))
+    assert time.process_time() - began < 8
+
+
+def test_transitions_in_arrays():
+    a = [np.array(c) for c in ([5, 2, 5, 9], [2, 1, 1, 3], [7, 5, 8, 2], [0.5, 0.25, 1.0, 2.0])]
+    links = P.Links(*a)
+    assert [list(links.get(t, ())) for t in (1, 2, 5, 9, 10)] == [[], [(5, 0.25)], [(8, 1.0), (7, 0.5)], [(2, 2.0)], []]
+    assert list(P.Links(*[c[:0] for c in a]).get(5)) == []
+
+
 def test_linkages_without_a_matrix(spark, monkeypatch):
     r = np.random.default_rng(5)
     for n in (2, 5, 60, 211):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,17 +47,23 @@ def transitions(index: DataFrame, tracks: DataFrame, spread: float, embedding: b
     return rows.select("track_id", "neighbor_id", score.alias("score"), F.col("neighbor_id_tag_artist").alias("artist"), "raw")
 
 
-def fallback_order(seed: int, ids: np.ndarray) -> np.ndarray:
-    """A fixed order in place of a random choice: by a hash of seed and id."""
+def fallback_order(seed: int, ids: np.ndarray, first: int = 256) -> Iterator[int]:
+    """A fixed order in place of a random choice: by a hash of seed and id (no two ids share one).  Only as much of it is sorted as is asked for."""
     x = (ids.astype(np.uint64) + np.uint64(seed * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
-    return ids[np.argsort(x * np.uint64(0xBF58476D1CE4E5B9), kind="stable")]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    done = 0
+    while done < len(ids):
+        upto = min(len(ids), max(first, 8 * done))
+        least = np.argpartition(x, upto - 1)[:upto] if upto < len(ids) else np.arange(len(ids))
+        yield from ids[least[np.argsort(x[least])][done:]].tolist()
+        done = upto
 
 
-def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int, str | None], excluded: dict[int, set[int]], n: int) -> list[int]:
-    """Greedy: the cheapest candidate that is not excluded; an artist of the last three costs more; else the first by ``fallback_order``."""
+def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int, str | None], excluded: dict[int, set[int]], n: int, ids: np.ndarray | None = None) -> list[int]:
+    """Greedy: the cheapest candidate that is not excluded; an artist of the last three costs more; else the first by ``fallback_order`` of ``ids``, all with an artist in order."""
     out, used = [seed], {seed} | excluded.get(seed, set())
-    spare = fallback_order(seed, np.array(sorted(artist), np.int64)).tolist()
+    spare = None
     while len(out) < n:
         recent = [artist[t] for t in out[-3:]]
         best, chosen = float("inf"), None
@@ -68,7 +74,9 @@ def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int,
             if score < best:
                 best, chosen = score, t
         if chosen is None:
-            chosen = next((t for t in spare if t not in used), None)
+            if spare is None:
+                spare = fallback_order(seed, np.array(sorted(artist), np.int64) if ids is None else ids)
+            chosen = next((t for t in spare if t not in used), None)  # what is used stays so
             if chosen is None:
                 break
         out.append(chosen)
@@ -76,24 +84,47 @@ def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int,
     return out
 
 
+class Links:
+    """Transitions by track, in arrays: ``get`` has (neighbour, score) in the order of their places."""
+
+    def __init__(self, track: np.ndarray, place: np.ndarray, neighbour: np.ndarray, score: np.ndarray):
+        by = np.lexsort((place, track))
+        self.tracks, self.starts = np.unique(track[by], return_index=True)
+        self.ends, self.neighbour, self.score = np.append(self.starts[1:], len(by)), neighbour[by], score[by]
+
+    def get(self, track: int, default: Iterable = ()) -> Iterable[tuple[int, float]]:
+        k = int(np.searchsorted(self.tracks, track))
+        if k == len(self.tracks) or self.tracks[k] != track:
+            return default
+        some = slice(self.starts[k], self.ends[k])
+        return zip(self.neighbour[some].tolist(), self.score[some].tolist(), strict=True)
+
+
 def playlists(seeds: DataFrame, scored: DataFrame, pool: DataFrame, excluded: DataFrame, n: int = 20) -> DataFrame:
     """(seed, position, track_id) of a walk from each seed.
 
     The scored transitions are computed once by Spark; the walks, which depend on their own past, run a seed at a time on
-    the executors with the transitions of one library, whose lists are bounded by the index's k.
+    the executors with the transitions of one library as arrays, whose lists are bounded by the index's k.
     """
-    edges = scored.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("place", "neighbor_id", "score"))).alias("edges"))
-    gone = excluded.groupBy("track_id").agg(F.collect_set("excluded").alias("gone"))
-    rows = pool.select("track_id", "tag_artist").join(edges, "track_id", "left").join(gone, "track_id", "left").toPandas()  # one library's index
-    links = {int(t): [(int(x["neighbor_id"]), float(x["score"])) for x in e] for t, e in zip(rows["track_id"], rows["edges"], strict=True) if e is not None}
-    artist = {int(t): a for t, a in zip(rows["track_id"], rows["tag_artist"], strict=True)}
-    out_of = {int(t): {int(x) for x in g} for t, g in zip(rows["track_id"], rows["gone"], strict=True) if g is not None}
+    tracks = pool.select(F.col("track_id").cast("long"), "tag_artist").toArrow()
+    artist = dict(zip(tracks["track_id"].to_pylist(), tracks["tag_artist"].to_pylist(), strict=True))
+    rows = scored.select(F.col("track_id").cast("long"), F.col("place").cast("int"), F.col("neighbor_id").cast("long"), F.col("score").cast("double")).toArrow()  # one library's index
+    mine = [np.asarray(rows[c]) for c in ("track_id", "place", "neighbor_id", "score")]
+    out_of: dict[int, set[int]] = {}
+    gone = excluded.select("track_id", "excluded").distinct().toArrow()
+    for t, x in zip(gone["track_id"].to_pylist(), gone["excluded"].to_pylist(), strict=True):
+        if t in artist:
+            out_of.setdefault(t, set()).add(x)
+    shared = seeds.sparkSession.sparkContext.broadcast((Links(*mine), artist, out_of))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links, artist, out_of = shared.value
+        ids = np.array(sorted(artist), np.int64)
         for part in batches:
             for seed in part["seed"].tolist():
                 if seed in artist:
-                    tracks = walk(seed, links, artist, out_of, n)
+                    tracks = walk(seed, links, artist, out_of, n, ids)
                     yield pd.DataFrame({"seed": seed, "position": np.arange(len(tracks), dtype=np.int32), "track_id": tracks})
 
-    return seeds.select("seed").mapInPandas(task, "seed long, position int, track_id long")
+    dealt = seeds.select("seed").repartition(seeds.sparkSession.sparkContext.defaultParallelism)  # else a few thousand seeds are one task
+    return dealt.mapInPandas(task, "seed long, position int, track_id long")
