@@ -20,6 +20,7 @@ from tonearm.operators import playlists as P
 from tonearm.operators import ranking as R
 from tonearm.operators import similarity as D
 from tonearm.sources import files
+from tonearm.sources import library as L
 
 
 def fingerprints(spark, arrays):
@@ -547,6 +548,42 @@ def test_fingerprints_are_sent_to_few_units(spark):
     assert len(rows) == 780 and len({x.u for x in rows}) > 1
 
 
+def test_fingerprints_are_dealt_once(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**32, 60)
+    fps = X.packed(fingerprints(spark, {i: np.concatenate([base[i:], r.integers(0, 2**32, 9)]) for i in range(12)}))
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)], "a long, b long")
+    votes = X.offset_votes(pairs, fps)
+    want = sorted(map(tuple, votes.collect()))
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert want and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # before, all were also dealt by content
+    monkeypatch.setattr(X, "FEW_WANTED", 0)
+    assert sorted(map(tuple, X.offset_votes(pairs, fps).collect())) == want
+
+
+def test_pairs_of_a_part_are_packed():
+    a, b, n = np.array([-5, -5, 7]), np.array([2, 9, 8]), np.array([4, 300, 70_000])
+    for far, size in ((0, 12), (2**40, 20)):
+        base, data = X.packed_pairs(a, b + far, n)
+        assert len(data) == 3 * size
+        assert [x.tolist() for x in X.unpacked_pairs(base, data)] == [a.tolist(), (b + far).tolist(), n.tolist()]
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    texts = ["a b c d", "a b c", "a b c d", None, "x y", "", "a b c", "x  y\tz"]
+    rows = [(i, x, "en", "web", len(x or "")) for i, x in zip((4, 2, 9, 5, 1, 0, 7, 7), texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for few in (10**6, 0):
+        monkeypatch.setattr(L, "FEW_IDS", few)
+        monkeypatch.setattr(L, "spread", lambda df: df)
+        lib = L.Library(spark, str(tmp_path))
+        got[few] = sorted((x.content_id, len(x.fp)) for x in lib.fingerprint.collect())
+        plan = lib.fingerprint._jdf.queryExecution().executedPlan().toString()
+        assert not few or "Exchange" not in plan.replace("BroadcastExchange", "")  # before, the texts were always dealt by id
+    assert got[0] == got[10**6] == [(2, 1), (4, 2), (7, 1), (7, 1)]
+
+
 def test_packed_fingerprints_take_four_bytes_an_item(spark):
     arrays = {1: np.array([2**32 - 1, 0, 7]), 2: np.array([], int), 3: np.array([5])}
     rows = X.packed(fingerprints(spark, arrays))
