@@ -19,6 +19,7 @@ from tonearm.operators import matching as X
 from tonearm.operators import playlists as P
 from tonearm.operators import ranking as R
 from tonearm.operators import similarity as D
+from tonearm.plans import registry
 from tonearm.sources import files
 from tonearm.sources import library as L
 
@@ -539,6 +540,27 @@ def test_matched_is_what_candidates_finds(spark):
             assert {tuple(x) for x in X.matched(fps, config, parts, split).collect()} == want
 
 
+def test_sharing_is_what_candidates_finds(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    arrays = {int(i): r.integers(0, 900, r.integers(1, 120)) << 8 for i in r.choice(10**12, 50, replace=False)}
+    arrays |= {-i - 1: np.concatenate([arrays[k], r.integers(0, 2**32, 5)]) for i, k in enumerate(list(arrays)[:8])} | {3: np.array([], int), 4: np.array([2**32 - 1])}
+    fps = fingerprints(spark, arrays).union(fingerprints(spark, dict(list(arrays.items())[:9])))  # some rows come twice
+    monkeypatch.setattr(X, "STREAMED", 300)
+    for config in (X.DEFAULT, X.DEFAULT.with_(k_cap=4, k_cap_floor=4)):
+        want = sorted(map(tuple, X.candidates(X.postings(fps, config), 1).collect()))
+        assert want
+        for blocks in (None, 2, 5, 6):
+            got = X.sharing(fps, config, blocks)
+            assert sorted(map(tuple, got.collect())) == want
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString() and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert X.sharing(fps.limit(0)).collect() == []
+
+
+def test_jn_self_key_writes_no_row_for_each_shared_key(spark):
+    plan = registry.queries()["jn_self_key"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "HashAggregate" not in plan
+
+
 def test_fingerprints_are_sent_to_few_units(spark):
     sizes = spark.createDataFrame([(i, 1000) for i in range(40)], "content_id long, n int")
     pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")  # 780 pairs of 40 contents
