@@ -694,3 +694,52 @@ def test_distances_come_in_pieces(spark):
         assert len(got) == 23 * 22 and all(abs(y.d - (1 - u[y.i // 3] @ u[y.j // 3])) < 2e-9 for y in got)
     plan = out._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "CartesianProduct" in plan  # no group of block pairs is held, none is shuffled
+
+
+def test_playlist_judges(spark):
+    r = random.Random(8)
+    keys, n = [*S.SEMITONES, None, "H"], 60
+    tracks = [(i, 1000 + i, r.choice(["x", "y", "", None]), r.choice([70.0, 141.0, 95.5, 0.0, None]), r.choice(keys), r.choice(["major", "minor", None]), r.choice(["A", " a", "b", "", None])) for i in range(n)]
+    vectors = {1000 + i: [r.gauss(0, 1) for _ in range(4)] for i in range(n) if i % 7}
+    lists = {s: [s, *r.sample([i for i in range(n) if i != s], k)] for s, k in ((3, 14), (7, 14), (20, 14), (33, 14), (41, 2), (50, 0))}
+    spare = {(s, p) for s, x in lists.items() for p in range(1, len(x)) if r.random() < 0.3}
+    known = D.with_moments(spark.createDataFrame(list(vectors.items()), "content_id long, vector array<double>"), 2)
+    rows = spark.createDataFrame([(s, p, t, (s, p) in spare) for s, x in lists.items() for p, t in enumerate(x)], "seed long, position int, track_id long, fallback boolean")
+    table = spark.createDataFrame(tracks, "track_id long, content_id long, label string, bpm double, key_name string, scale string, tag_artist string")
+    got = E.playlist_judges(rows, table, known).first().asDict()
+
+    ids = sorted(vectors)
+    d = D.cosine_block(*[pd.DataFrame({"vector": [vectors[i] for i in ids]})] * 2)
+    above = np.zeros(d.shape)
+    for i in range(len(ids)):
+        other = np.delete(d[i], i)
+        above[i] = [1 - D.STANDARD.cdf((x - other.mean()) / other.std()) for x in d[i]]
+    mp = 1 - above * above.T
+    far = lambda a, b: mp[ids.index(1000 + a), ids.index(1000 + b)] if 1000 + a in vectors and 1000 + b in vectors else None
+    place = lambda t: (S.SEMITONES[t[4]] + 3 * (t[5] == "minor")) * 7 % 12 if t[4] in S.SEMITONES else None
+    artist = lambda i: (tracks[i][6] or "").strip().lower()
+    coherence, smooth, variety, key, jump, repeat = [], [], [], [], [], []
+    for x in lists.values():
+        of = [tracks[i][2] for i in x]
+        if of[0] and any(of[1:]):
+            coherence.append(np.mean([o == of[0] for o in of[1:] if o]))
+        smooth += [far(a, b) for a, b in itertools.pairwise(x)]
+        some = [v for a, b in itertools.combinations(x, 2) if (v := far(a, b)) is not None]
+        variety += [np.mean(some)] if some else []
+        for p, (a, b) in enumerate(itertools.pairwise(x), 1):
+            steps = None if None in (place(tracks[a]), place(tracks[b])) else abs(place(tracks[a]) - place(tracks[b]))
+            key.append(steps is not None and min(steps, 12 - steps) <= 1)
+            u, v = tracks[a][3] or 0, tracks[b][3] or 0
+            jump += [min(abs(u - v), abs(2 * u - v), abs(u - 2 * v))] if u > 0 and v > 0 else []
+            repeat += [artist(b) in [artist(t) for t in x[max(0, p - 3) : p]]] if artist(b) else []
+    want = {
+        "lists": 6, "length": np.mean([len(x) for x in lists.values()]), "coverage": len({t for x in lists.values() for t in x}) / n, "fallback": len(spare) / sum(len(x) - 1 for x in lists.values()), "coherence": np.mean(coherence),
+        "smooth": np.mean([v for v in smooth if v is not None]), "variety": np.mean(variety), "key": np.mean(key), "jump": np.mean(jump), "repeat": np.mean(repeat),
+    }
+    assert got == pytest.approx(want, abs=1e-6) and list(got) == list(want)
+    empty = E.playlist_judges(rows.limit(0), table.limit(0), known).first().asDict()
+    assert empty.pop("lists") == 0 and set(empty.values()) == {None}
+
+    edges, spared = {1: [(2, 0.1)], 2: [(1, 0.0)], 4: [(5, 0.1)]}, set()
+    walk = P.walk(1, edges, dict.fromkeys(range(1, 6)), {}, 5, None, spared)
+    assert spared == {p for p in range(1, 5) if walk[p] not in [t for t, _ in edges.get(walk[p - 1], ())]} and spared

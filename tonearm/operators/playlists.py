@@ -60,8 +60,8 @@ def fallback_order(seed: int, ids: np.ndarray, first: int = 256) -> Iterator[int
         done = upto
 
 
-def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int, str | None], excluded: dict[int, set[int]], n: int, ids: np.ndarray | None = None) -> list[int]:
-    """Greedy: the cheapest candidate that is not excluded; an artist of the last three costs more; else the first by ``fallback_order`` of ``ids``, all with an artist in order."""
+def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int, str | None], excluded: dict[int, set[int]], n: int, ids: np.ndarray | None = None, spared: set[int] | None = None) -> list[int]:
+    """Greedy: the cheapest candidate that is not excluded; an artist of the last three costs more; else the first by ``fallback_order`` of ``ids``, all with an artist in order; the positions of those are added to ``spared``."""
     out, used = [seed], {seed} | excluded.get(seed, set())
     spare = None
     while len(out) < n:
@@ -79,6 +79,8 @@ def walk(seed: int, edges: dict[int, list[tuple[int, float]]], artist: dict[int,
             chosen = next((t for t in spare if t not in used), None)  # what is used stays so
             if chosen is None:
                 break
+            if spared is not None:
+                spared.add(len(out))
         out.append(chosen)
         used |= {chosen} | excluded.get(chosen, set())
     return out
@@ -101,7 +103,7 @@ class Links:
 
 
 def playlists(seeds: DataFrame, scored: DataFrame, pool: DataFrame, excluded: DataFrame, n: int = 20) -> DataFrame:
-    """(seed, position, track_id) of a walk from each seed.
+    """(seed, position, track_id, fallback) of a walk from each seed; fallback: no candidate was left for this position.
 
     The scored transitions are computed once by Spark; the walks, which depend on their own past, run a seed at a time on
     the executors with the transitions of one library as arrays, whose lists are bounded by the index's k.
@@ -123,8 +125,9 @@ def playlists(seeds: DataFrame, scored: DataFrame, pool: DataFrame, excluded: Da
         for part in batches:
             for seed in part["seed"].tolist():
                 if seed in artist:
-                    tracks = walk(seed, links, artist, out_of, n, ids)
-                    yield pd.DataFrame({"seed": seed, "position": np.arange(len(tracks), dtype=np.int32), "track_id": tracks})
+                    spared: set[int] = set()
+                    tracks = walk(seed, links, artist, out_of, n, ids, spared)
+                    yield pd.DataFrame({"seed": seed, "position": np.arange(len(tracks), dtype=np.int32), "track_id": tracks, "fallback": [i in spared for i in range(len(tracks))]})
 
     dealt = seeds.select("seed").repartition(seeds.sparkSession.sparkContext.defaultParallelism)  # else a few thousand seeds are one task
-    return dealt.mapInPandas(task, "seed long, position int, track_id long")
+    return dealt.mapInPandas(task, "seed long, position int, track_id long, fallback boolean")
