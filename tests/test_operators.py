@@ -743,3 +743,42 @@ def test_playlist_judges(spark):
     edges, spared = {1: [(2, 0.1)], 2: [(1, 0.0)], 4: [(5, 0.1)]}, set()
     walk = P.walk(1, edges, dict.fromkeys(range(1, 6)), {}, 5, None, spared)
     assert spared == {p for p in range(1, 5) if walk[p] not in [t for t, _ in edges.get(walk[p - 1], ())]} and spared
+
+
+def test_linkages_in_stages(monkeypatch):
+    r = np.random.default_rng(6)
+    done = 0
+    for n in (2, 5, 60, 211):
+        for x in (r.standard_normal((n, 3)) * (3, 1, 1), r.standard_normal((n, 3))[r.integers(0, n, n)], r.standard_normal((n, 8))):
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+            for method, k, held in itertools.product(("ward", "average", "complete"), (1, 4), (64 * n, 256 * n, 8 * 60 * 60, 10**7)):
+                got = K.Agglomeration(x, method, held).labels(min(k, n))
+                done += got is not None
+                assert got is None or got.tolist() == K.linkage_labels(d, min(k, n), method).tolist()
+                assert K.merged_labels(x, min(k, n), method, held).tolist() == K.linkage_labels(d, min(k, n), method).tolist()
+    assert done > 200
+    grid = np.array(list(itertools.product(range(7), repeat=3)), float)  # few different distances
+    for method in ("ward", "average", "complete"):
+        assert len({*K.merged_labels(grid, 3, method, 10**4).tolist()}) == 3
+
+    x = r.standard_normal((6000, 12))
+    monkeypatch.setattr(K, "chain_labels", None)
+    for method in ("ward", "complete"):
+        assert len({*K.merged_labels(x, 4, method, 20_000_000).tolist()}) == 4
+
+
+def test_linkages_take_products_of_few_points(monkeypatch):
+    r = np.random.default_rng(7)
+    x, pairs = r.standard_normal((3000, 12)), [0]
+    made = K.Agglomeration.points
+
+    def counted(self, *a):
+        d = made(self, *a)
+        pairs[0] += d.size
+        return d
+
+    monkeypatch.setattr(K.Agglomeration, "points", counted)
+    for method in ("average", "complete"):
+        pairs[0] = 0
+        assert K.Agglomeration(x, method, 10_000_000).labels(4) is not None
+        assert 0 < pairs[0] < 4 * 3000**2
