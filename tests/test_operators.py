@@ -782,3 +782,18 @@ def test_linkages_take_products_of_few_points(monkeypatch):
         pairs[0] = 0
         assert K.Agglomeration(x, method, 10_000_000).labels(4) is not None
         assert 0 < pairs[0] < 4 * 3000**2
+
+
+def test_matrix_is_made_without_a_written_copy(spark, monkeypatch):
+    from tonearm import storage
+
+    monkeypatch.setattr(storage, "checkpointed", None)  # the packed blocks were written before
+    r = np.random.default_rng(4)
+    short = r.standard_normal((40, 5)).astype(np.float32).astype(float)
+    for x in (short, r.standard_normal((40, 5)), short * 1e200):
+        rows = spark.createDataFrame([(i * 3 - 7, v) for i, v in enumerate(x.tolist())], "content_id long, vector array<double>")
+        for blocks in (1, 3):
+            got = {(i, j): d for i, j, d in D.distances(rows, blocks, 4).collect()}
+            want = D.cosine_block(*[pd.DataFrame({"vector": list(x)})] * 2)
+            assert len(got) == 40 * 39
+            assert all(got[i * 3 - 7, j * 3 - 7] == pytest.approx(want[i, j], abs=2e-9, nan_ok=True) for i in range(40) for j in range(40) if i != j)
